@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a staged table that nothing will read again."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are done; it does so only when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Remove every staged table of this application; results that still read them must be written before."""
     try:
