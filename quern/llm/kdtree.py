@@ -17,7 +17,6 @@ an empty table gives an empty table; only the named columns are read.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from quern.runtime import stage
 
 #: Bins of a node's histogram in one round, and the share of a shard by which a cut may be off.
-BINS, SLACK = 2048, 0.001
+BINS, SLACK = 4096, 0.001
 #: Bits of a coordinate's value and of the hash below it.
 HIGH, LOW = 28, 32
 
@@ -38,69 +37,80 @@ def coordinates(df: DataFrame, key: str) -> list[Column]:
     return [high(F.log2(F.col("size")) * F.lit((1 << HIGH) / 64)), high(named("source")), high(named("lang")), high(F.shiftright(F.col("text_crc32"), 32 - HIGH))]
 
 
-class Node:
-    def __init__(self, shards: range):
-        self.shards, self.dim, self.cut, self.below, self.above = shards, None, None, None, None
-
-    def column(self, dims: list[str]) -> Column:
-        """The first shard of the leaf in which a row lies."""
-        if self.cut is None:
-            return F.lit(self.shards.start)
-        return F.when(F.col(dims[self.dim]) < F.lit(self.cut), self.below.column(dims)).otherwise(self.above.column(dims))
+class Tree:
+    """Nodes as a heap (children of i: 2i + 1 and 2i + 2): dimension and cut of each inner node, shards of each.
 
+    Its columns look values up in array literals, so every level and round runs the same compiled code.
+    """
 
-def grow(points: DataFrame, dims: list[str], weight: str, shards: int) -> Node:
-    """The tree over points; reads them a few times for each of its log2(shards) levels."""
-    root = Node(range(shards))
-    level = [root]
-    extent = None
-    total = points.agg(F.sum(weight)).collect()[0][0] or 0
-    while open_ := [n for n in level if len(n.shards) > 1]:
-        at = {n.shards.start: n for n in open_}
-        placed = points.withColumn("node", root.column(dims)).where(F.col("node").isin(list(at)))
-        ends = placed.groupBy("node").agg(F.sum(weight).alias("w"), *[f(d).alias(f"{d}_{n}") for d in dims for f, n in ((F.min, "lo"), (F.max, "hi"))]).collect()
+    def __init__(self, shards: int):
+        self.shards: dict[int, range] = {0: range(shards)}
+        self.dim: dict[int, int] = {}
+        self.cut: dict[int, int] = {}
+        self.depth = max(1, math.ceil(math.log2(max(2, shards))))
+        self.size = 2 ** (self.depth + 1)
+
+    def table(self, values: dict[int, int], kind: str, none: int = -1) -> Column:
+        return F.array(*[F.lit(values.get(i, none)).cast(kind) for i in range(self.size)])
+
+    def node(self, coords: Column) -> Column:
+        """The leaf, or the node not cut yet, in which a row lies."""
+        dims, cuts = self.table(self.dim, "int"), self.table(self.cut, "long")
+        down = lambda n: 2 * n + 1 + (F.get(coords, F.get(dims, n)) >= F.get(cuts, n)).cast("int")
+        return F.aggregate(F.sequence(F.lit(1), F.lit(self.depth)), F.lit(0), lambda n, _: F.when(F.get(dims, n) < 0, n).otherwise(down(n)))
+
+    def shard(self, coords: Column) -> Column:
+        return F.get(self.table({i: r.start for i, r in self.shards.items()}, "int"), self.node(coords))
+
+    def split(self, node: int) -> None:
+        r = self.shards[node]
+        mid = r.start + len(r) // 2
+        self.shards[2 * node + 1], self.shards[2 * node + 2] = range(r.start, mid), range(mid, r.stop)
+
+
+def grow(points: DataFrame, n_dims: int, shards: int) -> Tree:
+    """The tree over points (coords, size); reads them a few times for each of its log2(shards) levels."""
+    tree, extent = Tree(shards), None
+    coords = F.col("coords")
+    total = points.agg(F.sum("size")).collect()[0][0] or 0
+    slack = SLACK * total / shards
+    while open_ := [i for i, r in tree.shards.items() if len(r) > 1 and i not in tree.dim]:
+        placed = points.select("coords", "size", tree.node(coords).alias("node"))
+        bounds = [f(coords[d]).alias(f"{n}{d}") for d in range(n_dims) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+        ends = {r["node"]: r for r in placed.groupBy("node").agg(F.sum("size").alias("w"), *bounds).collect()}
         seek: dict[int, list] = {}
-        if extent is None and ends:
-            extent = [max(1, ends[0][f"{d}_hi"] - ends[0][f"{d}_lo"]) for d in dims]
-        for r in ends:
-            node = at[r["node"]]
-            wide = [(r[f"{d}_hi"] - r[f"{d}_lo"]) / e for d, e in zip(dims, extent)]
-            node.dim = max(range(len(dims)), key=lambda i: (wide[i], -i))
-            lo, hi = r[f"{dims[node.dim]}_lo"], r[f"{dims[node.dim]}_hi"] + 1
-            left = len(node.shards) // 2
-            seek[r["node"]] = [lo, hi, r["w"] * left / len(node.shards), node]
-        slack = SLACK * total / shards
+        for i in open_:
+            if (r := ends.get(i)) is None:  # no row lies here
+                tree.dim[i], tree.cut[i] = 0, 0
+                continue
+            span = [r[f"hi{d}"] - r[f"lo{d}"] for d in range(n_dims)]
+            extent = extent or [max(1, x) for x in span]
+            dim = max(range(n_dims), key=lambda d: (span[d] / extent[d], -d))
+            seek[i] = [dim, r[f"lo{dim}"], r[f"hi{dim}"] + 1, r["w"] * (len(tree.shards[i]) // 2) / len(tree.shards[i])]
         while seek:  # each round narrows every node's cut to one bin
-            lo_of, width_of = (reduce(lambda c, kv: F.when(F.col("node") == kv[0], F.lit(f(kv[1]))).otherwise(c), seek.items(), F.lit(None).cast("long")) for f in (lambda s: s[0], lambda s: max(1, -(-(s[1] - s[0]) // BINS))))
-            coord = reduce(lambda c, kv: F.when(F.col("node") == kv[0], F.col(dims[kv[1][3].dim])).otherwise(c), seek.items(), F.lit(None).cast("long"))
-            inside = reduce(lambda a, b: a | b, [(F.col("node") == k) & F.col(dims[s[3].dim]).between(s[0], s[1] - 1) for k, s in seek.items()])
-            sums = placed.where(inside).groupBy("node", F.floor((coord - lo_of) / width_of).alias("bin")).agg(F.sum(weight).alias("w")).collect()
+            width = {i: max(1, -(-(hi - lo) // BINS)) for i, (_, lo, hi, _) in seek.items()}
+            look = lambda values, kind="long": F.get(tree.table(values, kind), F.col("node"))
+            dim = look({i: s[0] for i, s in seek.items()}, "int")
+            lo, hi = look({i: s[1] for i, s in seek.items()}), look({i: s[2] for i, s in seek.items()})
+            at = placed.where(dim >= 0).select("node", "size", F.get(coords, dim).alias("x"), lo.alias("lo"), hi.alias("hi"), look(width).alias("width"))
             bins: dict[int, dict[int, int]] = {}
-            for r in sums:
+            for r in at.where("x >= lo and x < hi").groupBy("node", F.expr("(x - lo) div width").alias("bin")).agg(F.sum("size").alias("w")).collect():
                 bins.setdefault(r["node"], {})[r["bin"]] = r["w"]
-            for k in list(seek):
-                lo, hi, need, node = seek[k]
-                width, gone = max(1, -(-(hi - lo) // BINS)), 0
-                for b in sorted(bins.get(k, {0: 0})):
-                    w = bins.get(k, {0: 0})[b]
+            for i, (d, lo_, hi_, need) in list(seek.items()):
+                gone = 0
+                for b, w in sorted(bins[i].items()):
                     if gone + w >= need:
                         break
                     gone += w
-                start, end = lo + b * width, min(hi, lo + (b + 1) * width)
-                if width == 1 or w <= slack:
-                    node.cut = start if need - gone < w / 2 else end
-                    del seek[k]
+                start, end = lo_ + b * width[i], min(hi_, lo_ + (b + 1) * width[i])
+                if width[i] == 1 or w <= slack:
+                    tree.dim[i], tree.cut[i] = d, start if need - gone < w / 2 else end
+                    del seek[i]
                 else:
-                    seek[k] = [start, end, need - gone, node]
-        grown = []
-        for n in open_:
-            if n.cut is None:  # no row lies here
-                n.dim, n.cut = 0, 0
-            mid = n.shards.start + len(n.shards) // 2
-            n.below, n.above = Node(range(n.shards.start, mid)), Node(range(mid, n.shards.stop))
-            grown += [n.below, n.above]
-        level = grown
-    return root
+                    seek[i] = [d, start, end, need - gone]
+        for i in open_:
+            tree.split(i)
+    return tree
 
 
 def shard(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", overhead: int = 16) -> DataFrame:
@@ -108,9 +118,9 @@ def shard(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "t
     whole = F.coalesce(F.col(text), F.lit(""))
     meta = [c for c in ("lang", "source") if c in docs.columns]
     sized = docs.select(F.col(key).alias("doc_id"), (F.octet_length(whole) + overhead).cast("long").alias("size"), F.crc32(F.encode(whole, "UTF-8")).alias("text_crc32"), *meta)
-    dims = ["d0", "d1", "d2", "d3"]
-    points = stage(sized.select("doc_id", "size", "text_crc32", *[c.alias(d) for c, d in zip(coordinates(sized, "doc_id"), dims)]), "points")
-    placed = points.select("doc_id", "size", "text_crc32", grow(points, dims, "size", shards).column(dims).cast("int").alias("shard"))
+    dims = coordinates(sized, "doc_id")
+    points = stage(sized.select("doc_id", "size", "text_crc32", F.array(*dims).alias("coords")), "points")
+    placed = points.select("doc_id", "size", "text_crc32", grow(points, len(dims), shards).shard(F.col("coords")).cast("int").alias("shard"))
     return with_slots(placed, points.count(), shards)
 
 
