@@ -1,15 +1,19 @@
-"""The registered queries of the engine and their SQL."""
+"""All registered queries of the engine."""
 
 from __future__ import annotations
 
+from quern.plans import queries_graph, queries_retrieval, queries_text  # noqa: F401  (they register)
+from quern.plans.registry import ORACLES, QUERIES
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """BM25 retrieval fused with vector search is the flagship; here its lexical leg over all documents."""
+    return QUERIES["bm25_search"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
