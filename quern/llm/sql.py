@@ -1,3 +1,71 @@
 """DuckDB SQL for the queries of this subpackage that SQL expresses."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from quern.llm.licence import KNOWN, NOTICE, SPELLINGS
+
+OP1 = """with p as (select page_id, coalesce(html, '') as html from pages),
+ h as (select *, sha1(html) as h, max(page_id) over (partition by html) as top from p)
+ select page_id, strlen(html) as payload_bytes,
+  (select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ((cast('0x' || substr(h, 5 * g + 1, 5) as bigint) >> s) & 31) as integer), 1), '' order by g, s desc)
+   from (select unnest(range(8)) as g) a, (select unnest([15, 10, 5, 0]) as s) b) as payload_digest,
+  case when page_id is not distinct from top then 'response' else 'revisit' end as record_type, case when page_id is distinct from top then top end as refers_to from h"""
+
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_TURN = "'<|im_start|>' || replace(x.r, '<|', '< |') || chr(10) || replace(x.t, '<|', '< |') || '<|im_end|>' || chr(10)"
+
+
+def _mask(c: str) -> str:
+    before = f"list_sum(list_transform({c}[1:i - 1], lambda y: length(y.s)))"
+    span = f"cast(coalesce({before}, 0) + 13 + length(replace({c}[i].r, '<|', '< |')) as bigint) || '-' || cast(coalesce({before}, 0) + length({c}[i].s) - 1 as bigint)"
+    return f"array_to_string(list_transform(list_filter(range(1, len({c}) + 1), lambda i: {c}[i].r = 'assistant'), lambda i: {span}), ',')"
+
+
+OP3 = f"""with t as (select conv_id, coalesce(turn, 9223372036854775807) as turn, coalesce(role, 'unknown') as r, coalesce(text, '') as t from conversations where conv_id is not null),
+ c as (select conv_id, list({{'r': x.r, 't': x.t, 's': {_TURN}}} order by turn, r, t) as turns from t x group by conv_id),
+ ids as (select conv_id // 2 as pair_id, max(case when conv_id % 2 = 0 then conv_id end) as chosen_id, max(case when conv_id % 2 = 1 then conv_id end) as rejected_id from c group by 1),
+ j as (select ids.*, a.turns as c, b.turns as r from ids left join c a on a.conv_id = chosen_id left join c b on b.conv_id = rejected_id),
+ n as (select *, coalesce(len(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: list_aggregate(list_transform(range(1, i + 1), lambda k: c[k].s = r[k].s), 'bool_and'))), 0) as n from j),
+ rest as (select *, c[1:n] as p, c[n + 1:] as cr, r[n + 1:] as rr from n)
+ select cast(pair_id as bigint) as pair_id, chosen_id, rejected_id, cast(n as integer) as n_prompt_turns, coalesce(array_to_string(list_transform(p, lambda x: x.s), ''), '') as prompt,
+  case when c is not null then coalesce(array_to_string(list_transform(cr, lambda x: x.s), ''), '') end as chosen, case when r is not null then coalesce(array_to_string(list_transform(rr, lambda x: x.s), ''), '') end as rejected,
+  case when c is not null then coalesce({_mask('cr')}, '') end as chosen_mask, case when r is not null then coalesce({_mask('rr')}, '') end as rejected_mask from rest"""
+
+OP7 = f"""with recursive w as (select doc_id, list_filter(string_split_regex({LOWER}, '[ \\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+ s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) as i from w where len(w) > 0) x),
+ n as (select doc_id, count(*) as n from s group by 1), p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+ e as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * i >= 80 * (x.n + y.n - i)),
+ r(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, e.b from r join e on e.a = r.other)
+ select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.other) as component_id, min(d.class_id) as class_id from r
+ join (select doc_id, min(doc_id) over (partition by case when k is null then cast(doc_id as varchar) else k end) as class_id from (select documents.doc_id, 's' || k as k from documents left join (select doc_id, md5(string_agg(s, chr(1) order by s)) as k from s group by 1) q using (doc_id)) z) d on d.doc_id = r.doc_id
+ left join n on n.doc_id = r.doc_id group by d.doc_id"""
+
+_WORDS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP8 = f"""with d as (select doc_id, coalesce({_WORDS}, []) as w from documents), b as (select item_id, {_WORDS} as w from benchmark where text is not null),
+ win as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[i:i + 9], ' ') as s from (select item_id, w, unnest(range(1, greatest(2, len(w) - 8))) as i from b where len(w) > 0) x),
+ g as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as s from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from win) z) x),
+ m as (select g.doc_id, g.i, g.n, win.item_id from g join win on win.n = g.n and win.s = g.s),
+ hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from m) x group by 1),
+ items as (select doc_id, count(*) as n_items, string_agg(k, ',' order by k) as k from (select distinct doc_id, cast(item_id as varchar) as k from m) x group by 1)
+ select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(k, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join hit using (doc_id) left join items using (doc_id)"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(text: str) -> str:
+    sql = f"lower(coalesce({text}, ''))"
+    for old, new in SPELLINGS:
+        sql = f"replace({sql}, {_quoted(old)}, {_quoted(new)})"
+    sql = f"regexp_replace({sql}, {_quoted(NOTICE)}, ' ', 'g')"
+    return f"trim(regexp_replace({sql}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+_KNOWN = " union all ".join(f"select {_quoted(k)} as licence, {_quoted(v)} as text" for k, v in KNOWN.items())
+OP10 = f"""with known as (select sha256({_canonical('text')}) as h, min(licence) as licence from ({_KNOWN}) k where {_canonical('text')} <> '' group by 1)
+ select doc_id, sha256({_canonical('text')}) as canonical_digest, licence from documents left join known on h = sha256({_canonical('text')})"""
+
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op3_preferences": OP3, "op7_near_duplicates": OP7, "op8_decontamination": OP8, "op10_licences": OP10}
