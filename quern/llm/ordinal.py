@@ -4,8 +4,8 @@ P(grade <= k) = sigmoid(threshold_k - score): one weight vector over hashed text
 grades, and the thresholds are kept in order. A document gets its expected grade and the probability of
 each tail; selection asks for a tail probability.
 
-Features are sets, of the whole text: each distinct word in lower case without its punctuation, each
-distinct run of punctuation at a word's end, the share of words in capitals, and how often words repeat.
+Features are sets, of the whole text: each distinct word in lower case without its punctuation and its first letters, each
+distinct run of punctuation at a word's end, the share of words in capitals, and that of words like the one before.
 
 Defined cases: a null or empty text has no features and so the score 0; rows without a grade are not
 fitted; several ratings of a document all count; with fewer than two grades in the sample every document
@@ -16,6 +16,7 @@ that bear the name of an output column are replaced, all others stay.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,13 @@ from pyspark.sql import types as T
 from quern.llm.arrow import add_columns
 
 #: Hash buckets of features; bound on the labelled rows that are fitted; passes over them.
-BITS, SAMPLE, PASSES = 18, 12_000, 800
+BITS, SAMPLE, PASSES = 20, 12_000, 800
 #: Likelihood ratio (chi squared) from which a feature takes part, so that the many words that say nothing add no noise.
 EVIDENCE = 20.0
+#: Lengths of the beginnings of words that are features too, for words that share a stem.
+STEMS = (4, 5)
 #: The tail probability from which a document is kept.
-KEEP = 0.5
+KEEP = 0.8
 PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
@@ -45,7 +48,9 @@ class Features:
         core = word.strip(PUNCTUATION)
         tail = word[len(word.rstrip(PUNCTUATION)) :]
         place = lambda s: xxhash.xxh3_64_intdigest(s.encode()) >> (64 - BITS)
-        return (*([place(core.lower())] if core else []), *([place("\0" + tail)] if tail else []))
+        low = core.lower()
+        stem = [place("\3" + low[:n]) for n in STEMS if len(low) > n]
+        return (*([place(low)] if core else []), *stem, *([place("\0" + tail)] if tail else []))
 
     def of_text(self, text: str | None) -> np.ndarray:
         if len(self.known) > 400_000:
@@ -59,7 +64,7 @@ class Features:
         if words:
             capitals = sum(map(str.isupper, words)) * 8 // len(words)
             out.add(xxhash.xxh3_64_intdigest(b"\1%d" % capitals) >> (64 - BITS))
-            repeats = len(every).bit_length() - len(words).bit_length()
+            repeats = sum(map(eq, every, every[1:])) * 8 // len(every)
             out.add(xxhash.xxh3_64_intdigest(b"\2%d" % repeats) >> (64 - BITS))
         return np.fromiter(out, np.int32, len(out))
 
@@ -101,12 +106,14 @@ def telling(features: list[np.ndarray], grades: np.ndarray, least: float = EVIDE
 def fit(features: list[np.ndarray], grades: np.ndarray, penalty: float = 1e-5, rate: float = 0.1) -> Ordinal:
     """Maximum likelihood by Adam over all rows and the telling features, with a small squared penalty."""
     told = telling(features, grades)
-    features = [f[told[f]] for f in features]
+    places = np.cumsum(told) - 1
+    features = [places[f[told[f]]] for f in features]
     levels = int(grades.max(initial=0))
-    weights = np.zeros(1 << BITS, np.float64)
+    every = np.zeros(1 << BITS, np.float32)
+    weights = np.zeros(int(told.sum()), np.float64)
     if levels < 1 or len(set(grades.tolist())) < 2:
-        return Ordinal(weights.astype(np.float32), np.full(max(1, levels), -40.0))
-    index = np.concatenate(features)
+        return Ordinal(every, np.full(max(1, levels), -40.0))
+    index = np.concatenate([*features, np.zeros(0, np.int64)])
     rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
     share = np.array([(grades >= k).mean() for k in range(1, levels + 1)]).clip(1e-3, 1 - 1e-3)
     start = -np.log(share / (1 - share))
@@ -127,12 +134,13 @@ def fit(features: list[np.ndarray], grades: np.ndarray, penalty: float = 1e-5, r
         np.add.at(by_cut, grades, dl)
         by_cut = by_cut[1:-1]
         by_theta = np.concatenate([[by_cut.sum()], [by_cut[k:].sum() * np.exp(theta[k]) for k in range(1, levels)]]) / n
-        by_weight = np.bincount(index, pull[rows], minlength=1 << BITS) / n + penalty * weights
+        by_weight = np.bincount(index, pull[rows], minlength=len(weights)) / n + penalty * weights
         for (x, m, v), g in zip(state, (by_weight, by_theta)):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Ordinal(weights.astype(np.float32), theta[0] + np.concatenate([[0], np.cumsum(np.exp(theta[1:]))]))
+    every[told] = weights
+    return Ordinal(every, theta[0] + np.concatenate([[0], np.cumsum(np.exp(theta[1:]))]))
 
 
 def sampled(docs: DataFrame, grades: DataFrame, key: str, text: str, rows: int = SAMPLE) -> tuple[list, np.ndarray]:
@@ -161,7 +169,7 @@ def train(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text: str = "
 
 def classify(docs: DataFrame, model: Ordinal, text: str = "text", keep: list[str] | None = None, least: float = KEEP) -> DataFrame:
     """Adds score, expected_grade, tail_probability (of the highest grade) and kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB of weights whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB of weights whatever the input
 
     def start():
         m, f = shared.value, Features()
