@@ -7,10 +7,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions import models, similarity
 from quern.functions import text as tx
 from quern.functions import vector as vx
 from quern.operators import chunks, components, graph, retrieval, temporal
-from quern.plans import catalog
+from quern.plans import algebra, catalog
 from quern.runtime import attach_groups, stage
 from quern.sources import importers
 from quern.streaming import graph_stream
@@ -204,6 +205,37 @@ def test_stream_of_windows_and_upserts(spark, tmp_path):
     assert [r.id for r in store.read().collect()] == ["b"]
 
 
+def test_jaro_winkler_and_subsequence():
+    assert similarity.jaro_winkler("MARTHA", "MARHTA") == pytest.approx(0.961111, abs=1e-6)
+    assert similarity.jaro_winkler("DIXON", "DICKSONX") == pytest.approx(0.813333, abs=1e-6)
+    assert similarity.jaro_winkler("", "a") == 0.0 and similarity.jaro_winkler("", "") == 1.0
+    assert similarity.common_subsequence(list("abcbdab"), list("bdcaba")) == 4
+    spans = similarity.resolve_overlaps("Saint Peter met R2D2 in Rome")
+    assert [(s[2]) for s in spans] == ["NAME", "CODE", "WORD"] and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_algebra(spark):
+    e = spark.createDataFrame([("a", "A", "T", 0.5), ("b", "B", "T", 0.5), ("c", "C", "U", 0.5)], "id string, name string, entity_type string, confidence double")
+    r = spark.createDataFrame([("a", "c", "R", 1.0)], "source string, target string, relation_type string, confidence double")
+    q = algebra.scan("T").filter("name", "A").neighbours("R").union(algebra.scan("U")).limit(5)
+    assert [x.id for x in algebra.run(q, e, r).collect()] == ["c"]
+    s = algebra.Statistics.of(e, r)
+    assert algebra.estimate(algebra.scan("T"), s) == (2.0, 2.0)
+    assert algebra.explain(q, s).splitlines()[0].startswith("Limit(n=5)") and "    Neighbors(relation=R, hops=1)" in algebra.explain(q, s)
+    assert [x.id for x in algebra.run(algebra.scan("T").join(algebra.scan("U"), "anti"), e, r).orderBy("id").collect()] == ["a", "b"]
+
+
+def test_models(spark):
+    pairs = spark.createDataFrame([("red fox", "a red fox", 0.1), ("red fox", "a fox", 0.9), ("red fox", None, 0.5)], "q string, text string, score double")
+    got = [(r.text, r.new_score, r.delta) for r in models.rerank(pairs, "q", "text").collect()]
+    assert got[0] == ("a red fox", 1.0, 0.9) and got[1] == ("a fox", 0.5, -0.4)
+    tools = models.Tools()
+    tools.register(models.Tool("double", {"n": int}, lambda n: 2 * n))
+    assert tools.call("double", n=4) == 8
+    with pytest.raises(TypeError):
+        tools.call("double", n="4")
+
+
 def test_nothing_else_imports_llm():
     root = os.path.dirname(os.path.dirname(os.path.abspath(importlib.import_module("quern").__file__)))
     for folder, _, names in os.walk(os.path.join(root, "quern")):
