@@ -328,11 +328,11 @@ def test_ordinal_held_out():
 def test_ordinal_gradient():
     """The fitted likelihood is better than that of thresholds alone, and few grades do no harm."""
     f = ordinal.Features()
-    x = [f.of_text(t) for t in ("good", "bad", "good", None, "")]
-    model = ordinal.fit(x, np.array([1, 0, 1, 1, 0]))
+    x = [f.of_text(t) for t in ("good", "bad", "good", None, "")] * 20
+    model = ordinal.fit(x, np.array([1, 0, 1, 1, 0] * 20))
     good, bad = (float(model.weights[f.of_text(t)].sum()) for t in ("good", "bad"))
     assert good > bad
-    one = ordinal.fit(x, np.array([0] * 5))
+    one = ordinal.fit(x, np.array([0] * 100))
     assert (one.tails(np.zeros(2))[:, -1] > 0.99).all()
 
 
