@@ -10,7 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def slices(batch: pa.RecordBatch, at: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+#: Bytes of an Arrow batch on its way to Python.
+BATCH = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Has the session send Arrow batches of at most BATCH bytes, so that long texts don't meet in a worker."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if not 0 < int(str(conf.get(name, "0")).rstrip("bB") or 0) <= BATCH:
+        conf.set(name, str(BATCH))
+    return df
+
+
+def slices(batch: pa.RecordBatch, at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes in column `at` each (one row at least)."""
     start, held = 0, 0
     for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()):
@@ -41,4 +53,4 @@ def add_columns(df: DataFrame, text: str, new: list[tuple[str, T.DataType]], sta
             for part in slices(batch, at):
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in places], *make(part.column(at).to_pylist())], names=out_names)
 
-    return df.select(*[df[c] for c in carried]).mapInArrow(run, schema)
+    return small_batches(df).select(*[df[c] for c in carried]).mapInArrow(run, schema)

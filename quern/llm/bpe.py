@@ -26,7 +26,7 @@ from quern.llm.arrow import add_columns
 #: A rank file may be broadcast up to this size; larger ones are refused.
 MAX_RANK_FILE = 64 << 20
 #: Distinct matches and words that a worker keeps at hand, and as many again of those used before.
-MEMORY = 300_000
+MEMORY = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.arrow import slices
+from quern.llm.arrow import slices, small_batches
 from quern.runtime import stage
 
 #: Words of a window; bytes of text in a segment; bytes of item text that are broadcast at once.
-WIDTH, SEGMENT_BYTES, BLOCK_BYTES = 10, 4 << 20, 16 << 20
+WIDTH, SEGMENT_BYTES, BLOCK_BYTES = 10, 1 << 20, 16 << 20
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
@@ -85,7 +85,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         if held:
             yield as_row(held)
 
-    return stage(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, INDEX), "postings")
+    return stage(small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, INDEX), "postings")
 
 
 class Segment:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.arrow import add_columns, slices
+from quern.llm.arrow import add_columns, slices, small_batches
 from quern.runtime import stage
 
 
@@ -137,7 +137,7 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     rows = neighbours(docs, key, text)
     n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
     laid = rows.repartition(int(n), "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("key"), "text")
-    return laid.mapInArrow(run, schema)
+    return small_batches(laid).mapInArrow(run, schema)
 
 
 def edit(now: tuple, after: tuple) -> tuple:

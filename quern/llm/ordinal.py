@@ -53,7 +53,7 @@ class Features:
         return (*([place(low)] if core else []), *stem, *([place("\0" + tail)] if tail else []))
 
     def of_text(self, text: str | None) -> np.ndarray:
-        if len(self.known) > 400_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         every = (text or "").split()
         words, out, known = set(every), set(), self.known

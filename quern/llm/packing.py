@@ -26,7 +26,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.arrow import slices
+from quern.llm.arrow import slices, small_batches
 from quern.llm.bpe import coder, share_ranks
 from quern.runtime import new_path, stage
 
@@ -159,7 +159,7 @@ def write(docs: DataFrame, folder: str, ranks_path: str, pattern: str, length: i
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], names=["path", "documents", "rows", "tokens"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "path string, documents long, rows long, tokens long")
+    return small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "path string, documents long, rows long, tokens long")
 
 
 def read_back(files: DataFrame, folder: str) -> DataFrame:

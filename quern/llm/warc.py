@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.arrow import slices
+from quern.llm.arrow import slices, small_batches
 from quern.runtime import attach_groups, new_path, stage
 
 #: Bytes after which a task begins a new file, and bytes read at a time.
@@ -184,7 +184,7 @@ def write(marked: DataFrame, folder: str) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], names=["path", "records", "bytes"])
 
-    return marked.select("page_id", "url", "html", "is_revisit", "refers").mapInArrow(run, "path string, records long, bytes long")
+    return small_batches(marked).select("page_id", "url", "html", "is_revisit", "refers").mapInArrow(run, "path string, records long, bytes long")
 
 
 def read(files: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
