@@ -31,14 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.arrow import slices
+from quern.llm.arrow import slices, small_batches
 from quern.operators.components import connected_components
-from quern.runtime import attach_groups, stage
+from quern.runtime import attach_groups, discard, stage, sweep
 
 #: Words of a shingle; least similarity in hundredths; log2 of the counters; most matches that a prefix asks for.
-WORDS, PERCENT, SKETCH, MATCHES = 5, 80, 21, 8
+WORDS, PERCENT, SKETCH, MATCHES = 5, 80, 23, 8
 #: Cost of verifying a candidate against reading a posting; postings of a list that stay together.
 VERIFY, TOGETHER = 20.0, 8192
+#: Bits of a set's parity map: two sets differ in as many shingles at least as their maps do in bits.
+PARITY = 512
 #: Bits of the table of documents that must be verified, 8 MB however large the input.
 NEEDED_BITS = 26
 
@@ -107,7 +109,7 @@ def _over(docs: DataFrame, key: str, text: str, schema: str, start) -> DataFrame
                 yield from each(part)
         yield from last()
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def frequencies(docs: DataFrame, key: str, text: str) -> bytes:
@@ -129,7 +131,9 @@ def frequencies(docs: DataFrame, key: str, text: str) -> bytes:
             for b in range(0, len(table), block):
                 own = table[b : b + block]
                 if own.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([b // block], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["block", "counts"])
+                    high = np.flatnonzero(own > 255).astype(np.uint32)  # the few large counts follow the low bytes
+                    packed = (own & 255).astype(np.uint8).tobytes() + high.tobytes() + (own[high] >> 8).astype(np.uint32).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([b // block], pa.int32()), pa.array([packed], pa.binary())], names=["block", "counts"])
 
         return each, last
 
@@ -138,7 +142,10 @@ def frequencies(docs: DataFrame, key: str, text: str) -> bytes:
         for batch in batches:
             for b, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = sums.setdefault(b, np.zeros(block, np.int64))
-                own += np.frombuffer(counts.as_buffer(), np.uint32)
+                raw = np.frombuffer(counts.as_buffer(), np.uint8)
+                own += raw[:block]
+                high, more = np.split(raw[block:].view(np.uint32), 2)
+                own[high] += more.astype(np.int64) << 8
         for b, own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["block", "counts"])
 
@@ -152,7 +159,7 @@ def frequencies(docs: DataFrame, key: str, text: str) -> bytes:
     return np.minimum(255, np.round(4 * np.log2(1 + excess))).astype(np.uint8).tobytes()
 
 
-SETS = "doc_id long, n long, sig binary, matches int, tokens array<long>, splits array<int>"
+SETS = "doc_id long, n long, sig binary, matches int, tokens array<long>, splits array<int>, parity array<long>"
 
 
 def prefixes(docs: DataFrame, table: bytes, key: str, text: str) -> DataFrame:
@@ -165,13 +172,14 @@ def prefixes(docs: DataFrame, table: bytes, key: str, text: str) -> DataFrame:
         asked = np.arange(1, MATCHES + 1)
 
         def each(part):
-            n, sig, matches, tokens, splits = [], [], [], [], []
+            n, sig, matches, tokens, splits, parity = [], [], [], [], [], []
             for s in shingler.sets(part.column(1)):
                 n.append(len(s))
                 if not len(s):
-                    sig.append(None), matches.append(0), tokens.append([]), splits.append([])
+                    sig.append(None), matches.append(0), tokens.append([]), splits.append([]), parity.append([])
                     continue
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()))
+                parity.append(np.packbits(np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).view(np.int64))
                 levels = level[(s >> np.uint64(64 - SKETCH)).astype(np.int64)]
                 order = np.argsort(levels, kind="stable")
                 first = len(s) - (PERCENT * len(s) + 99) // 100 + 1
@@ -182,7 +190,7 @@ def prefixes(docs: DataFrame, table: bytes, key: str, text: str) -> DataFrame:
                 matches.append(best)
                 tokens.append(s[chosen].view(np.int64))
                 splits.append((1 + cost[levels[chosen]] // TOGETHER).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(matches, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(splits, pa.list_(pa.int32()))], names=["doc_id", "n", "sig", "matches", "tokens", "splits"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(matches, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(splits, pa.list_(pa.int32())), pa.array(parity, pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "matches", "tokens", "splits", "parity"])
 
         return each, lambda: ()
 
@@ -190,24 +198,37 @@ def prefixes(docs: DataFrame, table: bytes, key: str, text: str) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(node, n, matches, at, token, split, splits, first) of shingles that two classes may share.
+    """(node, n, matches, at, token, split, splits, firsts) of shingles that two classes may share.
 
-    first is the posting of the list with the fewest rarer shingles before it. A list with many more than
-    TOGETHER postings is kept in splits, each with a first of its own.
+    firsts are three postings of the list: that with the fewest rarer shingles before it, which is the most
+    typical of a group of near copies, and two by hash, which are the same in many lists of a group. A list
+    with many more than TOGETHER postings is kept in splits, each with firsts of its own.
     """
     each = classes.select("node", "n", "matches", F.posexplode(F.arrays_zip("tokens", "splits")).alias("at", "x")).select("node", "n", "matches", "at", F.col("x.tokens").alias("token"), F.col("x.splits").alias("splits"))
     each = each.withColumn("split", F.when(F.col("splits") > 1, F.pmod(F.xxhash64("node"), F.col("splits"))).otherwise(F.lit(0)).cast("int"))
-    listed = each.selectExpr("*", "count(*) over (partition by token, split) as together", "min(struct(at, node, n, matches)) over (partition by token, split) as first")
+    first = lambda order: f"(min(struct({order} as o, struct(node, n, matches, at) as p)) over (partition by token, split)).p"
+    listed = each.selectExpr("*", "count(*) over (partition by token, split) as together", f"array({first('cast(at as long)')}, {first('xxhash64(node, 1)')}, {first('xxhash64(node, 2)')}) as firsts")
     return listed.where("together > 1 or splits > 1").drop("together")
 
 
 def may_link(a: str, b: str) -> str:
     """Whether a shared shingle counts for a pair: sizes near enough, and both places inside the pair's prefixes."""
     least = f"least({a}.matches, {b}.matches)"
-    overlap = f"(({PERCENT} * ({a}.n + {b}.n) + {99 + PERCENT}) div {100 + PERCENT})"
+    overlap = overlap_of(f"{a}.n", f"{b}.n")
     return f"100 * least({a}.n, {b}.n) >= {PERCENT} * greatest({a}.n, {b}.n) and {a}.at < {a}.n - {overlap} + {least} and {b}.at < {b}.n - {overlap} + {least}"
 
 
+def overlap_of(a: str, b: str) -> str:
+    """The least number of shared shingles of linked sets of two sizes."""
+    return f"(({PERCENT} * ({a} + {b}) + {99 + PERCENT}) div {100 + PERCENT})"
+
+
+def near_parity(a: str, b: str, n: str, m: str) -> str:
+    """Whether two parity maps differ in few enough bits for sets of sizes n and m to link."""
+    differ = " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(PARITY // 64))
+    return f"{differ} <= {n} + {m} - 2 * {overlap_of(n, m)}"
+
+
 def counted(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, that share as many prefix shingles as they must. In: structs x and y, a row for each."""
     both = pairs.selectExpr("least(x.node, y.node) as a", "greatest(x.node, y.node) as b", "least(x.matches, y.matches) as asked")
@@ -241,43 +262,55 @@ class Prepared:
     """The classes of equal sets and their postings, staged."""
 
     def __init__(self, docs: DataFrame, key: str, text: str):
-        self.docs, self.key, self.text = docs, key, text
-        self.members = stage(prefixes(docs, frequencies(docs, key, text), key, text), "prefixes")
-        some = self.members.where("sig is not null and doc_id is not null")
-        classes = some.groupBy("sig").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "matches", "tokens", "splits")])
-        self.postings = stage(postings(classes), "postings")
-        self.classes = some.groupBy("sig").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
+        self.docs, self.key, self.text, self.spark = docs, key, text, docs.sparkSession
+        made = stage(prefixes(docs, frequencies(docs, key, text), key, text), "prefixes")
+        sweep(self.spark)
+        own = [F.min("doc_id").alias("node"), F.count("*").alias("copies")]
+        some = made.where("sig is not null and doc_id is not null")
+        self.postings = stage(postings(some.groupBy("sig").agg(*own, *[F.first(c).alias(c) for c in ("n", "matches", "tokens", "splits")])), "postings")
+        self.members = stage(made.select("doc_id", "n", "sig"), "members")
+        self.classes = stage(some.groupBy("sig").agg(*own, F.first("n").alias("n"), F.first("parity").alias("parity")), "classes")
+        discard(made)
+        sweep(self.spark)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        return stage(verified(self.docs, pairs, self.key, self.text), "links")
+        """The pairs that link: first by parity maps, which rule out most others, then by whole sets."""
+        maps = lambda side: self.classes.select(F.col("node").alias(side), F.col("n").alias(f"{side}n"), F.col("parity").alias(f"{side}p"))
+        near = pairs.join(maps("a"), "a").join(maps("b"), "b").where(near_parity("ap", "bp", "an", "bn")).select("a", "b").distinct()
+        out = stage(verified(self.docs, stage(near, "near-pairs"), self.key, self.text), "links")
+        sweep(self.spark)
+        return out
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
-    """Each posting with the first of its list, and the firsts of a list's splits with the first of them."""
-    own = lists.selectExpr("struct(node, n, matches, at) as x", "struct(first.node, first.n, first.matches, first.at) as y")
-    firsts = lists.where("splits > 1").selectExpr("token", "split", "first").distinct()
+    """Each posting with the firsts of its list, and the firsts of a list's splits with one of them."""
+    own = lists.selectExpr("struct(node, n, matches, at) as x", "explode(array_distinct(firsts)) as y")
+    firsts = lists.where("splits > 1").selectExpr("token", "split", "firsts[0] as first").distinct()
     over = firsts.selectExpr("first as x", "min(first) over (partition by token) as y").selectExpr("struct(x.node, x.n, x.matches, x.at) as x", "struct(y.node, y.n, y.matches, y.at) as y")
     return own.unionByName(over).where("x.node <> y.node").where(may_link("x", "y"))
 
 
-def cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
+def cross_pairs(lists: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """All postings of a list that lie in different components, but for those both in the component of its first."""
     known = lists.select("node", "n", "matches", "at", "token").join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     known = stage(known, "labelled")
     lists_of = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min(F.struct("at", "node", "c"))["c"].alias("home"))
     open_ = stage(lists_of.where("lo <> hi").select("token", "size", "home"), "open-lists")
     total = open_.agg(F.sum("size")).collect()[0][0] or 0
-    rows = stage(attach_groups(known, open_, "token", "size", ["node"], total), "open-postings")
-    minor = rows.where("c <> home").selectExpr("token as t", "c as xc", "struct(node, n, matches, at) as x")
-    every = rows.selectExpr("token", "c as yc", "home", "struct(node, n, matches, at) as y")
-    return minor.join(every, (F.col("t") == F.col("token")) & (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("home")) | (F.col("x.node") < F.col("y.node"))) & F.expr(may_link("x", "y"))).select("x", "y")
+    rows = attach_groups(known, open_, "token", "size", ["node"], total)
+    rows = stage(rows.join(classes.select("node", "parity"), "node"), "open-postings")
+    minor = rows.where("c <> home").selectExpr("token as t", "c as xc", "struct(node, n, matches, at) as x", "parity as xp")
+    every = rows.selectExpr("token", "c as yc", "home", "struct(node, n, matches, at) as y", "parity as yp")
+    near = F.expr(may_link("x", "y")) & F.expr(near_parity("xp", "yp", "x.n", "y.n"))
+    return minor.join(every, (F.col("t") == F.col("token")) & (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("home")) | (F.col("x.node") < F.col("y.node"))) & near).select("x", "y")
 
 
 def resolve(p: Prepared) -> DataFrame:
     """(node, component) of every class that links with another."""
     tried = stage(counted(star_pairs(p.postings)), "star-pairs")
     labels = stage(connected_components(p.verified(tried)), "labels")
-    left = stage(counted(cross_pairs(p.postings, labels)).join(tried, ["a", "b"], "left_anti"), "cross-pairs")
+    sweep(p.spark)
+    left = stage(counted(cross_pairs(p.postings, labels, p.classes)).join(tried, ["a", "b"], "left_anti"), "cross-pairs")
     more = p.verified(left)
     names = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}c"))
     joins = more.join(names("a"), "a", "left").join(names("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
@@ -300,7 +333,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     """(pairs of linked class ids, (doc_id, class_id)): every link between different sets, none left out."""
     p = Prepared(docs, key, text)
     alone = p.postings.select("node").distinct().select("node", F.col("node").alias("component"))
-    pairs = p.verified(stage(counted(cross_pairs(p.postings, alone)), "pairs"))
-    classes = stage(p.classes, "classes")
+    pairs = p.verified(stage(counted(cross_pairs(p.postings, alone, p.classes)), "pairs"))
+    classes = p.classes.select("sig", "node", "copies")
     total = classes.agg(F.sum("copies")).collect()[0][0] or 0
     return pairs, attach_groups(p.members.select("doc_id", "sig"), classes, "sig", "copies", ["doc_id"], total, how="left").select("doc_id", F.coalesce("node", "doc_id").alias("class_id"))
