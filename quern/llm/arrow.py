@@ -17,7 +17,7 @@ BATCH = 8 << 20
 def small_batches(df: DataFrame) -> DataFrame:
     """Has the session send Arrow batches of at most BATCH bytes, so that long texts don't meet in a worker."""
     name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
-    if not 0 < int(str(conf.get(name, "0")).rstrip("bB") or 0) <= BATCH:
+    if not 0 < int(str(conf.get(name)).rstrip("bB")) <= BATCH:
         conf.set(name, str(BATCH))
     return df
 
