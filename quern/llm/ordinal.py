@@ -39,10 +39,14 @@ PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 class Features:
-    """Features of words, remembered for a bounded number of words."""
+    """Features of words, remembered for a bounded number of words.
 
-    def __init__(self):
+    With weights, features of weight 0 are left out: they add nothing to a score, and most words have no other.
+    """
+
+    def __init__(self, weights: np.ndarray | None = None):
         self.known: dict[str, tuple] = {}
+        self.weights = weights
 
     def of_word(self, word: str) -> tuple:
         core = word.strip(PUNCTUATION)
@@ -53,14 +57,16 @@ class Features:
         return (*([place(low)] if core else []), *stem, *([place("\0" + tail)] if tail else []))
 
     def of_text(self, text: str | None) -> np.ndarray:
-        if len(self.known) > 100_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         every = (text or "").split()
         words, out, known = set(every), set(), self.known
         for w in words:
             if (f := known.get(w)) is None:
-                f = known[w] = self.of_word(w)
-            out.update(f)
+                f = self.of_word(w)
+                f = known[w] = f if self.weights is None else tuple(x for x in f if self.weights[x])
+            if f:
+                out.update(f)
         if words:
             capitals = sum(map(str.isupper, words)) * 8 // len(words)
             out.add(xxhash.xxh3_64_intdigest(b"\1%d" % capitals) >> (64 - BITS))
@@ -152,7 +158,8 @@ def sampled(docs: DataFrame, grades: DataFrame, key: str, text: str, rows: int =
         f = Features()
         return lambda texts: [pa.array([f.of_text(t).tobytes() for t in texts], pa.binary())]
 
-    got = add_columns(joined, "text", [("features", T.BinaryType())], start, keep=[key, "grade"]).orderBy(key, "grade").collect()
+    got = add_columns(joined, "text", [("features", T.BinaryType())], start, keep=[key, "grade"]).collect()
+    got.sort(key=lambda r: (r[key], r["grade"]))  # here: a sort in Spark would make the features twice
     return [np.frombuffer(r["features"], np.int32) for r in got], np.array([r["grade"] for r in got], np.int64)
 
 
@@ -172,7 +179,8 @@ def classify(docs: DataFrame, model: Ordinal, text: str = "text", keep: list[str
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB of weights whatever the input
 
     def start():
-        m, f = shared.value, Features()
+        m = shared.value
+        f = Features(m.weights)
 
         def make(texts: list) -> list:
             score = np.array([float(m.weights[f.of_text(t)].sum(dtype=np.float64)) for t in texts])
