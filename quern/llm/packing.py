@@ -23,11 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.arrow import slices, small_batches
-from quern.llm.bpe import coder, share_ranks
+from quern.llm.bpe import share_ranks
 from quern.runtime import new_path, stage
 
 #: Tokens of a row; documents and tokens from which a window is written.
@@ -123,6 +124,18 @@ def unpacked(a: dict) -> Iterator[tuple[int | None, int, int, int, np.ndarray]]:
         yield None if a["doc_null"][d] else int(a["doc_id"][d]), len(parts), parts[0][1] if parts else -1, len(parts), ids
 
 
+_ENCODINGS: dict[tuple[int, str], tiktoken.Encoding] = {}
+
+
+def encoding(shared, pattern: str) -> tiktoken.Encoding:
+    """This worker's library encoder for broadcast ranks: here tokens are only the input of packing."""
+    key = (shared._id if hasattr(shared, "_id") else id(shared), pattern)
+    if key not in _ENCODINGS:
+        _ENCODINGS.clear()
+        _ENCODINGS[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
+    return _ENCODINGS[key]
+
+
 def open_fs(folder: str):
     return pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}" if folder.startswith("/") else folder)
 
@@ -134,8 +147,8 @@ def write(docs: DataFrame, folder: str, ranks_path: str, pattern: str, length: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
-        c = coder(shared, pattern)
-        pad, held, tokens, done = len(c.bytes_of), [], 0, []
+        c = encoding(shared, pattern)
+        pad, held, tokens, done = max(shared.value.values()) + 1, [], 0, []
 
         def flush() -> None:
             arrays, out = packed(held, length, pad), io.BytesIO()
@@ -148,7 +161,7 @@ def write(docs: DataFrame, folder: str, ranks_path: str, pattern: str, length: i
         for batch in batches:
             for part in slices(batch, 1):
                 for doc_id, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = np.frombuffer(c.encode(t or ""), "<u4")
+                    ids = np.asarray(c.encode_ordinary(t or ""), np.uint32)
                     held.append((doc_id, ids))
                     tokens += len(ids)
                     if len(held) >= WINDOW_DOCS or tokens >= WINDOW_TOKENS:
