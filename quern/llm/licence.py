@@ -1,8 +1,13 @@
 """License scans by canonical digest: DataFrame functions only.
 
 An entire text is brought to a canonical form and its digest is looked up among those of known licences.
-Canonical form: lower case; spellings that licence texts use alike made equal; lines that begin with a
-copyright notice dropped; every run of other characters than letters and digits made one space; none at the ends.
+Canonical form: lower case; lines of copyright notice dropped; white space, line ends too, made one space;
+spellings that licence texts use alike made equal; every run of other characters than letters and digits made
+one space; none at the ends. So a text matches however its lines are wrapped.
+
+A line is a notice if it begins with "copyright" and names a holder, a year or (c), with (c) or ©, or with
+"all rights reserved". Lines of a wrapped sentence that begin with "copyright notice", "copyright holders"
+and the like (OF_LAW) stay.
 
 Defined cases: a null text counts as empty and, like an empty text, matches nothing; repeated rows match
 alike; an empty table gives an empty table; the input's other columns are not read. Known licences with
@@ -35,7 +40,11 @@ SPELLINGS = [
     ("https:", "http:"),
     ("&", " and "),
 ]
+# Fixed value: words after "copyright" in sentences of licences, which name no holder unless a colon follows.
+OF_LAW = r"(?:and|disclaimers?|holders?|in|interests?|is|laws?|licen[cs]es?|notices?|on|or|owners?|ownership|permissions?|protection|statements?|to|treat(?:y|ies))"
 # Fixed value: a line of copyright notice, in lower-case text.
+NOTICE_LINE = rf"(?m)^[^\S\n]*(?:copyright\s*(?:\(c\)|©|\d{{4}})|copyright\b(?![^\S\n]+{OF_LAW}\b(?!\s*:))(?=[^\n]*[\p{{L}}\p{{N}}])|\(c\)|©|all rights reserved)[^\n]*$"
+# Fixed value: a line of copyright notice as the SQL tells it, which knows no wrapped sentences.
 NOTICE = r"(?m)^[^\S\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
 # Texts of known licences, without their notices.
@@ -99,11 +108,13 @@ KNOWN = {
 
 
 def canonical(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
+    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\r\n?", "\n")
+    low = F.regexp_replace(low, NOTICE_LINE, " ")
+    low = F.regexp_replace(low, r"-[^\S\n]*\n\s*", "-")  # "non-commercial" cut at its hyphen; any other hyphen becomes a space anyway
+    low = F.regexp_replace(low, r"[\s\p{Z}]+", " ")
     for old, new in SPELLINGS:
         low = F.replace(low, F.lit(old), F.lit(new))
-    low = F.regexp_replace(low, NOTICE, " ")
-    return F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "), r"\bfulfil\b", "fulfill"))
 
 
 def known_digests(docs: DataFrame, known: dict[str, str] = KNOWN) -> DataFrame:

@@ -375,3 +375,24 @@ def test_licences(spark, empty):
     got = sorted(((r.doc_id, r.licence) for r in licence.scan(docs).collect()), key=str)
     assert got == sorted([(1, "MIT"), (2, "MIT (untitled)"), (3, None), (4, None), (5, None), (6, "Zlib (untitled)"), (6, "MIT (reference)"), (None, "ISC (untitled)")], key=str)
     assert licence.scan(empty).count() == 0
+
+
+def test_licences_in_wrapped_lines(spark):
+    import textwrap
+
+    def wrapped(text, width, end="\n"):
+        return (end * 2).join(textwrap.fill(p, width, break_long_words=False).replace("\n", end) for p in text.split("\n\n"))
+
+    notice = "Copyright (c) 2020, Some One\nCopyright 1999 Other Inc.\nCopyright The Authors\nCopyright holder: A. N. Other\n\n"
+    rows = [(f"{name}/{width}", name, notice + wrapped(text, width)) for name, text in licence.KNOWN.items() for width in (*range(24, 100, 3), 72, 76, 80)]
+    rows += [(f"{name}/crlf{end!r}", name, notice.replace("\n", end) + wrapped(text, 72, end)) for name, text in licence.KNOWN.items() for end in ("\r\n", "\r")]
+    assert any("\ncopyright notice" in t for _, n, t in rows if n == "ISC")
+    docs = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id string, text string")
+    got = {r.doc_id: r.licence for r in licence.scan(docs).collect()}
+    assert {k: n for k, n, _ in rows if got[k] != n} == {}
+
+
+def test_canonical_spellings_at_line_ends(spark):
+    texts = ["the copyright owner pays ten per cent to fulfil it, sublicence and non-commercial", "the copyright\nholder pays ten per\r\n  cent to fulfil\nit, sub-\nlicense and non-\ncommercial", "the\ncopyright owner pays ten percent to fulfill it, sublicense and noncommercial"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(licence.canonical(F.col("t")).alias("c")).collect()
+    assert {r.c for r in got} == {"the copyright holder pays ten percent to fulfill it sublicense and noncommercial"}
