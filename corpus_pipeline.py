@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality, near duplicates, decontamination, tokens. Part of subpackage llm."""
+"""The corpus pipeline: quality, near duplicates, decontamination, tokens. Part of subpackage llm.
+
+Stages decide by row, never by id. Defined cases: rows with a null id are documents like others; rows with
+equal ids and other texts are documents of their own; repeated rows are copies, of which one is kept.
+"""
 
 from __future__ import annotations
 
@@ -18,16 +22,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ordinal.classify(docs.select(COLUMNS), model).where("kept").select(COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number of their own for each row; staged, so that every read gives the same numbers."""
+    return stage(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "rows")
+
+
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links connect, keeps the document of least id."""
-    kept = near_duplicates.components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").select(COLUMNS)
+    """Of each group that links connect, keeps one row: the one of least id, null ids last, then any of those."""
+    rows = numbered(docs)
+    groups = near_duplicates.components(rows.select("row", "text"), key="row").select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select("row", "doc_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row"))["row"]
+    kept = stage(groups.join(ids, "row").groupBy("component_id").agg(least.alias("row")).select("row"), "kept")
+    return rows.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that hold no window of a benchmark item."""
-    bad = decontaminate.report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id")
-    return docs.select(COLUMNS).join(bad, "doc_id", "left_anti").select(COLUMNS)
+    rows = numbered(docs)
+    bad = decontaminate.report(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row").where("contaminated").select(F.col("doc_id").alias("row"))
+    return rows.join(bad, "row", "left_anti").select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ Items are taken in blocks of at most BLOCK_BYTES of text, each broadcast, and th
 large benchmark costs more passes over the index, not more memory.
 
 Defined cases: null and empty texts have no words, are never hit, and an item without words has no window;
-items with equal ids count once, with all their windows; repeated documents are hit alike; an empty item
+items with equal ids count once, with all their windows; items with a null id are searched and count as one
+more item, which the digest of ids leaves out; repeated documents are hit alike; an empty item
 table hits nothing; an empty document table gives an empty table; other columns are not read.
 """
 
@@ -159,7 +160,7 @@ def windows_of(items: list[tuple], width: int) -> tuple[list[tuple], list[list]]
 
 def blocks_of(items: DataFrame, item: str, text: str) -> Iterator[list[tuple]]:
     """The items in blocks of bounded text (one item at least)."""
-    rows = items.select(F.col(item).alias("i"), F.col(text).alias("t")).where("t is not null and i is not null")
+    rows = items.select(F.col(item).alias("i"), F.col(text).alias("t")).where("t is not null")
     held, size = [], 0
     for r in rows.toLocalIterator():
         held.append((r["i"], r["t"]))
@@ -180,7 +181,7 @@ def search(index: DataFrame, items: list[tuple], width: int = WIDTH, reach: int
     With reach: places of proximity matches instead (length 1, at the window's rarest term).
     """
     windows, owners = windows_of(items, width)
-    shared = index.sparkSession.sparkContext.broadcast((windows, [[str(i) for i in x] for x in owners]))
+    shared = index.sparkSession.sparkContext.broadcast((windows, [[None if i is None else str(i) for i in x] for x in owners]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, owners = shared.value
@@ -198,7 +199,7 @@ def search(index: DataFrame, items: list[tuple], width: int = WIDTH, reach: int
                         names[d].update(owners[w])
                 yield pa.RecordBatch.from_arrays([
                     pa.array([one["segment"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(segment.doc_ids, pa.int64()), pa.array(np.diff(segment.starts)),
-                    pa.array(starts, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32())), pa.array([sorted(x) for x in names], pa.list_(pa.string())),
+                    pa.array(starts, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32())), pa.array([sorted(x, key=lambda i: (i is None, i or "")) for x in names], pa.list_(pa.string())),
                 ], names=["segment", "ordinal", "doc_id", "n_words", "starts", "lengths", "items"])
 
     numbered = index.withColumn("segment", F.xxhash64("positions", "doc_ids", "starts"))
@@ -230,10 +231,11 @@ def report(docs: DataFrame, items: DataFrame, width: int = WIDTH, key: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = [covered(s, n) for s, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            names = [sorted(x) for x in batch.column(4).to_pylist()]
+            names = batch.column(4).to_pylist()
+            known = [",".join(sorted(i for i in x if i is not None)) for x in names]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array([h > 0 for h in hit], pa.bool_()),
+                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in known], pa.string()), pa.array([h > 0 for h in hit], pa.bool_()),
             ], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return found.select("doc_id", "n_words", "starts", "lengths", "items").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

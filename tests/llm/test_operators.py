@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import tiktoken
@@ -164,6 +165,21 @@ def test_decontamination(spark, empty, monkeypatch):
     assert not decontaminate.report(table, tests.limit(0)).where("contaminated").count()
 
 
+def test_items_without_an_id(spark, tmp_path, monkeypatch):
+    items = [(None, "a b c"), (None, "d e"), (5, "d e"), (6, "f g h")]
+    table = spark.createDataFrame([(1, "x a b c"), (2, "d e a b c"), (3, "f g h"), (4, "none")], "doc_id long, text string")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", table), ("benchmark", tests)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(con.execute(queries.oracle_sql()["op8_decontamination"]).fetchall())
+    assert [(r[0], r[2], r[3]) for r in want] == [(1, 3, 1), (2, 5, 2), (3, 3, 1), (4, 0, 0)]
+    for size in (decontaminate.BLOCK_BYTES, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        assert sorted(map(tuple, decontaminate.report(table, tests).collect())) == want
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "b x a y c"), (2, "a " + "z " * 30 + "b c"), (3, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "a b c")], "item_id long, text string")

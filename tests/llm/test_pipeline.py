@@ -54,3 +54,16 @@ def test_stages(spark, folder):
         want.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert sorted(map(tuple, kept[-1].select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == sorted(want)
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == sorted(want)
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    """Null ids, repeated ids and repeated rows; a benchmark item without an id."""
+    rng = random.Random(3)
+    a, b, c, d, e, f, item, other = (words(rng, 30, 5000) for _ in range(8))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, c), (2, d), (2, e), (3, b), (None, e), (4, None), (5, "")]
+    got = corpus_pipeline.near_duplicate(spark, frame(spark, rows), str(tmp_path)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, a), (1, c), (2, d), (2, e), (3, b), (4, None), (5, "")], key=str)
+    spark.createDataFrame([(None, item), (7, other)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, a), (None, "x " + item), (1, b), (1, item + " y"), (2, c + " " + other), (2, c), (3, f), (3, f), (None, other)]
+    got = corpus_pipeline.decontaminated(spark, frame(spark, rows), str(tmp_path)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, a), (1, b), (2, c), (3, f), (3, f)], key=str)
