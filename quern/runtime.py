@@ -16,10 +16,14 @@ _STAGED: dict[str, list[str]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (a local session, as in tests) a temporary folder is made and set.
+    Only where that is unset in a local session, as in tests, a temporary folder is made and set; on a
+    cluster, where executors couldn't see it, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -96,3 +100,26 @@ def attach_groups(left: DataFrame, groups: DataFrame, key: str, size: str, sprea
     if how == "inner":
         out = out.where(F.col("__v").isNotNull())
     return out.select(*[F.col(c) for c in left.columns], *[F.col(f"__v.{c}").alias(c) for c in cols])
+
+
+def hot_keys(rows: DataFrame, keys: list[str], hot_share: int = 512) -> DataFrame:
+    """(hot, parts), staged: values that the key columns hold in more than total / hot_share rows, and into how
+    many parts such rows are to be dealt. There are at most len(keys) * hot_share of them whatever the input."""
+    counts = stage(rows.select(F.explode(F.array(*keys)).alias("hot")).where("hot is not null").groupBy("hot").agg(F.count("*").alias("n")), "key-counts")
+    total = counts.agg(F.sum("n")).collect()[0][0] or 0
+    limit = max(16, total // (len(keys) * hot_share))
+    return stage(counts.where(F.col("n") > limit).select("hot", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "hot-keys")
+
+
+def replicate_join(left: DataFrame, right: DataFrame, key: str, spread: str, hot: DataFrame) -> DataFrame:
+    """Inner join of rows to a table with one row for each key, where some keys hold many of the rows.
+
+    Rows of a hot key (see hot_keys) are dealt into parts by a hash of `spread`, and the key's one row of
+    `right` is copied for each part; so no task gets more than a part, and there are at most as many copies
+    as parts. Unlike attach_groups, rows of `right` aren't broadcast, so they may be of any size.
+    """
+    named = hot.select(F.col("hot").alias("__hot"), F.col("parts").alias("__parts"))
+    mark = lambda df: df.join(F.broadcast(named), F.col(key) == F.col("__hot"), "left")
+    dealt = mark(left).withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("__parts")).cast("int"))).drop("__hot", "__parts")
+    copies = mark(right).withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1))).drop("__hot", "__parts")
+    return dealt.join(copies, [key, "__part"]).drop("__part")
