@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -54,3 +55,13 @@ def add_columns(df: DataFrame, text: str, new: list[tuple[str, T.DataType]], sta
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in places], *make(part.column(at).to_pylist())], names=out_names)
 
     return small_batches(df).select(*[df[c] for c in carried]).mapInArrow(run, schema)
+
+
+def open_fs(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder and its path there; Spark's names for a store count as Arrow's."""
+    scheme, found, rest = folder.partition("://")
+    if not found:
+        folder = f"file://{folder}" if folder.startswith("/") else folder
+    elif scheme in ("s3a", "s3n"):
+        folder = f"s3://{rest}"
+    return pafs.FileSystem.from_uri(folder)

@@ -8,7 +8,8 @@ Defined cases: turns without a conversation id belong to no conversation; turns
 last), then role, then text, so repeated rows are repeated turns; a null role is "unknown", a null text
 empty; a mark inside a text is broken by a space so that it can't end the turn; identical conversations
 have empty completions and masks; a conversation without a partner gives a row whose other side is null
-and whose prompt is empty; an empty table gives an empty table; other columns are not read.
+and whose prompt is empty; an empty table gives an empty table; other columns are not read; a
+conversation, however long, is one row and must fit in one task.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 # The marks around a turn.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+#: Turns that mask_of() takes together.
+BLOCK = 256
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -43,17 +46,28 @@ def text_of(turns: Column) -> Column:
 
 
 def mask_of(turns: Column) -> Column:
-    """Spans start-end, comma-joined, of the assistant's texts and end marks."""
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("spans"))
+    """Spans start-end, comma-joined, of the assistant's texts and end marks.
 
-    def add(done: Column, turn: Column) -> Column:
-        size = F.length(rendered(turn))
-        start = done["at"] + F.length(F.lit(OPEN)) + F.length(safe(turn["role"])) + 1
-        span = F.concat_ws("-", start.cast("string"), (done["at"] + size - 1).cast("string"))
-        spans = F.when(turn["role"] == "assistant", F.concat(done["spans"], F.array(span))).otherwise(done["spans"])
-        return F.struct((done["at"] + size).cast("long").alias("at"), spans.alias("spans"))
+    Turns are taken in blocks of BLOCK: the sums of blocks tell where each one starts, so a conversation of n
+    turns costs about n * BLOCK steps, not n squared.
+    """
+    long = lambda c: c.cast("long")
+    size = lambda turn: long(F.length(rendered(turn)))
+    nothing = F.array().cast("array<string>")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(turns) - 1) / BLOCK).cast("int"))), lambda b: F.slice(turns, b * BLOCK + 1, F.lit(BLOCK)))
+    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda n, turn: n + size(turn)))
+    starts = F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
 
-    return F.aggregate(turns, first, add, lambda done: F.array_join(done["spans"], ","))
+    def spans(block: Column, start: Column) -> Column:
+        def add(done: Column, turn: Column) -> Column:
+            text_at = done["at"] + F.length(F.lit(OPEN)) + F.length(safe(turn["role"])) + 1
+            span = F.concat_ws("-", text_at.cast("string"), (done["at"] + size(turn) - 1).cast("string"))
+            own = F.when(turn["role"] == "assistant", F.concat(done["spans"], F.array(span))).otherwise(done["spans"])
+            return F.struct(long(done["at"] + size(turn)).alias("at"), own.alias("spans"))
+
+        return F.aggregate(block, F.struct(start.alias("at"), nothing.alias("spans")), add, lambda done: done["spans"])
+
+    return F.array_join(F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), spans)), ",")
 
 
 def prefix_length(a: Column, b: Column) -> Column:
@@ -66,7 +80,7 @@ def prefix_length(a: Column, b: Column) -> Column:
 def neighbours(turns: DataFrame) -> DataFrame:
     """(pair_id, chosen_id, rejected_id): conversation 2k is chosen over 2k + 1."""
     ids = turns.where("conv_id is not null").select("conv_id").distinct()
-    pair = F.floor(F.col("conv_id") / 2).alias("pair_id")
+    pair = F.shiftright("conv_id", 1).alias("pair_id")
     side = lambda n: F.max(F.when(F.pmod("conv_id", F.lit(2)) == n, F.col("conv_id")))
     return ids.groupBy(pair).agg(side(0).alias("chosen_id"), side(1).alias("rejected_id"))
 

@@ -10,29 +10,35 @@ Files go to the shared folder by pyarrow.fs under names of the task's own; only
 tasks returned are read.
 
 Defined cases: null and empty texts have no tokens and take no room, but are recorded; repeated rows are
-packed again; a null id is kept as null; an empty table writes nothing; other columns are not read.
+packed again; a null id is kept as null; an empty table writes nothing; other columns are not read. Texts
+with a run of LONG_RUN white or other characters, on which the library's pattern overflows its stack or its
+merges grow quadratic, are encoded by this package's own coder, which gives the same ids; a text is held
+whole in one worker.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.arrow import slices, small_batches
-from quern.llm.bpe import share_ranks
+from quern.llm.arrow import open_fs, slices, small_batches
+from quern.llm.bpe import Coder, share_ranks
 from quern.runtime import new_path, stage
 
 #: Tokens of a row; documents and tokens from which a window is written.
 LENGTH, WINDOW_DOCS, WINDOW_TOKENS = 2048, 8192, 2 << 20
+#: A run of so many characters without (or of nothing but) white space goes to the coder of bpe.
+LONG_RUN = 4096
+_RUN = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
 
 
 class Room:
@@ -124,20 +130,30 @@ def unpacked(a: dict) -> Iterator[tuple[int | None, int, int, int, np.ndarray]]:
         yield None if a["doc_null"][d] else int(a["doc_id"][d]), len(parts), parts[0][1] if parts else -1, len(parts), ids
 
 
-_ENCODINGS: dict[tuple[int, str], tiktoken.Encoding] = {}
+class Encoder:
+    """The ids of a text: by the library, or by bpe's coder where the library can't."""
 
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.library = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.make_own, self.own = lambda: Coder(ranks, pattern), None
+
+    def ids(self, text: str) -> np.ndarray:
+        if len(text) < LONG_RUN or not _RUN.search(text):
+            return np.asarray(self.library.encode_ordinary(text), np.uint32)
+        self.own = self.own or self.make_own()
+        return np.frombuffer(self.own.encode(text), "<u4").astype(np.uint32)
 
-def encoding(shared, pattern: str) -> tiktoken.Encoding:
-    """This worker's library encoder for broadcast ranks: here tokens are only the input of packing."""
-    key = (shared._id if hasattr(shared, "_id") else id(shared), pattern)
-    if key not in _ENCODINGS:
-        _ENCODINGS.clear()
-        _ENCODINGS[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
-    return _ENCODINGS[key]
 
+_ENCODERS: dict[tuple[int, str], Encoder] = {}
 
-def open_fs(folder: str):
-    return pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}" if folder.startswith("/") else folder)
+
+def encoder(shared, pattern: str) -> Encoder:
+    """This worker's encoder for broadcast ranks: here tokens are only the input of packing."""
+    key = (shared._id if hasattr(shared, "_id") else id(shared), pattern)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(shared.value, pattern)
+    return _ENCODERS[key]
 
 
 def write(docs: DataFrame, folder: str, ranks_path: str, pattern: str, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,7 +163,7 @@ def write(docs: DataFrame, folder: str, ranks_path: str, pattern: str, length: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
-        c = encoding(shared, pattern)
+        c = encoder(shared, pattern)
         pad, held, tokens, done = max(shared.value.values()) + 1, [], 0, []
 
         def flush() -> None:
@@ -161,7 +177,7 @@ def write(docs: DataFrame, folder: str, ranks_path: str, pattern: str, length: i
         for batch in batches:
             for part in slices(batch, 1):
                 for doc_id, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = np.asarray(c.encode_ordinary(t or ""), np.uint32)
+                    ids = c.ids(t or "")
                     held.append((doc_id, ids))
                     tokens += len(ids)
                     if len(held) >= WINDOW_DOCS or tokens >= WINDOW_TOKENS:
