@@ -14,10 +14,13 @@ pairs are verified and joined into components. Then all other pairs of a list wh
 different components are taken, so no link that matters for components is lost. links() gives every
 linked pair of classes instead.
 
+At very large inputs, where all counters are well filled, the table tells only very frequent shingles apart;
+the others then keep their hash order, which is as much a common order, so results hold and prefixes cost more.
+
 Defined cases: a null or empty text, or one without words, has an empty set and is alone; fewer than five
 words are one shingle; a null id is alone with a null component; rows with equal sets are one class;
 repeated ids with other texts each follow their own text; an empty table gives an empty table; other
-columns are not read.
+columns are not read; a very long text is one set, held whole in one worker at a time.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import types as T
 
 from quern.llm.arrow import slices, small_batches
 from quern.operators.components import connected_components
-from quern.runtime import attach_groups, discard, stage, sweep
+from quern.runtime import attach_groups, discard, hot_keys, replicate_join, stage, sweep
 
 #: Words of a shingle; least similarity in hundredths; log2 of the counters; most matches that a prefix asks for.
 WORDS, PERCENT, SKETCH, MATCHES = 5, 80, 23, 8
@@ -41,8 +44,8 @@ WORDS, PERCENT, SKETCH, MATCHES = 5, 80, 23, 8
 VERIFY, TOGETHER = 20.0, 8192
 #: Bits of a set's parity map: two sets differ in as many shingles at least as their maps do in bits.
 PARITY = 512
-#: Bits of the table of documents that must be verified, 8 MB however large the input.
-NEEDED_BITS = 26
+#: Least and most bits of the table of documents that must be verified: 8 for each of them, 128 MB at most.
+NEEDED_BITS = (20, 30)
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
@@ -235,13 +238,18 @@ def counted(pairs: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("asked").alias("asked")).where("shared >= asked").select("a", "b")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs that link, from their whole sets. Only documents that a pair may name leave their task."""
+def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, hot: DataFrame) -> DataFrame:
+    """The pairs that link, from their whole sets. Only documents that a pair may name leave their task.
+
+    A document that many pairs name (hot, see hot_keys) has its set copied for parts of those pairs.
+    """
     spark = docs.sparkSession
-    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - NEEDED_BITS)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    bits = ids.select(F.floor(place("node") / 32768).alias("block"), (place("node") % 32768).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    blocks = spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in bits.collect()})
+    least, most = NEEDED_BITS
+    bits = min(most, max(least, (8 * ids.agg(F.approx_count_distinct("node")).collect()[0][0]).bit_length()))
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
+    table = ids.select(F.floor(place("node") / 32768).alias("block"), (place("node") % 32768).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    blocks = spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in table.collect()})
     wanted = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), place(F.col(key).cast("long")).alias("place")).where("doc_id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +262,8 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFram
                     yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.view(np.int64) for s in shingler.sets(some.column(1))], pa.list_(pa.int64()))], names=["node", "set"])
 
     sets = stage(wanted.mapInArrow(run, "node long, set array<long>"), "sets").distinct()
-    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    with_b = replicate_join(pairs, sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b", "a", hot)
+    joined = replicate_join(with_b, sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a", "b", hot)
     return joined.withColumn("i", F.size(F.array_intersect("x", "y"))).where(f"100 * i >= {PERCENT} * (size(x) + size(y) - i)").select("a", "b").distinct()
 
 
@@ -276,8 +285,10 @@ class Prepared:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link: first by parity maps, which rule out most others, then by whole sets."""
         maps = lambda side: self.classes.select(F.col("node").alias(side), F.col("n").alias(f"{side}n"), F.col("parity").alias(f"{side}p"))
-        near = pairs.join(maps("a"), "a").join(maps("b"), "b").where(near_parity("ap", "bp", "an", "bn")).select("a", "b").distinct()
-        out = stage(verified(self.docs, stage(near, "near-pairs"), self.key, self.text), "links")
+        hot = hot_keys(pairs, ["a", "b"])
+        near = replicate_join(replicate_join(pairs, maps("a"), "a", "b", hot), maps("b"), "b", "a", hot)
+        near = stage(near.where(near_parity("ap", "bp", "an", "bn")).select("a", "b").distinct(), "near-pairs")
+        out = stage(verified(self.docs, near, self.key, self.text, hot), "links")
         sweep(self.spark)
         return out
 
@@ -291,18 +302,24 @@ def star_pairs(lists: DataFrame) -> DataFrame:
 
 
 def cross_pairs(lists: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """All postings of a list that lie in different components, but for those both in the component of its first."""
+    """All postings of a list that lie in different components, but for those both in the component of its first.
+
+    A long list is cut into parts by its minor postings (those outside the home component); each part meets
+    a copy of the whole list, so no task gets more than a part's pairs.
+    """
     known = lists.select("node", "n", "matches", "at", "token").join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     known = stage(known, "labelled")
     lists_of = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min(F.struct("at", "node", "c"))["c"].alias("home"))
     open_ = stage(lists_of.where("lo <> hi").select("token", "size", "home"), "open-lists")
     total = open_.agg(F.sum("size")).collect()[0][0] or 0
-    rows = attach_groups(known, open_, "token", "size", ["node"], total)
+    limit = max(64, total // 512)
+    rows = attach_groups(known, open_.withColumn("parts", F.ceil(F.col("size") / limit).cast("int")), "token", "size", ["node"], total)
     rows = stage(rows.join(classes.select("node", "parity"), "node"), "open-postings")
-    minor = rows.where("c <> home").selectExpr("token as t", "c as xc", "struct(node, n, matches, at) as x", "parity as xp")
-    every = rows.selectExpr("token", "c as yc", "home", "struct(node, n, matches, at) as y", "parity as yp")
+    minor = rows.where("c <> home").selectExpr("token as t", "cast(pmod(xxhash64(node), parts) as int) as tp", "c as xc", "struct(node, n, matches, at) as x", "parity as xp")
+    every = rows.selectExpr("token", "explode(sequence(0, parts - 1)) as part", "c as yc", "home", "struct(node, n, matches, at) as y", "parity as yp")
     near = F.expr(may_link("x", "y")) & F.expr(near_parity("xp", "yp", "x.n", "y.n"))
-    return minor.join(every, (F.col("t") == F.col("token")) & (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("home")) | (F.col("x.node") < F.col("y.node"))) & near).select("x", "y")
+    same = (F.col("t") == F.col("token")) & (F.col("tp") == F.col("part"))
+    return minor.join(every, same & (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("home")) | (F.col("x.node") < F.col("y.node"))) & near).select("x", "y")
 
 
 def resolve(p: Prepared) -> DataFrame:
