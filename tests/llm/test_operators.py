@@ -180,6 +180,36 @@ def test_items_without_an_id(spark, tmp_path, monkeypatch):
         assert sorted(map(tuple, decontaminate.report(table, tests).collect())) == want
 
 
+def test_equal_segments_and_blocks(spark, monkeypatch):
+    """Equal partitions keep rows of their own however many blocks there are, and long items are cut without loss."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l")] * 2, "doc_id long, text string").repartition(2)
+    items = spark.createDataFrame([(1, "a b c"), (2, "x y z"), (3, "b c d e f g h i j k l"), (3, "q r"), (4, " ".join(f"z{i}" for i in range(90)))], "item_id long, text string")
+    whole = spark.createDataFrame([(9, "o " + " ".join(f"z{i}" for i in range(90)))], "doc_id long, text string")
+    docs = docs.union(whole)
+    want = sorted(map(tuple, decontaminate.report(docs, items).collect()))
+    assert [r[2:4] for r in want] == [(12, 2), (12, 2), (90, 1)]
+    for size in (1, 30, 100):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        assert sorted(map(tuple, decontaminate.report(docs, items).collect())) == want
+
+
+def test_phrases_with_few_candidates_at_once(monkeypatch):
+    rng = random.Random(9)
+    items = [(i, [b"w%d" % rng.randrange(6) for _ in range(rng.choice([2, 3, 5]))]) for i in range(40)]
+    docs = [(i, " ".join(f"w{rng.randrange(7)}" for _ in range(200))) for i in range(5)]
+    w, segment = decontaminate.Windows(items, 3), decontaminate.Segment(decontaminate.index_of(docs))
+    every = [[t.encode() for t in d.split()] for _, d in docs]
+    want = {(d, k, i) for i, words_ in items for n in [min(3, len(words_))] for j in range(len(words_) - n + 1) for d, text in enumerate(every) for k in range(len(text) - n + 1) if text[k : k + n] == words_[j : j + n]}
+    for most in (1, 7, 1 << 20):
+        monkeypatch.setattr(decontaminate, "CANDIDATES", most)
+        got = set()
+        for found, starts in segment.phrases(w):
+            for x, p in zip(found.tolist(), starts.tolist()):
+                d = int(np.searchsorted(segment.starts, p, "right")) - 1
+                got |= {(d, p - int(segment.starts[d]), int(i)) for i in w.items_of(x)}
+        assert got == want
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "b x a y c"), (2, "a " + "z " * 30 + "b c"), (3, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "a b c")], "item_id long, text string")
@@ -251,12 +281,24 @@ def test_fingerprints(spark, empty):
 
 
 def test_fingerprint_clash_is_told_apart(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A"), (None, "b"), (5, None)], "doc_id long, text string")
-    same = docs.withColumn("canon_length", F.length("text"))
-    fake = same.select(F.lit("0" * 32).alias("fingerprint"))
-    assert fingerprint.twice(fake, "fingerprint")
-    made = fingerprint.verify(docs, fingerprint.with_edits(docs))
-    assert made.count() == 0  # equal digests here have equal bytes
+    """A digest that many texts share: fingerprints still are equal where, and only where, canonical texts are."""
+
+    def weak(canon):
+        return "0" * 31 + str(len(canon) % 2)
+
+    docs = [(1, "a"), (2, "b"), (3, "A"), (None, "b"), (5, None), (6, "ccc"), (7, "aa"), (8, "bb"), (9, "ccc")]
+    monkeypatch.setattr(fingerprint, "digest", weak)
+    got = fingerprint.fingerprint_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    by_id = sorted(docs, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    texts = {}
+    for (i, t), (_, after) in zip(by_id, by_id[1:] + by_id[:1]):
+        t, after = t or "", after or ""
+        texts[i] = fingerprint.canonical(t), fingerprint.canonical(t[: len(t) - len(t) // 2] + after[: len(t) // 2])
+    seen = {}
+    for r in got:
+        for name, canon in zip((r.fingerprint, r.edited_fingerprint), texts[r.doc_id]):
+            seen.setdefault(name, set()).add(canon)
+    assert all(len(x) == 1 for x in seen.values()) and len(seen) == len({c for x in texts.values() for c in x})
 
 
 def test_warc_round_trip(spark):
@@ -281,6 +323,30 @@ def test_warc_finds_damage():
         list(warc.read_records(io.BytesIO(good[:-20])))
 
 
+def test_warc_foreign_records():
+    """Records of other kinds and writers, without or with other digests."""
+
+    def member(kind, name, block, *more):
+        pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+        head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"Content-Length: {len(block)}", *more]
+        return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
+
+    http = "Content-Type: application/http; msgtype=response"
+    hello = b"HTTP/1.1 200 OK\r\nX: a\r\n b\r\n\r\nhello"
+    made = [
+        member("warcinfo", "<urn:uuid:1>", b"a: b", "Content-Type: application/warc-fields"), member("request", "<urn:uuid:2>", b"GET / HTTP/1.0\r\n\r\n", "Content-Type: application/http;msgtype=request"),
+        member("response", "<urn:uuid:3>", hello, http), member("response", "<urn:uuid:4>", hello, http, "WARC-Payload-Digest: md5:" + hashlib.md5(b"hello").hexdigest()),
+        member("response", "<urn:uuid:5>", b"no end of a header", http), member("metadata", "<urn:uuid:6>", b""), warc.record(7, "u", b"x", None),
+    ]
+    got = list(warc.read_records(io.BytesIO(b"".join(made)), payloads=True))
+    assert [r["payload"] for r in got] == [b"a: b", b"", b"hello", b"hello", b"no end of a header", b"", b"x"]
+    assert [r["page_id"] for r in got] == [None] * 6 + [7] and got[2]["record_id"] == "<urn:uuid:3>"
+    assert got[2]["payload_digest"] == base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+    for bad in ("WARC-Payload-Digest: md5:" + "0" * 32, "WARC-Block-Digest: sha1:" + "A" * 32):
+        with pytest.raises(ValueError):
+            list(warc.read_records(io.BytesIO(member("response", "<urn:uuid:4>", hello, http, bad))))
+
+
 def test_kdtree(spark, empty):
     rows = [(i + 10_000 * k, t) for k in range(12) for i, t in corpus(9) if len(t or "") < 5000] + [(i, "hot text") for i in range(1000, 1500)] + [(5, "twice")] * 3 + [(None, None)] * 2
     docs = frame(spark, rows)
@@ -320,6 +386,17 @@ def test_best_fit_and_files(spark, empty):
     assert packing.pack_and_read(empty, queries.RANKS, queries.PATTERN).count() == 0
 
 
+def test_packing_long_runs(spark):
+    """Runs on which the library's pattern overflows or its merges take long."""
+    texts = [" " * 2_000_000, "a" * 300_000, "x" + " " * 5000 + "y z", "é " * 3000]
+    got = {r.doc_id: r for r in packing.pack_and_read(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.RANKS, queries.PATTERN).collect()}
+    own = bpe.Coder(bpe.read_ranks(queries.RANKS), queries.PATTERN)
+    assert {i: got[i].ids_sha256 for i in got} == {i: hashlib.sha256(own.encode(t)).hexdigest() for i, t in enumerate(texts)}
+    assert all(own.decode(own.encode(t)) == t.encode() for t in texts)
+    enc = tik()
+    assert all(np.frombuffer(own.encode(t), "<u4").tolist() == enc.encode_ordinary(t) for t in texts[2:])
+
+
 def test_ordinal_held_out():
     rng = random.Random(3)
     f = ordinal.Features()
@@ -384,6 +461,25 @@ def test_preferences(spark):
     assert chat.format_preferences(t.limit(0), chat.neighbours(t.limit(0))).count() == 0
 
 
+def test_preferences_of_large_ids_and_long_conversations(spark):
+    rows = [(2**53 + 2 * k + side, 0, "user", f"{k}{side}") for k in range(3) for side in (0, 1)]
+    t = turns(spark, rows)
+    got = {r.pair_id: (r.chosen_id, r.rejected_id) for r in chat.format_preferences(t, chat.neighbours(t)).collect()}
+    assert got == {2**52 + k: (2**53 + 2 * k, 2**53 + 2 * k + 1) for k in range(3)}
+    rng = random.Random(4)
+    for n in (255, 256, 257, 1500):
+        said = [(0, i, rng.choice(["user", "assistant"]), "t" * rng.randint(0, 5)) for i in range(n)]
+        t = turns(spark, said)
+        r = chat.format_preferences(t, chat.neighbours(t)).collect()[0]
+        spans, at = [], 0
+        for _, _, role, text in said:
+            end = at + len(f"<|im_start|>{role}\n{text}<|im_end|>\n")
+            if role == "assistant":
+                spans.append(f"{end - 11 - len(text)}-{end - 1}")
+            at = end
+        assert r.chosen_mask == ",".join(spans) and len(r.chosen) == at
+
+
 def test_licences(spark, empty):
     text = "Copyright (c) 2020 Someone\n" + licence.MIT.upper().replace("\n\n", "\n \n")
     rows = [(1, "MIT Licence\n\nCopyright 1999 X\n© 2001 Y\n" + licence.MIT), (2, text), (3, licence.MIT + " and more"), (4, None), (5, ""), (6, licence.ZLIB.replace("acknowledgment", "acknowledgement")), (6, "Released under the MIT licence"), (None, licence.ISC)]
