@@ -362,6 +362,55 @@ def test_kdtree(spark, empty):
     assert kdtree.shard(docs.limit(1), shards=3).count() == 1
 
 
+def brute_tree(points, shards):
+    """Shard of each point by exact weighted medians: points (coords, size)."""
+    dims = len(points[0][0])
+    extent = [max(1, max(c[d] for c, _ in points) - min(c[d] for c, _ in points)) for d in range(dims)]
+    out = [0] * len(points)
+
+    def cut(own, first, n):
+        if n == 1 or not own:
+            for i in own:
+                out[i] = first
+            return
+        span = [max(points[i][0][d] for i in own) - min(points[i][0][d] for i in own) for d in range(dims)]
+        d = max(range(dims), key=lambda d: (span[d] / extent[d], -d))
+        need, gone = sum(points[i][1] for i in own) * (n // 2) // n, 0
+        for x in sorted({points[i][0][d] for i in own}):
+            w = sum(points[i][1] for i in own if points[i][0][d] == x)
+            if gone + w >= need:
+                break
+            gone += w
+        at = x if need - gone < w / 2 else x + 1
+        cut([i for i in own if points[i][0][d] < at], first, n // 2)
+        cut([i for i in own if points[i][0][d] >= at], first + n // 2, n - n // 2)
+
+    cut(list(range(len(points))), 0, shards)
+    return out
+
+
+def test_kdtree_against_exact_medians(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "SLACK", 0)
+    monkeypatch.setattr(kdtree, "BINS", 8)
+    rng = random.Random(8)
+    for n, shards in ((300, 7), (40, 5), (3, 6)):
+        points = [([rng.choice([5, rng.randrange(1 << 40)]), rng.randrange(3), rng.randrange(1000) << 20], rng.choice([1, 10, 500])) for _ in range(n)]
+        table = spark.createDataFrame([(i, c, s) for i, (c, s) in enumerate(points)], "i long, coords array<long>, size long")
+        tree = kdtree.grow(table, 3, shards)
+        got = {r[0]: r[1] for r in table.select("i", tree.shard()).collect()}
+        assert [got[i] for i in range(n)] == brute_tree(points, shards)
+
+
+def test_kdtree_repeated_rows_and_target(spark):
+    docs = frame(spark, [(1, "x" * 84)] * 400 + [(i, "y" * 84) for i in range(400)])
+    sums = Counter()
+    for r in kdtree.shard(docs, shards=4).collect():
+        sums[r.shard] += r.size
+    assert len(sums) == 4 and max(sums.values()) - min(sums.values()) <= 200
+    assert sorted(Counter(r.shard for r in kdtree.shard(docs, target_bytes=10_000).collect())) == list(range(8))
+    assert {r.shard for r in kdtree.shard(docs, target_bytes=10**9).collect()} == {0}
+
+
 def test_best_fit_and_files(spark, empty):
     rng = random.Random(1)
     for _ in range(200):
