@@ -11,7 +11,7 @@ and the like (OF_LAW) stay.
 
 Defined cases: a null text counts as empty and, like an empty text, matches nothing; repeated rows match
 alike; an empty table gives an empty table; the input's other columns are not read. Known licences with
-equal canonical texts count as one, under the least name.
+equal canonical texts count as one, under the least name; a text, however long, is compared whole.
 """
 
 from __future__ import annotations
@@ -43,10 +43,7 @@ SPELLINGS = [
 # Fixed value: words after "copyright" in sentences of licences, which name no holder unless a colon follows.
 OF_LAW = r"(?:and|disclaimers?|holders?|in|interests?|is|laws?|licen[cs]es?|notices?|on|or|owners?|ownership|permissions?|protection|statements?|to|treat(?:y|ies))"
 # Fixed value: a line of copyright notice, in lower-case text.
-NOTICE_LINE = rf"(?m)^[^\S\n]*(?:copyright\s*(?:\(c\)|©|\d{{4}})|copyright\b(?![^\S\n]+{OF_LAW}\b(?!\s*:))(?=[^\n]*[\p{{L}}\p{{N}}])|\(c\)|©|all rights reserved)[^\n]*$"
-# Fixed value: a line of copyright notice as the SQL tells it, which knows no wrapped sentences.
-NOTICE = r"(?m)^[^\S\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
-
+NOTICE_LINE = rf"(?m)^[^\S\n]*(?:copyright[^\S\n]*(?:\(c\)|©|\d{{4}})|copyright\b(?![^\S\n]+{OF_LAW}\b(?!\s*:))(?=[^\n]*[\p{{L}}\p{{N}}])|\(c\)|©|all rights reserved)[^\n]*$"
 # Texts of known licences, without their notices.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -106,6 +103,30 @@ KNOWN = {
     "CC-BY-NC-4.0 (reference)": "Licensed under CC BY-NC 4.0.",
 }
 
+# Digests of the canonical forms of longer licences, whole and, as "terms", without the advice that
+# follows their end.
+KNOWN_DIGESTS = {
+    "Apache-2.0": "4580e5390400d27df89edd0617548ac0e66eaa029f6e07cf98aac9cd100b3a37",
+    "Apache-2.0 (terms)": "0b8c1a9e0ec99ab3b27e123e667fe4843df4dd7e6c667ccdc634dd6878c5dd6c",
+    "Artistic-1.0-Perl": "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b",
+    "GFDL-1.3": "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d",
+    "GPL-1.0": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    "GPL-1.0 (terms)": "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc",
+    "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-2.0 (terms)": "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34",
+    "GPL-3.0": "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+    "GPL-3.0 (terms)": "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636",
+    "LGPL-2.0": "a8f5f57987978c40bffaeb8e6d4038685ceb8cd8489885e1324855efca5380ac",
+    "LGPL-2.0 (terms)": "d222a36a2b1ccf8a658f07530f9112e21af962df04221a899ad6bb4c64f7c9c4",
+    "LGPL-2.1": "873c6426ea80f22a07042cfb8b3158aa05552910ef41064587e403e155d897e9",
+    "LGPL-2.1 (terms)": "21ab10a618f74a48ffcb6704df5fe40782e7250fc3d8d57a7463f7a1f69fe4d3",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6",
+    "MPL-2.0": "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56",
+}
+
 
 def canonical(text: Column) -> Column:
     low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\r\n?", "\n")
@@ -117,10 +138,11 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "), r"\bfulfil\b", "fulfill"))
 
 
-def known_digests(docs: DataFrame, known: dict[str, str] = KNOWN) -> DataFrame:
-    """(licence, licence_digest); a licence text that is empty in canonical form is left out."""
+def known_digests(docs: DataFrame, known: dict[str, str] = KNOWN, digests: dict[str, str] = KNOWN_DIGESTS) -> DataFrame:
+    """(licence, licence_digest) of texts and of digests; a text that is empty in canonical form is left out."""
     table = docs.sparkSession.createDataFrame(sorted(known.items()), "licence string, text string")
     made = table.select("licence", canonical(F.col("text")).alias("c")).where("c <> ''").select("licence", F.sha2("c", 256).alias("licence_digest"))
+    made = made.union(docs.sparkSession.createDataFrame(sorted(digests.items()), "licence string, licence_digest string"))
     return made.groupBy("licence_digest").agg(F.min("licence").alias("licence"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm.licence import KNOWN, NOTICE, SPELLINGS
+from quern.llm.licence import KNOWN, KNOWN_DIGESTS
 
 OP1 = """with p as (select page_id, coalesce(html, '') as html from pages),
  h as (select *, sha1(html) as h, max(page_id) over (partition by html) as top from p)
@@ -56,16 +56,28 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# Written for itself, not from the operator's patterns: a line is a notice if it names a holder, a year or (c).
+_LAW = "(and|disclaimer|disclaimers|holder|holders|in|interest|interests|is|law|laws|license|licenses|licence|licences|notice|notices|on|or|owner|owners|ownership|permission|permissions|protection|statement|statements|to|treaty|treaties)"
+_B = "[ \\t\\r\\f\\v]"
+_NOTICE = f"""(regexp_matches(l, '^{_B}*(\\(c\\)|©|all rights reserved)') or regexp_matches(l, '^{_B}*copyright{_B}*(\\(c\\)|©|[0-9][0-9][0-9][0-9])')
+  or (regexp_matches(l, '^{_B}*copyright([^\\p{{L}}\\p{{N}}_].*)?[\\p{{L}}\\p{{N}}]') and regexp_matches(l, '^{_B}*copyright([^a-z0-9_]|$)') and regexp_matches(substr(l, 10 + length(l) - length(ltrim(l, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))), '[\\p{{L}}\\p{{N}}]')
+   and (not regexp_matches(l, '^{_B}*copyright{_B}+{_LAW}([^a-z0-9_]|$)') or regexp_matches(l, '^{_B}*copyright{_B}+{_LAW}{_B}*:'))))"""
+_ALIKE = [("licence", "license"), ("licencing", "licensing"), ("sublicence", "sublicense"), ("non-commercial", "noncommercial"), ("sub-license", "sublicense"), ("organisation", "organization"), ("authoris", "authoriz"), ("recognis", "recogniz"), ("modelling", "modeling"), ("favour", "favor"), ("honour", "honor"), ("whilst", "while"), ("acknowledgement", "acknowledgment"), ("fulfil ", "fulfill "), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("https:", "http:"), ("&", " and ")]
+
+
 def _canonical(text: str) -> str:
-    sql = f"lower(coalesce({text}, ''))"
-    for old, new in SPELLINGS:
+    lines = f"string_split(regexp_replace(lower(coalesce({text}, '')), '\\r\\n?', chr(10), 'g'), chr(10))"
+    sql = f"array_to_string(list_transform({lines}, lambda l: case when {_NOTICE} then ' ' else l end), chr(10))"
+    sql = f"regexp_replace(regexp_replace({sql}, '-{_B}*\\n[\\s]*', '-', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g')"
+    for old, new in _ALIKE:
         sql = f"replace({sql}, {_quoted(old)}, {_quoted(new)})"
-    sql = f"regexp_replace({sql}, {_quoted(NOTICE)}, ' ', 'g')"
-    return f"trim(regexp_replace({sql}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    return f"trim(replace(' ' || trim(regexp_replace({sql}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ', ' fulfil ', ' fulfill '))"
 
 
 _KNOWN = " union all ".join(f"select {_quoted(k)} as licence, {_quoted(v)} as text" for k, v in KNOWN.items())
-OP10 = f"""with known as (select sha256({_canonical('text')}) as h, min(licence) as licence from ({_KNOWN}) k where {_canonical('text')} <> '' group by 1)
- select doc_id, sha256({_canonical('text')}) as canonical_digest, licence from documents left join known on h = sha256({_canonical('text')})"""
+_DIGESTS = " union all ".join(f"select {_quoted(k)} as licence, {_quoted(v)} as h" for k, v in KNOWN_DIGESTS.items())
+OP10 = f"""with texts as (select licence, {_canonical('text')} as c from ({_KNOWN}) k), known as (select h, min(licence) as licence from (select licence, sha256(c) as h from texts where c <> '' union all {_DIGESTS}) x group by 1),
+ d as (select doc_id, sha256({_canonical('text')}) as canonical_digest from documents)
+ select doc_id, canonical_digest, licence from d left join known on h = canonical_digest"""
 
 ORACLES: dict[str, str] = {"op1_warc": OP1, "op3_preferences": OP3, "op7_near_duplicates": OP7, "op8_decontamination": OP8, "op10_licences": OP10}

@@ -553,6 +553,27 @@ def test_licences_in_wrapped_lines(spark):
     assert {k: n for k, n, _ in rows if got[k] != n} == {}
 
 
+def test_licences_by_digest_and_sql(spark, tmp_path):
+    """Longer licences are known by digest; the SQL, written for itself, finds the same in wrapped texts."""
+    import os
+    import textwrap
+
+    rows = [(f"{n}/{w}", "Copyright (c) 2020, Some One\nCopyright The Authors\n\n" + "\n\n".join(textwrap.fill(p, w, break_long_words=False) for p in text.split("\n\n"))) for n, text in licence.KNOWN.items() for w in (40, 61, 62, 72, 80, 89, 100)]
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    for n, f in files.items():
+        if os.path.exists(path := f"/usr/share/common-licenses/{f}"):
+            text = open(path, encoding="utf-8").read()
+            rows += [(f"{n}/lf", text), (f"{n}/crlf", text.replace("\n", "\r\n").upper())]
+    rows += [("odd/1", "copyright\n(c) 1999\nA copyright notice.\ncopyright: me\ncopyrighted work\n copyright holder: x\ncopyright holders may"), ("odd/2", None), ("odd/3", " \t")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, licence.scan(docs).collect()), key=str)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(queries.oracle_sql()["op10_licences"]).fetchall(), key=str)
+    assert {k: n for k, _, n in got if not k.startswith("odd") and n != k.rpartition("/")[0]} == {}
+
+
 def test_canonical_spellings_at_line_ends(spark):
     texts = ["the copyright owner pays ten per cent to fulfil it, sublicence and non-commercial", "the copyright\nholder pays ten per\r\n  cent to fulfil\nit, sub-\nlicense and non-\ncommercial", "the\ncopyright owner pays ten percent to fulfill it, sublicense and noncommercial"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(licence.canonical(F.col("t")).alias("c")).collect()
