@@ -468,14 +468,50 @@ def test_ordinal_held_out():
 
 
 def test_ordinal_gradient():
-    """The fitted likelihood is better than that of thresholds alone, and few grades do no harm."""
+    """The likelihood is that of its definition, and its gradients are the numerical ones."""
+    rng = np.random.default_rng(2)
+    n, m, levels = 12, 7, 3
+    rows, index = np.nonzero(rng.random((n, m)) < 0.4)
+    grades, weights, theta = rng.integers(0, levels + 1, n), rng.normal(size=m), np.array([-0.5, 0.1, -0.7])
+    dense = np.zeros((n, m))
+    dense[rows, index] = 1
+    value, by_weight, by_theta = ordinal.loss(weights, theta, index, rows, grades, 0.3)
+    cuts = [-0.5, -0.5 + np.exp(0.1), -0.5 + np.exp(0.1) + np.exp(-0.7)]
+    below = [[0.0] + [1 / (1 + np.exp(-(c - x))) for c in cuts] + [1.0] for x in dense @ weights]
+    assert value == pytest.approx(-np.mean([np.log(b[g + 1] - b[g]) for b, g in zip(below, grades)]) + 0.15 * weights @ weights)
+    for x, own in ((weights, by_weight), (theta, by_theta)):
+        for i in range(len(x)):
+            x[i] += 1e-6
+            up = ordinal.loss(weights, theta, index, rows, grades, 0.3)[0]
+            x[i] -= 2e-6
+            down = ordinal.loss(weights, theta, index, rows, grades, 0.3)[0]
+            x[i] += 1e-6
+            assert (up - down) / 2e-6 == pytest.approx(own[i], abs=1e-6)
+
+
+def test_ordinal_few_grades():
     f = ordinal.Features()
     x = [f.of_text(t) for t in ("good", "bad", "good", None, "")] * 20
     model = ordinal.fit(x, np.array([1, 0, 1, 1, 0] * 20))
     good, bad = (float(model.weights[f.of_text(t)].sum()) for t in ("good", "bad"))
     assert good > bad
-    one = ordinal.fit(x, np.array([0] * 100))
-    assert (one.tails(np.zeros(2))[:, -1] > 0.99).all()
+    for only in (0, 1, 2):
+        one = ordinal.fit(x, np.array([only] * 100), 2)
+        assert np.allclose(one.tails(np.zeros(2)), [[only >= 1, only >= 2]] * 2)
+    assert (ordinal.fit([], np.zeros(0, np.int64), 2).tails(np.zeros(1)) > 0.99).all()
+
+
+def test_evidence_of_unknown_texts(spark):
+    """Texts without words, and of words that no rated text has, aren't kept; nor is anything if all ratings are low."""
+    rng = random.Random(6)
+    rows = [(i, words(rng, 60)) for i in range(300)]
+    docs = frame(spark, rows + [(900, ""), (901, None), (902, "qzx wvu zzkk"), (903, "?! ..."), (904, words(rng, 300))])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)] + [(1, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in ordinal.classify(docs, ordinal.train(docs, ordinal.grades_of(labels))).collect()}
+    assert got[904].kept and got[3].kept and not any(got[i].kept for i in (900, 901, 902, 903))
+    low = ordinal.train(docs, ordinal.grades_of(labels.withColumn("quality", F.lit(0))))
+    assert not any(r.kept for r in ordinal.classify(docs, low).collect())
+    assert len(ordinal.sampled(docs, ordinal.grades_of(labels), "doc_id", "text", size=1)[2]) == 1
 
 
 def test_classify_keeps_columns(spark, empty):
@@ -483,7 +519,7 @@ def test_classify_keeps_columns(spark, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, None), (2, 0, 0), (3, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = ordinal.train(docs, ordinal.grades_of(labels))
     got = ordinal.classify(docs, model)
-    assert got.count() == 3 and set(got.columns) == {"doc_id", "text", "score", "expected_grade", "tail_probability", "kept"}
+    assert got.count() == 3 and set(got.columns) == {"doc_id", "text", "score", "expected_grade", "tail_probability", "evidence", "kept"}
     assert ordinal.classify(empty, ordinal.train(empty, ordinal.grades_of(labels.limit(0)))).count() == 0
 
 
