@@ -64,18 +64,6 @@ def soundex_phonetic(t):
     return t.customer.select("c_custkey", F.soundex("c_name").alias("code"))
 
 
-@query("select c_mktsegment as cluster, count(*) as n, min(c_custkey) as canonical_id, arg_max(c_name, c_acctbal * 100000 - c_custkey / cast(1000000 as double)) as canonical_name from customer group by 1")
-def merge_entities(t):
-    """The name of the highest balance stands for its segment."""
-    order = F.col("c_acctbal") * 100000 - F.col("c_custkey") / 1000000
-    return t.customer.groupBy(F.col("c_mktsegment").alias("cluster")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("canonical_id"), F.max_by("c_name", order).alias("canonical_name"))
-
-
-@query(f"with {MENTIONS} select doc_id, count(*) as entities from mention group by 1 having count(*) >= 10")
-def dense_chunks(t):
-    return _mentions(t).groupBy("doc_id").agg(F.count("*").alias("entities")).where("entities >= 10")
-
-
 @query(f"with {MENTIONS}, top as (select name from mention group by 1 order by count(*) desc, name limit 1) select m.name, count(*) as shared from mention m where m.doc_id in (select doc_id from mention where name in (select name from top)) and m.name not in (select name from top) group by 1 order by 2 desc, 1 limit 50")
 def co_occurring(t):
     m = _mentions(t).select("doc_id", "name")
@@ -221,12 +209,6 @@ def enrichment_stats(t):
     return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg(c), 6).alias("completeness"))
 
 
-@query(f"{G} select e.entity_type, count(distinct r.relation_type) as kinds, count(*) as n, round(min(r.confidence), 6) as least from relationships r join entities e on e.id = r.source group by 1")
-def infer_relation_type(t):
-    e = fx.entities(t).select(F.col("id").alias("source"), "entity_type")
-    return fx.relationships(t).join(e, "source").groupBy("entity_type").agg(F.countDistinct("relation_type").alias("kinds"), F.count("*").alias("n"), F.round(F.min("confidence"), 6).alias("least"))
-
-
 @query(f"{G}, d as (select target as node, avg(confidence) as c from places group by 1) select p.source, round(avg(d.c), 6) as boosted from places p join d on d.node = p.target group by 1")
 def anchor_boost(t):
     p = fx.places(t)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quern.functions import text as tx
 from quern.operators import chunks
 from quern.plans.registry import query
-from quern.sources import fixtures as fx
 
 WS = "[ \\t\\n\\r\\f]+"
 WORDS = f"list_filter(string_split_regex({{}}, '{WS}'), x -> x <> '')"
@@ -189,53 +188,11 @@ def _mentions(t):
     return m.groupBy("doc_id", "name").agg(F.count("*").alias("n"))
 
 
-@query(f"with {MENTIONS} select doc_id, name, n, cast(0.5 as double) as confidence from mention")
-def extract_generic(t):
-    return _mentions(t).withColumn("confidence", F.lit(0.5))
-
-
-@query(f"with {MENTIONS} select 'CONCEPT_' || lower(name) as id, count(distinct doc_id) as documents, cast(sum(n) as bigint) as mentions from mention group by 1")
-def dedupe_entities_ci(t):
-    return _mentions(t).groupBy(F.concat(F.lit("CONCEPT_"), F.lower("name")).alias("id")).agg(F.countDistinct("doc_id").alias("documents"), F.sum("n").alias("mentions"))
-
-
-RARE = MENTIONS + ", rare as (select name from mention group by 1 having count(*) between 2 and 20)"
-
-
-@query(f"with {RARE}, x as (select doc_id, name from mention where name in (select name from rare)) select a.name as source, b.name as target, count(*) as shared from x a join x b on a.doc_id = b.doc_id and a.name < b.name group by 1, 2")
-def extract_relationships(t):
-    """Names that share documents; only names of 2 to 20 documents take part, which is what the operator asks for."""
-    m = _mentions(t).select("doc_id", "name")
-    x = m.join(m.groupBy("name").agg(F.count("*").alias("d")).where("d between 2 and 20").select("name"), "name")
-    y = x.withColumnRenamed("name", "target")
-    return x.join(y, "doc_id").where("name < target").groupBy(F.col("name").alias("source"), "target").agg(F.count("*").alias("shared"))
-
-
-@query(f"with {RARE}, d as (select name, count(*) as d from mention where name in (select name from rare) group by 1) select name, d as chunks, round(ln((select count(*) from documents) / cast(d as double)) / 5, 6) as idf from d")
-def concept_graph_build(t):
-    n = t.documents.count()
-    d = _mentions(t).groupBy("name").agg(F.count("*").alias("chunks")).where("chunks between 2 and 20")
-    return d.select("name", "chunks", F.round(F.log(F.lit(float(n)) / F.col("chunks")) / 5, 6).alias("idf"))
-
-
 @query("select c_custkey as id, lower(c_name) as normalised, c_nationkey as kind from customer")
 def normalise_names(t):
     return t.customer.select(F.col("c_custkey").alias("id"), F.lower("c_name").alias("normalised"), F.col("c_nationkey").alias("kind"))
 
 
-@query(f"with {fx.ENTITIES} select lower(name) as name, min(id) as canonical_id, count(*) as n from entities group by 1 having count(*) > 1")
-def corpus_link_exact(t):
-    return fx.entities(t).groupBy(F.lower("name").alias("name")).agg(F.min("id").alias("canonical_id"), F.count("*").alias("n")).where("n > 1")
-
-
-@query("select a.p_partkey as a, b.p_partkey as b, levenshtein(a.p_name, b.p_name) as distance from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_size = b.p_size and a.p_partkey < b.p_partkey")
-def link_entities(t):
-    """Fuzzy links within blocks of equal brand, type and size."""
-    p = t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    q = p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("other"), "p_brand", "p_type", "p_size")
-    return p.join(q, ["p_brand", "p_type", "p_size"]).where("p_partkey < b").select(F.col("p_partkey").alias("a"), "b", F.levenshtein("p_name", "other").cast("long").alias("distance"))
-
-
 @query("select sha256(text) as content_hash, count(*) as copies, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
 def document_index_duplicates(t):
     return t.documents.groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
