@@ -269,15 +269,14 @@ def window_relations(df: DataFrame, found: DataFrame, text: str = "text") -> Dat
     """
     keys = [c for c in df.columns if c != text]
     p = placed_pairs(df, found, keys, text).withColumn("window", F.substring("low", F.least("a", "b"), F.abs(F.col("a") - F.col("b")) + 50))
-    window = F.col("window")
-    told = lambda r, c: F.struct(F.lit(r).alias("relation_type"), F.lit(c).alias("confidence"))
-    out = F.when(F.abs(F.col("a") - F.col("b")) < 100, told("CO_OCCURS", 0.5))
-    for kinds, rules in reversed(WINDOW_RULES):
-        own = None
-        for marks, relation, sure in reversed(rules):
-            own = told(relation, sure) if marks is None else F.when(any_of([F.contains(window, F.lit(m)) for m in marks]), told(relation, sure)).otherwise(own)
-        out = F.when(any_of([(F.col("entity_type") == x) & (F.col("other_entity_type") == y) for x, y in kinds]), own).otherwise(out)
-    return p.withColumn("r", out).where("r is not null").select(*keys, "name", "other", "r.relation_type", "r.confidence")
+    table = [(x, y, [(list(marks or ()), relation, sure) for marks, relation, sure in rules]) for kinds, rules in WINDOW_RULES for x, y in kinds]
+    rules = df.sparkSession.createDataFrame(table, "entity_type string, other_entity_type string, rules array<struct<marks:array<string>,relation_type:string,confidence:double>>")
+    told = lambda r: (F.size(r["marks"]) == 0) | F.exists(r["marks"], lambda m: F.contains(F.col("window"), m))
+    own = F.get(F.filter("rules", told), 0)
+    out = p.join(F.broadcast(rules), ["entity_type", "other_entity_type"], "left").withColumn("r", own)
+    near = F.col("rules").isNull() & (F.abs(F.col("a") - F.col("b")) < 100)
+    relation, sure = F.when(near, "CO_OCCURS").otherwise(F.col("r.relation_type")), F.when(near, 0.5).otherwise(F.col("r.confidence"))
+    return out.select(*keys, "name", "other", relation.alias("relation_type"), sure.alias("confidence")).where("relation_type is not null")
 
 
 def co_mentions(found: DataFrame, keys: list[str]) -> DataFrame:
