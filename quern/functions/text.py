@@ -29,7 +29,7 @@ def word_count(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences with their end marks, trimmed, of more than five characters."""
     parts = F.split(F.regexp_replace(text, r"([.!?]+)[ \t\n\r\f]+", "$1\u0001"), "\u0001")
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) > 5)
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) > 5)
 
 
 def index_tokens(text: Column, stop: list[str] = STOP_WORDS) -> Column:

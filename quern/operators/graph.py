@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import vector as vx
 from quern.runtime import stage
 
 
@@ -84,50 +85,73 @@ def simple_paths(edges: DataFrame, starts: DataFrame, most_nodes: int, weight: s
     return every
 
 
-def shortest_paths(edges: DataFrame, start: str, most_rounds: int = 50, weight: str = "confidence") -> DataFrame:
-    """(node, distance, path) by undirected relaxation until nothing changes; ties by path."""
+def hop_paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(node, distance, path): directed paths of fewest edges from any start, the least of equals, within `depth`."""
+    step = edges.select("source", F.col("target").alias("next")).distinct()
+    seen = stage(starts.select(F.col("id").alias("node"), F.lit(0).alias("distance"), F.array("id").alias("path")), "hops")
+    for d in range(1, depth + 1):
+        front = seen.where(F.col("distance") == d - 1)
+        new = front.join(step, front["node"] == step["source"]).groupBy(F.col("next").alias("node")).agg(F.min(F.array_append("path", F.col("next"))).alias("path"))
+        seen = stage(seen.unionByName(new.join(seen, "node", "left_anti").select("node", F.lit(d).alias("distance"), "path")), "hops")
+    return seen
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, most_rounds: int = 200, weight: str = "confidence") -> DataFrame:
+    """(start, node, distance, path) of all starts (id) at once, by undirected relaxation until nothing changes; ties by path.
+
+    Each round joins only what the last one improved. Raises if `most_rounds` don't suffice.
+    """
     step = edges.select("source", "target", F.col(weight).alias("w"))
-    step = step.union(step.select("target", "source", "w")).groupBy("source", "target").agg(F.min("w").alias("w"))
-    best = stage(edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.lit(0.0).alias("distance"), F.array(F.lit(start)).alias("path")), "shortest")
+    step = stage(step.union(step.select("target", "source", "w")).where("source <> target").groupBy("source", "target").agg(F.min("w").alias("w")), "steps")
+    best = stage(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0.0).alias("distance"), F.array("id").alias("path"), F.lit(True).alias("new")), "shortest")
     for _ in range(most_rounds):
-        grown = best.join(step, best["node"] == step["source"]).select(F.col("target").alias("node"), F.round(F.col("distance") + F.col("w"), 9).alias("distance"), F.array_append("path", F.col("target")).alias("path"))
-        least = best.unionByName(grown).groupBy("node").agg(F.min(F.struct("distance", "path")).alias("b")).select("node", "b.distance", "b.path")
-        new = stage(least, "shortest")
-        if new.join(best, ["node", "distance"], "left_anti").isEmpty():
-            return new
-        best = new
-    return best
+        front = best.where("new").drop("new")
+        grown = front.join(step, front["node"] == step["source"]).select("start", F.col("target").alias("node"), F.round(F.col("distance") + F.col("w"), 9).alias("distance"), F.array_append("path", F.col("target")).alias("path"), F.lit(True).alias("new"))
+        both = grown.unionByName(best.withColumn("new", F.lit(False)))
+        best = stage(both.groupBy("start", "node").agg(F.min(F.struct("distance", "path", "new")).alias("b")).select("start", "node", "b.distance", "b.path", "b.new"), "shortest")
+        if best.where("new").isEmpty():
+            return best.drop("new")
+    raise RuntimeError("shortest paths did not settle")
+
 
+def closeness(paths: DataFrame) -> DataFrame:
+    """(node, reachable, closeness): reached nodes by the sum of their distances, of shortest_paths()."""
+    p = paths.where("distance > 0").groupBy(F.col("start").alias("node"))
+    return p.agg(F.count("*").alias("reachable"), F.round(F.count("*") / F.sum("distance"), 6).alias("closeness"))
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, rounds: int = 20, damping: float = 0.85, weight: str = "confidence", tolerance: float | None = 1e-6) -> DataFrame:
+
+def betweenness(paths: DataFrame) -> DataFrame:
+    """(node, paths, betweenness): ordered pairs whose shortest path runs through a node, by (n - 1)(n - 2) / 2."""
+    n = paths.select("node").distinct().count()
+    inner = paths.where("size(path) > 2").select(F.explode(F.expr("slice(path, 2, size(path) - 2)")).alias("node"))
+    return inner.groupBy("node").agg(F.count("*").alias("paths")).withColumn("betweenness", F.round(F.col("paths") / F.lit(max(1.0, (n - 1) * (n - 2) / 2)), 6))
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, rounds: int = 100, damping: float = 0.85, weight: str = "confidence", tolerance: float = 1e-6) -> DataFrame:
     """(node, rank): personalised PageRank, weights normalised by source, dangling mass spread by the seed vector.
 
-    seeds (id, p) are normalised to sum 1; without them every node is one. With tolerance None exactly
-    `rounds` rounds run. Edges stay partitioned by source and each round joins only ranks to them.
+    seeds (id, p) are normalised to sum 1; without them every node is one. Rounds end once no rank moves by
+    the tolerance. A round shuffles one row for each edge and node, and writes the ranks; one look at them
+    tells both the dangling mass and how far they moved.
     """
     base = nodes.select(F.col("id").alias("node"))
-    n = base.count()
     if seeds is None:
-        start = base.withColumn("r", F.lit(1.0 / max(1, n)))
+        start = base.withColumn("r", F.lit(1.0 / max(1, base.count())))
     else:
         total = seeds.agg(F.sum("p")).collect()[0][0] or 1.0
         start = base.join(seeds.select(F.col("id").alias("node"), (F.col("p") / F.lit(total)).alias("r")), "node", "left").na.fill({"r": 0.0})
-    start = stage(start, "seeds")
-    out = edges.groupBy("source", "target").agg(F.sum(weight).alias("w"))
-    out = stage(out.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("source"))).select("source", "target", "share"), "shares")
-    now = start.select("node", F.col("r").alias("rank"))
-    for _ in range(rounds):
+    sums = edges.groupBy("source", "target").agg(F.sum(weight).alias("w"))
+    out = stage(sums.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("source"))).select("source", "target", "share"), "shares")
+    start = start.join(out.select(F.col("source").alias("node")).distinct().withColumn("out", F.lit(True)), "node", "left")
+    now = stage(start.select("node", "r", F.col("out").isNull().alias("dangling"), F.col("r").alias("rank"), F.lit(1.0).alias("moved")), "ranks")
+    for i in range(rounds + 1):
+        lost, moved = now.agg(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)), F.max("moved")).collect()[0]
+        if i == rounds or moved is None or moved < tolerance:
+            break
         flow = out.join(now, out["source"] == now["node"]).groupBy(F.col("target").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("flow"))
-        dangling = now.join(out.select(F.col("source").alias("node")).distinct(), "node", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).collect()[0][0]
-        new = start.join(flow, "node", "left").select("node", ((1 - damping) * F.col("r") + damping * (F.coalesce("flow", F.lit(0.0)) + F.lit(dangling) * F.col("r"))).alias("rank"))
-        new = stage(new, "ranks")
-        if tolerance is not None:
-            moved = new.join(now.withColumnRenamed("rank", "old"), "node").agg(F.max(F.abs(F.col("rank") - F.col("old")))).collect()[0][0]
-            now = new
-            if (moved or 0.0) < tolerance:
-                break
-        now = new
-    return now
+        rank = (1 - damping) * F.col("r") + damping * (F.coalesce("flow", F.lit(0.0)) + F.lit(lost) * F.col("r"))
+        now = stage(now.join(flow, "node", "left").select("node", "r", "dangling", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("moved")), "ranks")
+    return now.select("node", "rank")
 
 
 def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
@@ -153,3 +177,60 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     m2 = pairs.count() or 1
     per = inside.groupBy(F.col("c_source").alias("c")).agg(F.count("*").alias("k"), F.sum((F.col("c_source") == F.col("c_target")).cast("long")).alias("own"))
     return per.agg(F.round(F.sum(F.col("own") / m2 - (F.col("k") / m2) * (F.col("k") / m2)), 6).alias("modularity"))
+
+
+def incident(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """(community, members, edges inside) for a labelling (node, community)."""
+    lab = lambda side: paths.select(F.col("node").alias(side), F.col("community").alias(f"c_{side}"))
+    inside = edges.join(lab("source"), "source").join(lab("target"), "target").where("c_source = c_target").groupBy(F.col("c_source").alias("community")).agg(F.count("*").alias("inside"))
+    return paths.groupBy("community").agg(F.count("*").alias("members")).join(inside, "community", "left").na.fill({"inside": 0})
+
+
+def community_summaries(entities: DataFrame, labels: DataFrame, top: int = 5) -> DataFrame:
+    """(community, members, mean_confidence, types, summary): what a community holds, the surest names of each type first."""
+    e = labels.join(entities, labels["node"] == entities["id"])
+    w = Window.partitionBy("community", "entity_type").orderBy(F.desc("confidence"), "id")
+    own = e.groupBy("community", "entity_type").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"))
+    best = e.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top).groupBy("community", "entity_type").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "name"))), lambda x: x["name"]), ", ").alias("names"))
+    line = F.concat(F.col("entity_type"), F.lit(": "), F.col("names"))
+    g = own.join(best, ["community", "entity_type"]).groupBy("community").agg(F.sum("n").alias("members"), F.round(F.sum("c") / F.sum("n"), 6).alias("mean_confidence"), F.sort_array(F.collect_list("entity_type")).alias("types"), F.sort_array(F.collect_list(line)).alias("lines"))
+    return g.select("community", "members", "mean_confidence", F.array_join("types", ",").alias("types"), F.concat(F.lit("Contains "), F.col("members").cast("string"), F.lit(" entities. "), F.array_join("lines", "; ")).alias("summary"))
+
+
+def recency(at, now: int):
+    """What a time's distance from now, in years of 365 days, adds: .3 up to 10, less to 50, less again to 200, then .05."""
+    years = F.floor(F.abs(F.lit(now) - at) / (365 * 24 * 3600))
+    return F.when(years <= 10, 0.3).when(years <= 50, 0.3 * (1 - (years - 10) / 40)).when(years <= 200, 0.1 * (1 - (years - 50) / 150)).otherwise(0.05)
+
+
+def dynamic_weight(edges: DataFrame, query: list[float], concepts: list[str], now: int) -> DataFrame:
+    """Adds weight: confidence x (1 + likeness to the query + recency + .15 for each concept in the type + .2 causal strength).
+
+    edges: confidence, embedding, at, relation_type, causal_strength; a null adds nothing.
+    """
+    q = F.array(*[F.lit(float(x)) for x in query])
+    alike = F.when(F.col("embedding").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), vx.cosine(F.col("embedding"), q)))
+    when = F.when(F.col("at").isNull(), 0.0).otherwise(recency(F.col("at"), now))
+    told = F.size(F.filter(F.array(*[F.lit(c.lower()) for c in concepts]), lambda c: F.contains(F.lower("relation_type"), c)))
+    return edges.withColumn("weight", F.round(F.col("confidence") * (1 + alike + when + 0.15 * told + 0.2 * F.coalesce("causal_strength", F.lit(0.0))), 6))
+
+
+def causal_chains(edges: DataFrame, starts: DataFrame, most_nodes: int = 5, least: float = 0.3) -> DataFrame:
+    """(start, node, path, confidence, consistent, span) of simple paths with a causal step.
+
+    edges: source, target, confidence, causal_strength, at. A step counts c (.5 + .5 s), without a strength .7 c;
+    a chain is consistent if its times don't go back; a step without a time is passed over.
+    """
+    step = edges.where(F.col("confidence") >= least).select("source", F.col("target").alias("next"), F.when(F.col("causal_strength").isNull(), F.col("confidence") * 0.7).otherwise(F.col("confidence") * (0.5 + 0.5 * F.col("causal_strength"))).alias("c"), F.col("causal_strength").isNotNull().alias("cause"), "at")
+    now = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path"), F.lit(1.0).alias("confidence"), F.lit(False).alias("causal"), F.lit(True).alias("consistent"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
+    every = None
+    for _ in range(most_nodes - 1):
+        g = now.join(step, now["node"] == step["source"]).where(~F.array_contains("path", F.col("next")))
+        now = stage(g.select("start", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"), (F.col("confidence") * F.col("c")).alias("confidence"), (F.col("causal") | F.col("cause")).alias("causal"), (F.col("consistent") & F.coalesce(F.col("at") >= F.col("last"), F.lit(True))).alias("consistent"), F.when(F.size("path") == 1, F.col("at")).otherwise(F.col("first")).alias("first"), F.coalesce("at", "last").alias("last")), "chains")
+        every = now if every is None else every.unionByName(now)
+    return every.where("causal").select("start", "node", F.array_join("path", ">").alias("path"), F.round("confidence", 6).alias("confidence"), "consistent", (F.col("last") - F.col("first")).alias("span"))
+
+
+def expand(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
+    """(node, level): what directed edges reach from the starts (id), at the least level."""
+    return hop_paths(edges, starts, depth).select("node", F.col("distance").alias("level"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.functions import vector as vx
+from quern.operators import graph
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -137,3 +138,61 @@ def interleave(high: DataFrame, low: DataFrame, key: str = "id") -> DataFrame:
     low_ = ranked(low, key).select(key, "score", (F.col("rank") * 2 + 1).alias("place"))
     first = Window.partitionBy(key).orderBy("place")
     return h.unionByName(low_).withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+
+
+def pagerank_retrieval(entities: DataFrame, edges: DataFrame, question: str, k: int = 10, least: float = 0.1) -> DataFrame:
+    """(node, rank): the best of PageRank seeded by the words that a question shares with an entity's name and type."""
+    asked = F.array(*[F.lit(w) for w in dict.fromkeys(question.lower().split())])
+    own = tx.words(F.lower(F.concat_ws(" ", "name", "entity_type")))
+    seeds = entities.select("id", tx.jaccard(own, asked).alias("p")).where(F.col("p") > least)
+    return graph.pagerank(entities.select("id"), edges, seeds).select("node", F.round("rank", 8).alias("rank")).orderBy(F.desc("rank"), "node").limit(k)
+
+
+def min_max(df: DataFrame, value: str) -> DataFrame:
+    """Scales a column to 0 to 1; all 1 where all are equal."""
+    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    return df.join(F.broadcast(ends)).withColumn(value, F.when(F.col("hi") > F.col("lo"), (F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)).drop("lo", "hi")
+
+
+def hipporag(nodes: DataFrame, edges: DataFrame, facts: DataFrame, passages: DataFrame, passages_of: DataFrame, k: int = 10, passage_weight: float = 0.05, damping: float = 0.5) -> DataFrame:
+    """(node, score) of passages by PageRank from the entities of facts and the passages' own scores.
+
+    facts (source, target, score): an entity weighs the mean of its facts' scores by the number of passages that
+    have it (passages_of: id, n); both kinds of weight are scaled to 0 to 1, then summed and normalised.
+    """
+    ends = facts.select("score", F.explode(F.array("source", "target")).alias("id")).join(passages_of, "id", "left")
+    entity = ends.groupBy("id").agg(F.avg(F.col("score") / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))).alias("p"))
+    passage = passages.select("id", (F.col("score") * passage_weight).alias("p"))
+    seeds = min_max(entity, "p").unionByName(min_max(passage, "p")).groupBy("id").agg(F.sum("p").alias("p"))
+    ranks = graph.pagerank(nodes, edges, seeds, damping=damping)
+    return ranks.join(F.broadcast(passages.select(F.col("id").alias("node"))), "node", "left_semi").select("node", F.round("rank", 8).alias("score")).orderBy(F.desc("score"), "node").limit(k)
+
+
+def entity_paths(direct: DataFrame, shared: DataFrame) -> DataFrame:
+    """(source, other, score, how): direct edges .8 x confidence; sources with a common target .6 x both confidences."""
+    one = direct.select("source", F.col("target").alias("other"), F.round(0.8 * F.col("confidence"), 6).alias("score"), F.lit("direct").alias("how"))
+    b = shared.select(F.col("source").alias("other"), "target", F.col("confidence").alias("c2"))
+    two = shared.join(b, "target").where("source < other").select("source", "other", F.round(0.6 * F.col("confidence") * F.col("c2"), 6).alias("score"), F.lit("common").alias("how"))
+    return one.union(two)
+
+
+def symbolic_anchors(concepts: list[str], entities: DataFrame, edges: DataFrame, most: int = 10, least: float = 0.3, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(concept, n, relevance) of the best concepts, and (id, relevance) of the entities that ground them.
+
+    A concept is grounded by at most `most` entities, the first by id, whose name or whose outgoing types hold it.
+    """
+    c = entities.sparkSession.createDataFrame([(x,) for x in concepts], "concept string")
+    by_name = entities.join(F.broadcast(c), F.contains(F.lower("name"), F.col("concept"))).select("concept", "id", "confidence")
+    kinds = edges.select("source", "relation_type").distinct().join(F.broadcast(c), F.contains(F.lower("relation_type"), F.col("concept"))).select("concept", F.col("source").alias("id")).distinct()
+    hits = by_name.union(kinds.join(entities.select("id", "confidence"), "id").select("concept", "id", "confidence")).distinct()
+    first = hits.withColumn("rn", F.row_number().over(Window.partitionBy("concept").orderBy("id"))).where(F.col("rn") <= most)
+    relevance = F.round(0.4 * F.least(F.count("*") / 10.0, F.lit(1.0)) + 0.6 * F.avg("confidence"), 6)
+    best = first.groupBy("concept").agg(F.count("*").alias("n"), relevance.alias("relevance")).where(F.col("relevance") >= least).orderBy(F.desc("relevance"), "concept").limit(k)
+    return best, first.join(F.broadcast(best.select("concept", "relevance")), "concept").select("id", "relevance")
+
+
+def anchor_boost(results: DataFrame, entities_of: DataFrame, grounded: DataFrame) -> DataFrame:
+    """(id, score): scores raised by the mean relevance of the anchors of a result's entities (id, entity)."""
+    own = grounded.groupBy(F.col("id").alias("entity")).agg(F.avg("relevance").alias("b"))
+    boost = entities_of.join(F.broadcast(own), "entity").groupBy("id").agg(F.avg("b").alias("boost"))
+    return results.join(boost, "id", "left").select("id", F.round(F.col("score") * (1 + F.coalesce("boost", F.lit(0.0))), 6).alias("score"))

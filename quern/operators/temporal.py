@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,3 +59,26 @@ def resolve_conflicts(existing: DataFrame, new: DataFrame, how: str = "merge") -
     n = new.select("id", *[F.col(c).alias(f"n_{c}") for c in ("name", "entity_type", "confidence")])
     take_new = {"keep_existing": F.col("e_confidence").isNull(), "keep_new": F.col("n_confidence").isNotNull(), "merge": F.col("e_confidence").isNull() | (F.col("n_confidence") > F.col("e_confidence"))}[how]
     return e.join(n, "id", "full").select("id", *[F.when(take_new, F.col(f"n_{c}")).otherwise(F.col(f"e_{c}")).alias(c) for c in ("name", "entity_type", "confidence")])
+
+
+def overlapping(edges: DataFrame, step: int = 86400) -> DataFrame:
+    """Pairs of overlapping edges of one source: the earlier's columns and b_at, b_type.
+
+    An interval is filed under each step that it touches; a pair counts in the first step that both touch, so it
+    comes once and no source is joined with itself whole.
+    """
+    first = F.floor(F.col("start_at") / step)
+    filed = edges.withColumn("first", first).withColumn("day", F.explode(F.sequence(first, F.floor(F.col("end_at") / step))))
+    other = filed.select("source", "day", F.col("start_at").alias("b_start"), F.col("end_at").alias("b_end"), F.col("at").alias("b_at"), F.col("edge_type").alias("b_type"), F.col("first").alias("b_first"))
+    both = filed.join(other, ["source", "day"]).where("day = greatest(first, b_first) and start_at <= b_end and b_start <= end_at and (at < b_at or (at = b_at and edge_type < b_type))")
+    return both.drop("day", "first", "b_first", "b_start", "b_end")
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """Adds to each left row the last `value` (a time) of its key at or before `at`; one sort of both, no join by range."""
+    rest = [c for c in left.columns if c not in (key, at)]
+    rows = left.select(key, F.col(at).alias("t"), F.lit(1).alias("side"), F.struct(*rest).alias("own")) if rest else None
+    marks = right.select(key, F.col(value).alias("t"), F.lit(0).alias("side"), F.lit(None).cast(rows.schema["own"].dataType).alias("own"))
+    w = Window.partitionBy(key).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max(F.when(F.col("side") == 0, F.col("t"))).over(w)
+    return rows.unionByName(marks).withColumn("last", last).where("side = 1").select(*[F.col(f"own.{c}") for c in rest], key, F.col("t").alias(at), F.col("last").alias(value))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quern.operators import components, graph, temporal
+from quern.operators import graph, temporal
 from quern.plans.registry import query
 from quern.sources import fixtures as fx
 
@@ -24,13 +24,6 @@ def op_filter(t):
     return fx.entities(t).where("confidence >= 0.9 and entity_type = 'SUPPLIER'").select("id", "name")
 
 
-@query(f"{G} select e.id, e.name, p.target, f.name as target_name from places p join entities e on e.id = p.source join entities f on f.id = p.target")
-def op_join_inner(t):
-    e = fx.entities(t)
-    f = e.select(F.col("id").alias("target"), F.col("name").alias("target_name"))
-    return fx.places(t).join(e, F.col("id") == F.col("source")).join(f, "target").select("id", "name", "target", "target_name")
-
-
 @query(f"{G} select e.id, count(r.target) as n_out from entities e left join relationships r on r.source = e.id and r.relation_type = 'SUPPLIES' where e.entity_type in ('SUPPLIER', 'REGION') group by e.id")
 def op_join_left(t):
     e = fx.entities(t).where("entity_type in ('SUPPLIER', 'REGION')")
@@ -105,112 +98,6 @@ def clustering_coefficient(t):
     return graph.clustering(supplied(t))
 
 
-@query(f"""{G}, {PAIRS}, recursive_dummy as (select 1) select node, min(component) as component from (
- select n.source as node, n.source as component from pairs n
- union all select source, target from pairs
- union all select a.source, b.target from pairs a join pairs b on a.target = b.source
- union all select a.source, c.target from pairs a join pairs b on a.target = b.source join pairs c on b.target = c.source
- union all select a.source, d.target from pairs a join pairs b on a.target = b.source join pairs c on b.target = c.source join (select distinct source, target from pairs where target like 'REGION%' or source like 'REGION%') d on c.target = d.source) x group by node""".replace(", recursive_dummy as (select 1)", "").replace("min(component)", "min(component)"))
-def connected_components(t):
-    return components.connected_components(fx.places(t), "source", "target")
-
-
-@query(f"""{G}, {PAIRS}, d0 as (select 'REGION_1' as node, 0 as distance),
- d1 as (select distinct p.target as node, 1 as distance from pairs p join d0 on p.source = d0.node where p.target not in (select node from d0)),
- d2 as (select distinct p.target as node, 2 as distance from pairs p join d1 on p.source = d1.node where p.target not in (select node from d0 union all select node from d1))
- select * from d0 union all select * from d1 union all select * from d2""")
-def bfs(t):
-    return graph.bfs(fx.places(t), t.spark.sql("select 'REGION_1' as id"), 2)
-
-
-@query(f"""{G}, {PAIRS}, near as (select 'NATION_2' as node union select target from pairs where source = 'NATION_2')
- select source, target, relation_type from places where source in (select node from near) and target in (select node from near)""")
-def ego_network(t):
-    return graph.ego_network(fx.places(t), t.spark.sql("select 'NATION_2' as id"), 1).select("source", "target", "relation_type")
-
-
-@query(f"""{G}, {PAIRS}, seeds as (select 'REGION_0' as node union select 'NATION_7'), one as (select distinct target as node from pairs where source in (select node from seeds))
- select node, min(distance) as distance from (select node, 0 as distance from seeds union all select node, 1 from one) x group by node""")
-def multi_source_bfs(t):
-    return graph.bfs(fx.places(t), t.spark.sql("select explode(array('REGION_0', 'NATION_7')) as id"), 1)
-
-
-@query(f"""{G} select a.source as start, b.target as node, a.source || '>' || a.target || '>' || b.target as path, round(a.confidence + b.confidence, 6) as weight from places a join places b on a.target = b.source
- union all select source, target, source || '>' || target, round(confidence, 6) from places""")
-def all_paths(t):
-    p = fx.places(t)
-    starts = p.select(F.col("source").alias("id")).distinct()
-    return graph.simple_paths(p, starts, 3).select("start", "node", F.array_join("path", ">").alias("path"), F.round("weight", 6).alias("weight"))
-
-
-@query(f"""{G}, step as (select source, target, confidence from places union all select target, source, confidence from places),
- a as (select target as node, confidence as d from step where source = 'REGION_2'), b as (select s.target as node, min(a.d + s.confidence) as d from a join step s on s.source = a.node group by 1),
- c as (select node, d from a union all select node, d from b union all select 'REGION_2', cast(0 as double))
- select node, round(min(d), 6) as distance from c group by node""")
-def shortest_path(t):
-    return graph.shortest_paths(fx.places(t), "REGION_2").select("node", F.round("distance", 6).alias("distance"))
-
-
-@query(f"""{G}, step as (select source, target, confidence as w from places union all select target, source, confidence from places),
- d2 as (select a.source as s, b.target as node, min(a.w + b.w) as d from step a join step b on a.target = b.source where a.source like 'REGION_%' group by 1, 2),
- every as (select s, node, min(d) as d from (select source as s, target as node, w as d from step where source like 'REGION_%' union all select * from d2) x where s <> node group by 1, 2)
- select s as node, count(*) as reachable, round(count(*) / sum(d), 6) as closeness from every group by s""")
-def closeness(t):
-    from functools import reduce
-
-    every = [graph.shortest_paths(fx.places(t), f"REGION_{i}").where("distance > 0").select(F.lit(f"REGION_{i}").alias("s"), "distance") for i in range(5)]
-    return reduce(lambda a, b: a.union(b), every).groupBy(F.col("s").alias("node")).agg(F.count("*").alias("reachable"), F.round(F.count("*") / F.sum("distance"), 6).alias("closeness"))
-
-
-def pagerank_sql(rounds: int, edges: str, seed: str) -> str:
-    """Unrolled PageRank: each round is a CTE."""
-    out = f"""nodes as (select distinct node from (select source as node from {edges} union all select target from {edges}) x), seed as (select node, {seed} as r from nodes),
- w as (select source, target, sum(confidence) as w from {edges} group by 1, 2), share as (select source, target, w / sum(w) over (partition by source) as share from w), r0 as (select node, r as rank from seed)"""
-    for i in range(1, rounds + 1):
-        out += f""", f{i} as (select s.target as node, sum(s.share * r.rank) as flow from share s join r{i - 1} r on r.node = s.source group by 1),
- g{i} as (select coalesce(sum(rank), 0) as lost from r{i - 1} where node not in (select source from share)),
- r{i} as (select seed.node, 0.15 * seed.r + 0.85 * (coalesce(f.flow, 0) + g.lost * seed.r) as rank from seed left join f{i} f on f.node = seed.node, g{i} g)"""
-    return out
-
-
-def _place_nodes(t):
-    p = fx.places(t)
-    return p.select(F.col("source").alias("id")).union(p.select(F.col("target").alias("id"))).distinct()
-
-
-@query(f"{G}, {pagerank_sql(4, 'places', 'cast(1 as double) / (select count(*) from nodes)')} select node, round(rank, 8) as rank from r4")
-def pagerank(t):
-    return graph.pagerank(_place_nodes(t), fx.places(t), rounds=4, tolerance=None).select("node", F.round("rank", 8).alias("rank"))
-
-
-PPR_SEED = "case when node = 'NATION_1' then 0.75 when node = 'NATION_4' then 0.25 else cast(0 as double) end"
-
-
-@query(f"{G}, {pagerank_sql(3, 'places', PPR_SEED)} select node, round(rank, 8) as rank from r3")
-def pagerank_personalised(t):
-    seeds = t.spark.sql("select * from values ('NATION_1', 3.0D), ('NATION_4', 1.0D) as s(id, p)")
-    return graph.pagerank(_place_nodes(t), fx.places(t), seeds, rounds=3, tolerance=None).select("node", F.round("rank", 8).alias("rank"))
-
-
-@query(f"""{G}, sup as (select source, target, confidence from relationships where relation_type = 'SUPPLIES')
- select a.source as supplier, count(distinct a.target) as parts, round(avg(a.confidence), 6) as mean_confidence from sup a group by 1""")
-def community_members(t):
-    r = fx.relationships(t).where("relation_type = 'SUPPLIES'")
-    return r.groupBy(F.col("source").alias("supplier")).agg(F.countDistinct("target").alias("parts"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
-
-
-@query()
-def label_communities(t):
-    return graph.label_communities(fx.places(t), 4)
-
-
-@query(f"{G} select p.source, a.target as other, round(p.confidence * a.confidence * 0.6, 6) as score from places p join places a on a.source = p.target and a.target <> p.source")
-def common_neighbour_paths(t):
-    p = fx.places(t)
-    a = p.select(F.col("source").alias("mid"), F.col("target").alias("other"), F.col("confidence").alias("c2"))
-    return p.join(a, (F.col("target") == F.col("mid")) & (F.col("other") != F.col("source"))).select("source", "other", F.round(F.col("confidence") * F.col("c2") * 0.6, 6).alias("score"))
-
-
 @query(f"""with {E}, {R} select 'orphan' as problem, count(*) as n from entities e where not exists (select 1 from relationships r where r.source = e.id)
  union all select 'broken', count(*) from relationships r where not exists (select 1 from entities e where e.id = r.target)""")
 def consistency_report(t):
@@ -219,26 +106,6 @@ def consistency_report(t):
     return orphans.union(r.join(e.select(F.col("id").alias("target")), "target", "left_anti").agg(F.lit("broken").alias("problem"), F.count("*").alias("n")))
 
 
-@query(f"""{G} select source, target, round(confidence * (1 + case when relation_type = 'PART_OF' then 0.3 else 0.1 end + 0.2 * confidence), 6) as weight from places""")
-def dynamic_weight(t):
-    recency = F.when(F.col("relation_type") == "PART_OF", 0.3).otherwise(0.1)
-    return fx.places(t).select("source", "target", F.round(F.col("confidence") * (1 + recency + 0.2 * F.col("confidence")), 6).alias("weight"))
-
-
-@query(f"""{G} select a.source as a, b.source as b, round(0.5 * (case when a.relation_type = b.relation_type then cast(1 as double) else 0 end) + 0.3, 6) as similarity from places a join places b on a.target = b.target and a.source < b.source where a.target like 'REGION_%'""")
-def relationship_similarity(t):
-    p = fx.places(t).where("target like 'REGION_%'")
-    q = p.select(F.col("source").alias("b"), "target", F.col("relation_type").alias("bt"))
-    return p.join(q, "target").where("source < b").select(F.col("source").alias("a"), "b", F.round(F.when(F.col("relation_type") == F.col("bt"), 0.5).otherwise(0.0) + 0.3, 6).alias("similarity"))
-
-
-@query(f"""{G} select a.source as start, a.target as middle, b.target as finish, round(0.7 * a.confidence * 0.7 * b.confidence, 6) as confidence from places a join places b on a.target = b.source where a.confidence >= 0.3 and b.confidence >= 0.3""")
-def causal_chains(t):
-    p = fx.places(t).where("confidence >= 0.3")
-    b = p.select(F.col("source").alias("middle"), F.col("target").alias("finish"), F.col("confidence").alias("c2"))
-    return p.join(b, F.col("target") == F.col("middle")).select(F.col("source").alias("start"), "middle", "finish", F.round(0.7 * F.col("confidence") * 0.7 * F.col("c2"), 6).alias("confidence"))
-
-
 # temporal ---------------------------------------------------------------------------------------------
 START, STEP = 1704067200, 86400  # 2024-01-01, a day
 
@@ -274,13 +141,6 @@ def evolution_metrics(t):
     return temporal.evolution(fx.timed(t), START, START + 30 * STEP, STEP)
 
 
-@query(f"""with {T}, b as (select distinct source as node from timed where at < {START} + 3600), a as (select distinct source as node from timed where at > {START} + 2500000)
- select coalesce(b.node, a.node) as node, case when b.node is null then 'added' when a.node is null then 'removed' else 'stable' end as change from b full join a on a.node = b.node""")
-def node_churn(t):
-    e = fx.timed(t).select(F.col("source").alias("node"), "at")
-    return temporal.churn(e.where(f"at < {START + 3600}"), e.where(f"at > {START + 2500000}"))
-
-
 @query(f"""with {T}, d as (select source as node, count(*) filter (at < {START} + 1296000) as early, count(*) filter (at >= {START} + 1296000) as late from timed group by 1)
  select node, round(case when early = 0 then late else (late - early) / cast(early as double) end, 6) as growth from d order by 2 desc, 1 limit 20""")
 def top_growing_nodes(t):
@@ -289,12 +149,6 @@ def top_growing_nodes(t):
     return d.select("node", F.round(F.when(F.col("early") == 0, F.col("late").cast("double")).otherwise((F.col("late") - F.col("early")) / F.col("early")), 6).alias("growth")).orderBy(F.desc("growth"), "node").limit(20)
 
 
-@query(f"""with {T} select cast(floor((at - {START}) / {STEP}) as bigint) as day, edge_type, count(distinct source) as actors, round(count(*) / cast(count(distinct source) as double), 6) as mean_degree from timed group by 1, 2""")
-def temporal_centrality(t):
-    day = F.floor((F.col("at") - START) / STEP).cast("long").alias("day")
-    return fx.timed(t).groupBy(day, "edge_type").agg(F.countDistinct("source").alias("actors"), F.round(F.count("*") / F.countDistinct("source"), 6).alias("mean_degree"))
-
-
 # deltas -----------------------------------------------------------------------------------------------
 AFTER = """after as (select o_orderkey + case when o_orderkey % 5 = 0 then 10000000 else 0 end as o_orderkey, case when o_orderkey % 11 = 0 then 'X' else o_orderstatus end as o_orderstatus, o_custkey from orders where o_orderkey % 7 <> 0)"""
 
@@ -325,8 +179,3 @@ def conflict_resolve(t):
     new = new.union(t.spark.sql("select 'NATION_x' as id, 'Nowhere' as name, 'NATION' as entity_type, 0.1D as confidence"))
     return temporal.resolve_conflicts(e, new).select("id", "name", F.round("confidence", 6).alias("confidence"))
 
-
-@query(f"""with {E}, {R} select region, type, id, rn from (select entity_type as type, id, 'Entity' as region, row_number() over (partition by entity_type order by confidence desc, id) as rn from entities) x where rn <= 3""")
-def cache_invalidation(t):
-    w = Window.partitionBy("entity_type").orderBy(F.desc("confidence"), "id")
-    return fx.entities(t).withColumn("rn", F.row_number().over(w)).where("rn <= 3").select(F.lit("Entity").alias("region"), F.col("entity_type").alias("type"), "id", F.col("rn").cast("long").alias("rn"))

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.functions.similarity import jaro_winkler_pairs, resolve_overlaps, rouge_l
-from quern.operators import graph
-from quern.plans.queries_graph import G, PAIRS, _place_nodes, pagerank_sql
 from quern.plans.queries_text import KEYWORDS, MENTIONS, WORDS, _mentions
 from quern.plans.registry import query
 from quern.sources import fixtures as fx
@@ -79,44 +77,6 @@ def concept_stats(t):
     return d.join(F.broadcast(top)).groupBy(F.least(F.lit(9), F.floor(10.0 * F.col("df") / F.col("m"))).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("select item_id, case when item_id % 4 = 0 then 'EntityFocused' when item_id % 4 = 1 then 'Conceptual' when item_id % 4 = 2 then 'Relationship' else 'Factual' end as kind, case when item_id % 4 = 0 then cast(0.3 as double) when item_id % 4 = 1 then cast(0.4 as double) when item_id % 4 = 2 then cast(0.2 as double) else cast(0.6 as double) end as vector_weight from benchmark")
-def strategy_weights(t):
-    m = F.col("item_id") % 4
-    return t.benchmark.select("item_id", F.when(m == 0, "EntityFocused").when(m == 1, "Conceptual").when(m == 2, "Relationship").otherwise("Factual").alias("kind"), F.when(m == 0, 0.3).when(m == 1, 0.4).when(m == 2, 0.2).otherwise(0.6).alias("vector_weight"))
-
-
-# Intent patterns, by priority.
-INTENTS = [("Relational", "(the|and|la|le|die)"), ("Causal", "(tion|heit)"), ("Temporal", "(ción|ment)"), ("Summary", "(ing|eau)")]
-
-
-@query("with s as (select item_id, unnest([" + ", ".join(f"{{'intent': '{k}', 'n': len(regexp_extract_all(lower(text), '{p}'))}}" for k, p in INTENTS) + "]) as x from benchmark) select item_id, x.intent as intent, x.n as hits, row_number() over (partition by item_id order by x.n desc, x.intent) as rank from s")
-def classify_intent(t):
-    hits = F.array(*[F.struct(F.lit(k).alias("intent"), F.size(F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(0))).cast("long").alias("hits")) for k, p in INTENTS])
-    s = t.benchmark.select("item_id", F.explode(hits).alias("x")).select("item_id", "x.*")
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("hits"), "intent")).cast("long"))
-
-
-@query("select item_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N} ]', '', 'g')) as rewritten from benchmark")
-def rewrite_query(t):
-    return t.benchmark.select("item_id", F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N} ]", "")).alias("rewritten"))
-
-
-@query("select e.event_id, regexp_extract(props, '\"([a-z]+)\"', 1) as predicate, regexp_extract(props, ': *([0-9.]+)', 1) as argument from events e")
-def parse_logic_form(t):
-    return t.events.select("event_id", F.regexp_extract("props", '"([a-z]+)"', 1).alias("predicate"), F.regexp_extract("props", ": *([0-9.]+)", 1).alias("argument"))
-
-
-@query("select a.conv_id, a.turn as later, b.turn as earlier from conversations a join conversations b on a.conv_id = b.conv_id and b.turn < a.turn and a.role = 'assistant' and b.role = 'user'")
-def subquery_dependencies(t):
-    a = t.conversations.where("role = 'assistant'").select("conv_id", F.col("turn").alias("later"))
-    b = t.conversations.where("role = 'user'").select("conv_id", F.col("turn").alias("earlier"))
-    return a.join(b, "conv_id").where("earlier < later")
-
-
-@query("select conv_id, md5(string_agg(text, chr(10) order by turn)) as answer_md5, round(avg(length(text)), 6) as mean_length from conversations where role = 'assistant' group by 1")
-def synthesize_sequential(t):
-    a = t.conversations.where("role = 'assistant'").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("x"), F.round(F.avg(F.length("text")), 6).alias("mean_length"))
-    return a.select("conv_id", F.md5(F.array_join(F.transform("x", lambda y: y["text"]), "\n")).alias("answer_md5"), "mean_length")
 
 
 @query(f"""with p as (select d.doc_id, {WORDS.format('lower(d.text)')} as c, {WORDS.format('lower(b.text)')} as r from documents d join benchmark b on b.item_id = d.doc_id % 40),
@@ -143,30 +103,6 @@ def weight_optimizer_slope(t):
     return e.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg(slope), 6).alias("mean_slope"), F.sum((slope < 0.01).cast("long")).alias("stalled"))
 
 
-@query("""with e as (select vec_id, unnest(cast(embedding as double[])) as x, unnest(range(len(embedding))) as i from embeddings), n as (select count(*) as n from embeddings),
- g as (select vec_id as source, (vec_id + 1) % (select n from n) as target from embeddings union all select vec_id, (vec_id + 7) % (select n from n) from embeddings)
- select g.source as vec_id, cast(e.i as bigint) as dim, round(avg(e.x), 5) as value from g join e on e.vec_id = g.target group by 1, 2""")
-def graphsage_mean(t):
-    """Mean aggregation over a ring with chords."""
-    n = t.embeddings.count()
-    g = t.embeddings.select(F.col("vec_id").alias("source"), F.explode(F.array((F.col("vec_id") + 1) % n, (F.col("vec_id") + 7) % n)).alias("target"))
-    e = t.embeddings.select(F.col("vec_id").alias("target"), F.posexplode("embedding").alias("dim", "x"))
-    return g.join(e, "target").groupBy(F.col("source").alias("vec_id"), F.col("dim").cast("long").alias("dim")).agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("value"))
-
-
-@query(f"{G}, {pagerank_sql(3, 'places', 'cast(1 as double) / (select count(*) from nodes)').replace('0.15 *', '0.5 *').replace('0.85 *', '0.5 *')} select node, round(rank, 8) as score from r3 where node like 'SUPPLIER%' order by 2 desc, 1 limit 10")
-def hipporag(t):
-    r = graph.pagerank(_place_nodes(t), fx.places(t), rounds=3, damping=0.5, tolerance=None)
-    return r.where("node like 'SUPPLIER%'").select("node", F.round("rank", 8).alias("score")).orderBy(F.desc("score"), "node").limit(10)
-
-
-@query(f"""{G}, {PAIRS}, m as (select source as node, count(*) as n from pairs group by 1) select e.id, round(0.4 * least(m.n / cast(10 as double), 1) + 0.6 * e.confidence, 6) as relevance from entities e join m on m.node = e.id where 0.4 * least(m.n / cast(10 as double), 1) + 0.6 * e.confidence >= 0.3 order by 2 desc, 1 limit 5""")
-def symbolic_anchors(t):
-    m = graph.undirected(fx.places(t)).groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n"))
-    r = 0.4 * F.least(F.col("n") / 10.0, F.lit(1.0)) + 0.6 * F.col("confidence")
-    return fx.entities(t).join(m, "id").where(r >= 0.3).select("id", F.round(r, 6).alias("relevance")).orderBy(F.desc("relevance"), "id").limit(5)
-
-
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents) select doc_id, count(*) as lines, cast(sum(case when regexp_matches(line, '^#{1,6} ') then 1 else 0 end) as bigint) as headings, cast(sum(case when regexp_matches(line, '^[ ]*([-*+]|[0-9]+[.])[ ]') then 1 else 0 end) as bigint) as list_items, cast(sum(case when regexp_matches(line, '^(    |```)') then 1 else 0 end) as bigint) as code_lines, cast(sum(case when trim(line) = '' then 1 else 0 end) as bigint) as blank from l group by 1""")
 def detect_boundaries(t):
     line = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
@@ -208,22 +144,3 @@ def enrichment_stats(t):
     c = (F.col("lang").isNotNull().cast("int") + (F.col("n_chars") > 150).cast("int") + F.contains("text", F.lit("\n")).cast("int")) / 3.0
     return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg(c), 6).alias("completeness"))
 
-
-@query(f"{G}, d as (select target as node, avg(confidence) as c from places group by 1) select p.source, round(avg(d.c), 6) as boosted from places p join d on d.node = p.target group by 1")
-def anchor_boost(t):
-    p = fx.places(t)
-    d = p.groupBy("target").agg(F.avg("confidence").alias("c"))
-    return p.join(d, "target").groupBy("source").agg(F.round(F.avg("c"), 6).alias("boosted"))
-
-
-@query()
-def betweenness(t):
-    """Ordered pairs of nations and regions whose one shortest path runs through a node."""
-    p = fx.places(t).where("relation_type = 'PART_OF'")
-    starts = [r[0] for r in p.select("target").distinct().orderBy("target").collect()]  # five regions
-    every = None
-    for s in starts:
-        one = graph.shortest_paths(p, s).select(F.lit(s).alias("start"), "node", "path")
-        every = one if every is None else every.union(one)
-    inner = every.select(F.explode(F.when(F.size("path") > 2, F.slice("path", 2, F.greatest(F.size("path") - 2, F.lit(0)))).otherwise(F.col("path"))).alias("node"))
-    return inner.groupBy("node").agg(F.count("*").alias("paths"))

@@ -142,56 +142,17 @@ def rank_and_dedup(t):
 QUERIES = "q as (select item_id, text, string_split_regex(lower(text), '[ \\t\\n\\r\\f]+') as w from benchmark)"
 
 
-@query(f"""with {QUERIES} select item_id, len(w) as n_words, len(list_filter(w, x -> length(x) > 3)) as n_concepts,
- round(least(0.1 * len(w) + 0.2 * len(list_filter(w, x -> length(x) > 3)), cast(1 as double)), 6) as complexity from q""")
-def analyze_query(t):
-    w = tx.words(F.lower(F.col("text")))
-    q = t.benchmark.select("item_id", w.alias("w")).withColumn("c", F.filter("w", lambda x: F.length(x) > 3))
-    return q.select("item_id", F.size("w").cast("long").alias("n_words"), F.size("c").cast("long").alias("n_concepts"), F.round(F.least(0.1 * F.size("w") + 0.2 * F.size("c"), F.lit(1.0)), 6).alias("complexity"))
-
-
 @query(f"with {QUERIES} select item_id, array_to_string(list_slice(list_filter(w, x -> length(x) > 3), 1, 10), ' ') as keywords from q")
 def dual_keywords_fallback(t):
     w = F.filter(tx.words(F.lower(F.col("text"))), lambda x: F.length(x) > 3)
     return t.benchmark.select("item_id", F.array_join(F.slice(w, 1, 10), " ").alias("keywords"))
 
 
-@query(f"with {QUERIES} select item_id, case when len(w) < 20 then 'VerySimple' when len(w) < 30 then 'Simple' when len(w) < 40 then 'Medium' when len(w) < 50 then 'Complex' else 'VeryComplex' end as level from q")
-def query_complexity(t):
-    n = F.size(tx.words(F.lower(F.col("text"))))
-    return t.benchmark.select("item_id", F.when(n < 20, "VerySimple").when(n < 30, "Simple").when(n < 40, "Medium").when(n < 50, "Complex").otherwise("VeryComplex").alias("level"))
-
-
-@query(f"with {QUERIES}, p as (select item_id, unnest(string_split_regex(text, '[.,;]')) as part, unnest(range(len(string_split_regex(text, '[.,;]')))) as i from q) select item_id, cast(i as bigint) as at, trim(part) as sub_query from p where length(trim(part)) > 3")
-def decompose_syntactic(t):
-    return t.benchmark.select("item_id", F.posexplode(F.split("text", "[.,;]")).alias("at", "part")).select("item_id", F.col("at").cast("long").alias("at"), F.trim("part").alias("sub_query")).where("length(sub_query) > 3")
-
-
-@query(f"with {fx.ENTITIES} select e.id, e.name, case when lower(e.name) = 'france' then 1.0 when contains(lower(e.name), 'an') then 0.9 * 0.8 else 0.7 end as score from entities e where contains(lower(e.name), 'an') or e.entity_type = 'REGION'".replace("1.0 when", "cast(1 as double) when"))
-def fuzzy_match(t):
-    n = F.lower("name")
-    return fx.entities(t).where(F.contains(n, F.lit("an")) | (F.col("entity_type") == "REGION")).select("id", "name", F.when(n == "france", 1.0).when(F.contains(n, F.lit("an")), 0.9 * 0.8).otherwise(0.7).alias("score"))
-
-
-@query(f"with {fx.ENTITIES}, {fx.RELATIONSHIPS} select r.source, r.target, r.relation_type from relationships r join entities e on e.id = r.source where e.name = 'FRANCE' or e.name = (select min(name) from entities where entity_type = 'NATION')")
-def logic_related(t):
-    e = fx.entities(t)
-    first = e.where("entity_type = 'NATION'").agg(F.min("name").alias("name"))
-    chosen = e.join(F.broadcast(first.union(t.spark.sql("select 'FRANCE'")).distinct()), "name").select(F.col("id").alias("source"))
-    return fx.relationships(t).join(chosen, "source").select("source", "target", "relation_type")
-
-
 @query(f"with {fx.ENTITIES} select entity_type, count(*) as n, round(avg(confidence), 6) as mean_confidence from entities group by 1")
 def logic_count(t):
     return fx.entities(t).groupBy("entity_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
-@query("""select item_id, round(sum(s / p) / sum(1.0 / p), 6) as confidence from (select item_id, (item_id * 7 % 10) / cast(10 as double) as s, unnest(range(1, 4)) as p from benchmark) x group by 1""".replace("sum(1.0 / p)", "sum(1 / cast(p as double))"))
-def match_confidence(t):
-    q = t.benchmark.select("item_id", ((F.col("item_id") * 7 % 10) / 10.0).alias("s"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("p"))
-    return q.groupBy("item_id").agg(F.round(F.sum(F.col("s") / F.col("p")) / F.sum(1.0 / F.col("p")), 6).alias("confidence"))
-
-
 @query("""with f as (select d.doc_id, b.item_id, len(list_intersect(list_distinct(string_split_regex(lower(d.text), '[^\\p{L}\\p{N}]+')), list_distinct(string_split_regex(lower(b.text), '[^\\p{L}\\p{N}]+')))) as hits, len(list_distinct(string_split_regex(lower(b.text), '[^\\p{L}\\p{N}]+'))) as n
  from documents d join benchmark b on d.doc_id = b.item_id) select doc_id, round(hits / cast(n as double), 6) as recall, round(hits / cast(n as double), 6) >= 0.5 as found from f""")
 def metric_recall(t):

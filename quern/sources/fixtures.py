@@ -52,3 +52,41 @@ def places(t) -> DataFrame:
 def timed(t) -> DataFrame:
     at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long")
     return t.events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), F.col("event_type").alias("target"), F.col("event_type").alias("edge_type"), at.alias("at"), F.col("value").alias("weight"))
+
+
+# Questions that are put to the graph, by number.
+QUESTIONS = [
+    "What is NATION_3?", "Who is Supplier#000000001?", "What are the regions of NATION_1 and NATION_2?", "How is NATION_4 related to MIDDLE EAST?", "How are Supplier#000000002 connected to NATION_1?",
+    "When did the red widget happen?", "Why did the blue bolt cause the hot gear?", "Compare NATION_1 and NATION_2 in terms of size", "compare red widget with blue bolt", "Give me an overview of all regions",
+    "How many suppliers locate a widget?", "who is the customer because of whom the small ring came late, and when was it?", "What is the relationship between NATION_0 and AFRICA?", "Explain how a theory of truth and beauty differs from knowledge", "why does the supplier fail",
+    "Summarize the main themes, broadly", "define gear; however, also tell me what is a bolt", "what is a widget and how is it related to a gear", "difference between small ring versus small gear", "find large important company people",
+    "show total of hot gear before and after the war", "What caused the delay? Describe the reason, or the result", "region", "explain exactly the connection of \"NATION_5\" and \"AFRICA\" between them",
+]
+ASKED = "asked as (select * from (values " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS)) + ") v(ask_id, text))"
+
+
+def asked(t) -> DataFrame:
+    return t.spark.createDataFrame(list(enumerate(QUESTIONS)), "ask_id int, text string")
+
+
+#: Relationships with what weighing and causal search need: a time, a causal strength for one type, a vector.
+CAUSAL = """causal as (select r.*, case when relation_type = 'LOCATED_IN' then confidence end as causal_strength, 1700000000 - n * n * 500000 as moment, e.embedding from (select *, cast(round(confidence * 100) as bigint) as n from relationships) r left join embeddings e on e.vec_id = r.n)"""
+
+
+def causal(t) -> DataFrame:
+    n = F.round(F.col("confidence") * 100).cast("long")
+    r = relationships(t).withColumn("n", n).join(F.broadcast(t.embeddings.where("vec_id between 0 and 100").select(F.col("vec_id").alias("n"), "embedding")), "n", "left")
+    return r.withColumn("causal_strength", F.when(F.col("relation_type") == "LOCATED_IN", F.col("confidence"))).withColumn("at", 1700000000 - F.col("n") * F.col("n") * 500000)
+
+
+#: Communities on two levels: a nation with its customers and suppliers, and a region with its nations' members.
+LABELS = """labels as (select 0 as level, source as node, target as community from relationships where relation_type = 'LOCATED_IN' union all select 0, source, source from relationships where relation_type = 'PART_OF'
+ union all select 1, a.source, b.target from relationships a join relationships b on a.target = b.source and a.relation_type = 'LOCATED_IN' and b.relation_type = 'PART_OF' union all select 1, source, target from relationships where relation_type = 'PART_OF' union all select distinct 1, target, target from relationships where relation_type = 'PART_OF')"""
+
+
+def labels(t) -> DataFrame:
+    r = relationships(t)
+    at, of = r.where("relation_type = 'LOCATED_IN'"), r.where("relation_type = 'PART_OF'")
+    row = lambda df, level, node, community: df.select(F.lit(level).alias("level"), F.col(node).alias("node"), F.col(community).alias("community"))
+    up = at.select("source", F.col("target").alias("mid")).join(F.broadcast(of.select(F.col("source").alias("mid"), "target")), "mid")
+    return row(at, 0, "source", "target").union(row(of, 0, "source", "source")).union(row(up, 1, "source", "target")).union(row(of, 1, "source", "target")).union(row(of, 1, "target", "target").distinct())
