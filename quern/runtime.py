@@ -59,6 +59,21 @@ def discard(df: DataFrame) -> None:
         name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)
 
 
+def staged(spark: SparkSession) -> list[str]:
+    """The paths staged so far, the latest last."""
+    return list(_STAGED.get(spark.sparkContext.applicationId, []))
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Remove staged paths; those that are gone already do no harm."""
+    sc = spark.sparkContext
+    for p in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        if p in _STAGED.get(sc.applicationId, []):
+            _STAGED[sc.applicationId].remove(p)
+
+
 def sweep(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that are done; it does so only when the driver collects garbage."""
     gc.collect()
@@ -116,10 +131,11 @@ def replicate_join(left: DataFrame, right: DataFrame, key: str, spread: str, hot
 
     Rows of a hot key (see hot_keys) are dealt into parts by a hash of `spread`, and the key's one row of
     `right` is copied for each part; so no task gets more than a part, and there are at most as many copies
-    as parts. Unlike attach_groups, rows of `right` aren't broadcast, so they may be of any size.
+    as parts. Unlike attach_groups, rows of `right` aren't broadcast, so they may be of any size; and the join is
+    by sorting at every size, so that small inputs show what large ones cost.
     """
     named = hot.select(F.col("hot").alias("__hot"), F.col("parts").alias("__parts"))
     mark = lambda df: df.join(F.broadcast(named), F.col(key) == F.col("__hot"), "left")
     dealt = mark(left).withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("__parts")).cast("int"))).drop("__hot", "__parts")
     copies = mark(right).withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1))).drop("__hot", "__parts")
-    return dealt.join(copies, [key, "__part"]).drop("__part")
+    return dealt.join(copies.hint("merge"), [key, "__part"]).drop("__part")
