@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Stop words of the lexical index, of the keyword extractor and of the content cache key.
+# The most common English words, in their usual order; the lexical index leaves them out.
 STOP_WORDS = [
-    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been",
-    "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "can", "this", "that", "these", "those",
+    "the", "be", "to", "of", "and", "a", "in", "that", "have", "i", "it", "for", "not", "on", "with", "he", "as", "you", "do", "at", "this", "but", "his", "by", "from",
+    "they", "we", "say", "her", "she", "or", "an", "will", "my", "one", "all", "would", "there", "their", "what", "so", "up", "out", "if", "about", "who", "get", "which",
+    "go", "me", "when", "make", "can", "like", "time", "no", "just", "him", "know", "take", "people", "into", "year", "your", "good", "some", "could", "them", "see", "other",
+    "than", "then", "now", "look", "only", "come", "its", "over", "think", "also", "back", "after", "use", "two", "how", "our", "work", "first", "well", "way", "even", "new",
+    "want", "because", "any", "these", "give", "day", "most", "us",
 ]
-KEYWORD_STOP_WORDS = ["the", "and", "that", "this", "with", "from", "have", "been", "were", "they", "their", "which", "would", "there", "about"]
+# What keyword extraction leaves out besides; how many of the common words plain frequency counts leave
+# out; what the content key leaves out.
+KEYWORD_STOP_WORDS = [*STOP_WORDS, "is", "was", "are", "been", "has", "had", "were", "said", "did"]
+FREQUENT = STOP_WORDS[:50]
+CONTENT_STOP_WORDS = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by"]
 
 
 def clean(text: Column) -> Column:
@@ -33,14 +40,20 @@ def sentences(text: Column) -> Column:
 
 
 def index_tokens(text: Column, stop: list[str] = STOP_WORDS) -> Column:
-    """Lower case, letters and digits only, more than two bytes, no stop words; repeats stay."""
-    bare = F.transform(words(F.lower(text)), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))
+    """Lower case, letters and digits only, more than two bytes, no stop words; repeats stay. One pass strips the whole text."""
+    bare = words(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N} \t\n\r\f]", ""))
     return F.filter(bare, lambda w: (F.octet_length(w) > 2) & ~w.isin(stop))
 
 
-def keyword_tokens(text: Column, stop: list[str] = KEYWORD_STOP_WORDS, least: int = 4) -> Column:
-    bare = F.transform(words(F.lower(text)), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_-]", ""))
-    return F.filter(bare, lambda w: (F.length(w) >= least) & ~w.isin(stop) & ~w.rlike("^[0-9]+$"))
+def keyword_tokens(text: Column, stop: list[str] = KEYWORD_STOP_WORDS) -> Column:
+    """As index_tokens, with hyphens and underlines kept and numbers left out."""
+    bare = words(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\- \t\n\r\f]", ""))
+    return F.filter(bare, lambda w: (F.octet_length(w) > 2) & ~w.isin(stop) & ~w.rlike(r"^\p{N}+$"))
+
+
+def frequent_tokens(text: Column) -> Column:
+    """Words as they stand, in lower case, of more than three bytes, without the fifty commonest."""
+    return F.filter(words(F.lower(text)), lambda w: (F.octet_length(w) > 3) & ~w.isin(FREQUENT))
 
 
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
@@ -106,10 +119,28 @@ def roman(numeral: Column) -> Column:
 
 
 def cache_key(text: Column, mode: str = "simple") -> Column:
-    """sha256 of the text in lower case with single spaces; semantic: without punctuation; content: without stop words."""
+    """sha256 of the text in lower case with single spaces; semantic: without punctuation; content: without stop words,
+    unless it has nothing else."""
     low = clean(F.lower(text))
     if mode in ("semantic", "content"):
         low = clean(F.regexp_replace(low, r"[^\p{L}\p{N} ]", ""))
     if mode == "content":
-        low = F.array_join(F.filter(F.split(low, " "), lambda w: ~w.isin(STOP_WORDS[:14])), " ")
+        kept = F.filter(F.split(low, " "), lambda w: ~w.isin(CONTENT_STOP_WORDS))
+        low = F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(low)
     return F.sha2(low, 256)
+
+
+def edit_name_match(name: Column, asked: Column) -> Column:
+    """Whether a name may be the asked one: its first word begins so (one word asked), the last words are equal, or few edits."""
+    n, q = words(F.lower(name)), words(F.lower(asked))
+    one = F.get(n, F.lit(0)).startswith(F.get(q, F.lit(0))) | F.get(q, F.lit(0)).startswith(F.get(n, F.lit(0)))
+    last = F.get(n, F.size(n) - 1) == F.get(q, F.size(q) - 1)
+    most = F.greatest(F.lit(1), F.floor(F.least(F.octet_length(name), F.octet_length(asked)) / 4))
+    return F.when((F.size(q) == 1) & (F.size(n) > 0), one).otherwise(F.coalesce(last, F.lit(False)) | (F.levenshtein(F.lower(name), F.lower(asked)) <= most))
+
+
+def language_en(text: Column) -> Column:
+    """en where eight short words occur (as substrings) in over .05 of as many words; null for texts under ten bytes."""
+    hits = sum((F.regexp_count(text, F.lit(w)) for w in ("the", "and", "or", "but", "in", "on", "at", "to")), F.lit(0))
+    n = word_count(text)
+    return F.when(F.octet_length(text) < 10, None).when((n > 0) & (hits / F.greatest(n, F.lit(1)) > 0.05), "en").otherwise("unknown")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import text as tx
+
 
 def _double(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
@@ -37,3 +39,13 @@ def hash_embedding(word: Column, dims: int = 128) -> Column:
     """A vector of values in [-1, 1) made from digests of the word, the same on every engine."""
     value = lambda i: (F.conv(F.substring(F.md5(F.concat_ws("#", word, i.cast("string"))), 1, 8), 16, 10).cast("long") % 2000) / 1000.0 - 1.0
     return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), value)
+
+
+def text_embeddings(df: DataFrame, key: str, text: str, dims: int = 128) -> DataFrame:
+    """(key, dim, value): the mean of the unit vectors of a text's words, made unit. Each distinct word's vector is made once;
+    a text without words has no rows."""
+    words = df.select(key, F.explode(tx.words(F.lower(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("times"))
+    vectors = words.select("word").distinct().select("word", F.posexplode(hash_embedding(F.col("word"), dims)).alias("dim", "x"))
+    unit = vectors.withColumn("u", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("word"))))
+    mean = words.join(unit, "word").groupBy(key, "dim").agg((F.sum(F.col("times") * F.col("u")) / F.sum("times")).alias("m"))
+    return mean.select(key, F.col("dim").cast("long").alias("dim"), (F.col("m") / F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy(key)))).alias("value"))

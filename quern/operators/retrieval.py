@@ -8,45 +8,69 @@ from pyspark.sql import functions as F
 from quern.functions import text as tx
 from quern.functions import vector as vx
 from quern.operators import graph
+from quern.runtime import stage
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, n, length): the inverted index; one shuffle, partially aggregated before it."""
-    tokens = docs.select(key, tx.index_tokens(F.col(text)).alias("tokens"))
-    each = tokens.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    return each.groupBy(key, "term", "length").agg(F.count("*").alias("n"))
+class Index:
+    """A lexical index, staged: postings (key, term, n, length) and each document's length.
+
+    Texts are tokenised once, in build; searches read postings of their terms alone. The postings lie in files
+    sorted by term, so that a term's are skipped to.
+    """
+
+    def __init__(self, postings: DataFrame, lengths: DataFrame, key: str):
+        self.postings, self.lengths, self.key = postings, lengths, key
+
+    @classmethod
+    def build(cls, docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+        tokens = docs.select(key, tx.index_tokens(F.col(text)).alias("tokens"))
+        lengths = stage(tokens.select(key, F.size("tokens").alias("length"), "tokens"), "tokens")
+        each = lengths.select(key, "length", F.explode("tokens").alias("term")).groupBy("term", key, "length").agg(F.count("*").alias("n"))
+        return cls(stage(each.sortWithinPartitions("term"), "postings"), lengths.select(key, "length"), key)
+
+    def terms(self) -> DataFrame:
+        """(term, n, df)."""
+        return self.postings.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
 
+    def stats(self) -> DataFrame:
+        """(documents, mean_length, terms) as one row."""
+        of = self.lengths.agg(F.count("*").alias("documents"), F.round(F.avg("length"), 6).alias("mean_length"))
+        return of.join(self.postings.agg(F.countDistinct("term").alias("terms")))
 
-def bm25_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(documents, mean_length) as one row."""
-    lengths = docs.select(F.size(tx.index_tokens(F.col(text))).alias("length"))
-    return lengths.agg(F.count("*").alias("documents"), F.avg("length").alias("mean_length"))
+    def search(self, terms: list[str], k: int | None = 10, **rules) -> DataFrame:
+        hits = self.postings.where(F.col("term").isin(list(dict.fromkeys(terms)))).select(self.key, "length", "term", "n")
+        return scored(hits, self.lengths.agg(F.count("*").alias("documents"), F.avg("length").alias("mean_length")), terms, self.key, k, **rules)
 
 
-def bm25_search(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", k: int | None = 10, k1: float = 1.2, b: float = 0.75, standard_tf: bool = False) -> DataFrame:
-    """Best documents for query terms (a repeated term counts again), ties by key.
+def scored(hits: DataFrame, stats: DataFrame, terms: list[str], key: str, k: int | None, k1: float = 1.2, b: float = 0.75, standard_tf: bool = False) -> DataFrame:
+    """Scores of postings (key, length, term, n) of query terms, the best k, ties by key.
 
     By default term frequency is divided by the document's length, as the engine's contract has it;
-    standard_tf takes the plain count. Only postings of query terms are kept, before any shuffle.
+    standard_tf takes the plain count. A repeated query term counts again.
     """
     wanted = {t: terms.count(t) for t in terms}
-    tokens = docs.select(key, tx.index_tokens(F.col(text)).alias("tokens"))
-    hits = tokens.select(key, F.size("tokens").alias("length"), F.explode(F.filter("tokens", lambda w: w.isin(list(wanted)))).alias("term"))
-    counted = hits.groupBy(key, "length", "term").agg(F.count("*").alias("n"))
-    stats = tokens.agg(F.count("*").alias("documents"), F.avg(F.size("tokens")).alias("mean_length")).collect()[0]
-    if not stats["documents"] or not wanted:
-        return counted.select(key, F.lit(0.0).alias("score")).limit(0)
-    df = {r["term"]: r["df"] for r in counted.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each query term
+    one = stats.collect()[0]
+    if not one["documents"] or not one["mean_length"] or not wanted:
+        return hits.select(key, F.lit(0.0).alias("score")).limit(0)
+    df = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each query term
     weight = F.lit(0.0)
     for t, n in wanted.items():
         if t in df:
-            weight = F.when(F.col("term") == t, F.lit(float(n)) * (F.log(F.lit(stats["documents"] / df[t])) + 1)).otherwise(weight)
+            weight = F.when(F.col("term") == t, F.lit(float(n)) * (F.log(F.lit(one["documents"] / df[t])) + 1)).otherwise(weight)
     tf = F.col("n").cast("double") if standard_tf else F.col("n") / F.col("length")
-    score = weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.lit(stats["mean_length"])))
-    ranked = counted.groupBy(key).agg(F.round(F.sum(score), 6).alias("score"))
+    score = weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.lit(one["mean_length"])))
+    ranked = hits.groupBy(key).agg(F.round(F.sum(score), 6).alias("score"))
     return ranked if k is None else ranked.orderBy(F.desc("score"), key).limit(k)
 
 
+def bm25_search(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", k: int | None = 10, **rules) -> DataFrame:
+    """A search without an index: one pass tokenises the texts and keeps each one's length and hits, staged."""
+    tokens = docs.select(key, tx.index_tokens(F.col(text)).alias("tokens"))
+    own = stage(tokens.select(key, F.size("tokens").alias("length"), F.filter("tokens", lambda w: w.isin(list(dict.fromkeys(terms)))).alias("hits")), "lengths")
+    hits = own.select(key, "length", F.explode("hits").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("n"))
+    return scored(hits, own.agg(F.count("*").alias("documents"), F.avg("length").alias("mean_length")), terms, key, k, **rules)
+
+
 def vector_search(vectors: DataFrame, query: list[float], key: str = "vec_id", vector: str = "embedding", k: int | None = 10, least: float | None = None) -> DataFrame:
     """Exact cosine search for one query vector, a literal, so nothing is shuffled but the best k."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -98,6 +122,51 @@ def batch_search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", ve
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def centroids(vectors: DataFrame, vector: str, key: str, cells: int, sample: int = 65_536, rounds: int = 8):
+    """Unit centroids of the cells of an index, by k-means over at most `sample` vectors, those of the least hashes."""
+    import numpy as np
+
+    rows = vectors.select(vector).where(F.col(vector).isNotNull()).orderBy(F.xxhash64(key)).limit(sample).collect()
+    x = np.array([r[0] for r in rows], np.float32).reshape(len(rows), -1)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    c = x[:: max(1, len(x) // max(1, cells))][:cells].copy()
+    for _ in range(rounds if len(c) else 0):
+        own = (x @ c.T).argmax(axis=1)
+        for i in range(len(c)):
+            if (own == i).any():
+                c[i] = x[own == i].mean(axis=0)
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    return c
+
+
+def in_cells(vectors: DataFrame, c, key: str, vector: str, cells: int) -> DataFrame:
+    """(key, vector, cell): each vector with its nearest cells, one row for each."""
+    import numpy as np
+    import pandas as pd
+
+    shared = vectors.sparkSession.sparkContext.broadcast(c)
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                x = np.array(batch[vector].tolist(), np.float32)
+                near = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :cells]
+                yield pd.DataFrame({key: np.repeat(batch[key].to_numpy(), near.shape[1]), vector: [v for v in batch[vector] for _ in range(near.shape[1])], "cell": near.ravel().astype("int32")})
+
+    return vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, f"{key} {vectors.schema[key].dataType.simpleString()}, {vector} array<float>, cell int")
+
+
+def vector_ann(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, cells: int = 16, probes: int = 6) -> DataFrame:
+    """(query_id, key, score, rank): the nearest others of each query, approximately: every vector is indexed in the
+    cell of its nearest centroid, a query looks in its `probes` nearest cells and compares exactly there."""
+    c = centroids(vectors, vector, key, cells)
+    index = in_cells(vectors, c, key, vector, 1)
+    asked = in_cells(queries, c, key, vector, probes).withColumnsRenamed({key: "query_id", vector: "_q"})
+    near = asked.join(index, "cell").where(F.col("query_id") != F.col(key)).select("query_id", key, F.round(vx.cosine(F.col(vector), F.col("_q")), 6).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, k: int) -> DataFrame:
     """Edges SEMANTICALLY_SIMILAR: each vector's best k others above `least`."""
     return batch_search(vectors, vectors, key, vector, k).where(F.col("score") > least)
@@ -196,3 +265,64 @@ def anchor_boost(results: DataFrame, entities_of: DataFrame, grounded: DataFrame
     own = grounded.groupBy(F.col("id").alias("entity")).agg(F.avg("relevance").alias("b"))
     boost = entities_of.join(F.broadcast(own), "entity").groupBy("id").agg(F.avg("b").alias("boost"))
     return results.join(boost, "id", "left").select("id", F.round(F.col("score") * (1 + F.coalesce("boost", F.lit(0.0))), 6).alias("score"))
+
+
+def finalise(fused: DataFrame, least: float = 0.1, k: int = 10) -> DataFrame:
+    """(id, score, kind): scores of at least .1, the type by the id's prefix, the best k."""
+    kind = F.when(F.col("id").startswith("entity:"), "Entity").when(F.col("id").startswith("chunk:"), "Chunk").otherwise("Hybrid")
+    return fused.where(F.col("score") >= least).withColumn("kind", kind).orderBy(F.desc("score"), "id").limit(k)
+
+
+def cross_strategy(results: DataFrame) -> DataFrame:
+    """(signature, kinds, score): contents that several result types found, by their first 50 characters."""
+    g = results.groupBy(F.substring("content", 1, 50).alias("signature")).agg(F.countDistinct("kind").alias("kinds"), F.avg("score").alias("s")).where("kinds > 1")
+    return g.select("signature", "kinds", F.round(F.least(F.lit(1.0), F.col("s") + 0.2 * (F.col("kinds") - 1)), 6).alias("score"))
+
+
+def adaptive_rank(results: DataFrame, key_names: list[str], k: int = 30) -> DataFrame:
+    """(id, kind, score, place): boosts by type and by each key name in the content, one row for a content's first 50
+    characters and length, then a quota for each type: k / 3, k / 2, k / 4, k / 4 and k / 5."""
+    boosts = {"Entity": 1.2, "GraphPath": 1.1, "Hybrid": 1.15}
+    quotas = {"Entity": k // 3, "Chunk": k // 2, "GraphPath": k // 4, "HierarchicalSummary": k // 4, "Hybrid": k // 5}
+    low = F.lower("content")
+    hits = sum((F.contains(low, F.lit(n)).cast("int") for n in dict.fromkeys(n.lower() for n in key_names)), F.lit(0))
+    score = F.col("score") * F.lit(1.0)
+    for kind, b in boosts.items():
+        score = F.when(F.col("kind") == kind, F.col("score") * b).otherwise(score)
+    r = results.select("id", "kind", "content", F.round(score * F.pow(F.lit(1.1), hits), 6).alias("score"))
+    first = Window.partitionBy(F.substring("content", 1, 50), F.length("content")).orderBy(F.desc("score"), "id")
+    r = r.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
+    quota = F.lit(0)
+    for kind, n in quotas.items():
+        quota = F.when(F.col("kind") == kind, n).otherwise(quota)
+    r = r.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "id")).cast("long"))
+    return r.where(F.col("place") <= quota).select("id", "kind", "score", "place")
+
+
+def context(results: DataFrame, summaries: DataFrame, most: int = 10) -> DataFrame:
+    """(part, id, score, place): primary (chunks and entities of .7), supporting (.3) and summaries, half of `most` each and three."""
+    part = F.when((F.col("score") >= 0.7) & F.col("kind").isin("Chunk", "Entity"), "primary").when(F.col("score") >= 0.3, "supporting")
+    rows = results.withColumn("part", part).where("part is not null").select("part", "id", "score").union(summaries.select(F.lit("summary"), "id", "score"))
+    w = Window.partitionBy("part").orderBy(F.desc("score"), "id")
+    limit = F.when(F.col("part") == "summary", 3).otherwise(most // 2)
+    return rows.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= limit)
+
+
+def context_confidence(parts: DataFrame) -> DataFrame:
+    """One row: .5 x the mean of the primary, .3 x of the supporting, .2 x of the summaries, at most 1."""
+    mean = lambda p: F.coalesce(F.avg(F.when(F.col("part") == p, F.col("score"))), F.lit(0.0))
+    return parts.agg(F.round(F.least(F.lit(1.0), 0.5 * mean("primary") + 0.3 * mean("supporting") + 0.2 * mean("summary")), 6).alias("confidence"), F.count("*").alias("sources"))
+
+
+def answer_confidence(base, answer, names: list[str]):
+    """Less for short (.7) and negative (.5) answers, more (.1 each, .2 at most) for names that the answer has."""
+    low = F.lower(answer)
+    hits = sum((F.contains(low, F.lit(n.lower())).cast("int") for n in names), F.lit(0))
+    c = base * F.when(F.octet_length(answer) < 20, 0.7).otherwise(1.0) * F.when(F.contains(answer, F.lit("No relevant")) | F.contains(answer, F.lit("insufficient")), 0.5).otherwise(1.0)
+    return F.round(F.least(F.lit(1.0), c + F.least(F.lit(0.2), 0.1 * hits)), 6)
+
+
+def multimodal(vector: DataFrame, rank: DataFrame, vector_weight: float = 0.3, rank_weight: float = 0.4) -> DataFrame:
+    """(id, score): .3 x vector score + .4 x PageRank; what either lacks counts 0."""
+    both = vector.select("id", F.col("score").alias("v")).join(rank.select("id", F.col("score").alias("p")), "id", "full")
+    return both.select("id", F.round(vector_weight * F.coalesce("v", F.lit(0.0)) + rank_weight * F.coalesce("p", F.lit(0.0)), 6).alias("score"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from quern.plans import queries_asking, queries_entities, queries_graph, queries_more, queries_paths, queries_retrieval, queries_text  # noqa: F401  (they register)
+from quern.plans import queries_answers, queries_asking, queries_entities, queries_graph, queries_more, queries_paths, queries_retrieval, queries_text  # noqa: F401  (they register)
 from quern.plans.registry import ORACLES, QUERIES
 
 
 def flagship(spark, sf_dir):
-    """BM25 retrieval fused with vector search is the flagship; here its lexical leg over all documents."""
-    return QUERIES["bm25_search"](spark, sf_dir)
+    """Lexical and vector search over all documents, fused by reciprocal rank."""
+    return QUERIES["hybrid_rrf"](spark, sf_dir)
 
 
 def queries() -> dict:

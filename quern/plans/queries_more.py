@@ -79,30 +79,6 @@ def concept_stats(t):
 
 
 
-@query(f"""with p as (select d.doc_id, {WORDS.format('lower(d.text)')} as c, {WORDS.format('lower(b.text)')} as r from documents d join benchmark b on b.item_id = d.doc_id % 40),
- m as (select doc_id, len(c) as nc, len(r) as nr, len(list_filter(c, lambda z: list_contains(r, z))) as hit from p)
- select doc_id, round(case when hit = 0 then 0 else 2 * (hit / cast(nc as double)) * (hit / cast(nr as double)) / (hit / cast(nc as double) + hit / cast(nr as double)) end, 6) as f1 from m""")
-def metric_f1(t):
-    p = t.documents.select("doc_id", tx.words(F.lower("text")).alias("c"), (F.col("doc_id") % 40).alias("item_id")).join(F.broadcast(t.benchmark.select("item_id", tx.words(F.lower("text")).alias("r"))), "item_id")
-    m = p.select("doc_id", F.size("c").alias("nc"), F.size("r").alias("nr"), F.size(F.filter("c", lambda z: F.array_contains("r", z))).alias("hit"))
-    a, b = F.col("hit") / F.col("nc"), F.col("hit") / F.col("nr")
-    return m.select("doc_id", F.round(F.when(F.col("hit") == 0, 0.0).otherwise(2 * a * b / (a + b)), 6).alias("f1"))
-
-
-@query()
-def metric_rouge_l(t):
-    p = t.benchmark.select("item_id", "text", ((F.col("item_id") + 1) % 40).alias("other")).join(t.benchmark.select(F.col("item_id").alias("other"), F.col("text").alias("reference")), "other")
-    scorer = F.pandas_udf(rouge_l, "double")
-    return p.select("item_id", F.round(scorer("text", "reference"), 6).alias("rouge_l"))
-
-
-@query("""with s as (select user_id, event_id, value, lag(value, 3) over (partition by user_id order by event_id) as before from events where value is not null) select user_id, count(*) as n, round(avg((value - before) / 4), 6) as mean_slope, sum(case when (value - before) / 4 < 0.01 then 1 else 0 end) as stalled from s where before is not null group by 1""".replace("sum(case when (value - before) / 4 < 0.01 then 1 else 0 end)", "cast(sum(case when (value - before) / 4 < 0.01 then 1 else 0 end) as bigint)"))
-def weight_optimizer_slope(t):
-    e = t.events.where("value is not null").withColumn("before", F.lag("value", 3).over(Window.partitionBy("user_id").orderBy("event_id"))).where("before is not null")
-    slope = (F.col("value") - F.col("before")) / 4
-    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg(slope), 6).alias("mean_slope"), F.sum((slope < 0.01).cast("long")).alias("stalled"))
-
-
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents) select doc_id, count(*) as lines, cast(sum(case when regexp_matches(line, '^#{1,6} ') then 1 else 0 end) as bigint) as headings, cast(sum(case when regexp_matches(line, '^[ ]*([-*+]|[0-9]+[.])[ ]') then 1 else 0 end) as bigint) as list_items, cast(sum(case when regexp_matches(line, '^(    |```)') then 1 else 0 end) as bigint) as code_lines, cast(sum(case when trim(line) = '' then 1 else 0 end) as bigint) as blank from l group by 1""")
 def detect_boundaries(t):
     line = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))

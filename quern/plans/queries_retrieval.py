@@ -29,15 +29,25 @@ def bm25_search(t):
     return rt.bm25_search(t.documents, TERMS)
 
 
+@query(f"with {bm25_sql(['thea', 'ention'])} select doc_id, score from bm25")
+def bm25_index_search(t):
+    """The same from a stored index, whose postings of other terms aren't read."""
+    return rt.Index.build(t.documents).search(["thea", "ention"])
+
+
 @query(f"with {TOKENS} select (select n from docs) as documents, round((select m from mean), 6) as mean_length, (select count(distinct term) from tok) as terms")
 def bm25_stats(t):
-    terms = rt.postings(t.documents, "doc_id", "text").agg(F.countDistinct("term").alias("terms"))
-    return rt.bm25_stats(t.documents, "doc_id", "text").join(terms).select("documents", F.round("mean_length", 6).alias("mean_length"), "terms")
+    return rt.Index.build(t.documents).stats()
 
 
-@query(f"with {TOKENS} select term, count(*) as n, count(distinct doc_id) as df from tok group by 1")
+@query(f"with {TOKENS} select tok.doc_id, term, count(*) as n, any_value(length) as length from tok join len on len.doc_id = tok.doc_id group by 1, 2")
 def bm25_index(t):
-    return rt.postings(t.documents, "doc_id", "text").groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+    return rt.Index.build(t.documents).postings.select("doc_id", "term", "n", F.col("length").cast("long").alias("length"))
+
+
+@query(f"with {TOKENS} select term, count(*) as n, count(distinct doc_id) as df from tok group by 1")
+def bm25_terms(t):
+    return rt.Index.build(t.documents).terms()
 
 
 COS = "list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])) / (sqrt(list_dot_product(cast(a.embedding as double[]), cast(a.embedding as double[]))) * sqrt(list_dot_product(cast(b.embedding as double[]), cast(b.embedding as double[]))))"
@@ -80,17 +90,22 @@ def centroid(t):
     return t.embeddings.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", (F.col("i") + 1).cast("long").alias("at")).agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("value"))
 
 
-def _lists(t):
-    a = rt.bm25_search(t.documents, ["thea", "ention", "ciónas"]).withColumnRenamed("doc_id", "id")
-    b = rt.bm25_search(t.documents, ["andth", "thea"]).withColumnRenamed("doc_id", "id")
+HYBRID = ["thea", "ention", "ciónas"]
+
+
+def _lists(t, k: int = 100):
+    """A lexical list of documents and a list by vectors; the vector of a document has its id."""
+    a = rt.bm25_search(t.documents, HYBRID, k=k).withColumnRenamed("doc_id", "id")
+    b = rt.vector_search(t.embeddings, query_vector(t), k=k).withColumnRenamed("vec_id", "id")
     return a, b
 
 
+LISTS = f"""{bm25_sql(HYBRID, 'order by 2 desc, 1 limit 100')}, l2 as (select a.vec_id as id, round({COS}, 6) as score from embeddings a, (select embedding from embeddings where vec_id = 7) b order by 2 desc, 1 limit 100),
+ a as (select doc_id as id, score, row_number() over (order by score desc, doc_id) - 1 as rank from bm25), b as (select id, score, row_number() over (order by score desc, id) - 1 as rank from l2)"""
+
+
 def lists_sql(body: str) -> str:
-    one = bm25_sql(["thea", "ention", "ciónas"]).replace("bm25 as", "l1 as").replace("want", "w1").replace("tf as (", "tf1 as (").replace("tf.", "tf1.").replace("from tf ", "from tf1 ").replace("df as (", "df1 as (").replace("df.df", "df1.df").replace("join df ", "join df1 ")
-    two = bm25_sql(["andth", "thea"])[len(TOKENS) + 2 :].replace("bm25 as", "l2 as").replace("want", "w2").replace("tf as (", "tf2 as (").replace("tf.", "tf2.").replace("from tf ", "from tf2 ").replace("df as (", "df2 as (").replace("df.df", "df2.df").replace("join df ", "join df2 ")
-    ranks = "a as (select doc_id as id, score, row_number() over (order by score desc, doc_id) - 1 as rank from l1), b as (select doc_id as id, score, row_number() over (order by score desc, doc_id) - 1 as rank from l2)"
-    return f"with {one}, {two}, {ranks} {body}"
+    return f"with {LISTS} {body}"
 
 
 @query(lists_sql("select id, round(sum(s), 6) as score from (select id, 0.7 / (60 + rank + 1) as s from a union all select id, 0.3 / (60 + rank + 1) from b) x group by id order by 2 desc, 1 limit 10"))
@@ -153,54 +168,9 @@ def logic_count(t):
     return fx.entities(t).groupBy("entity_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
-@query("""with f as (select d.doc_id, b.item_id, len(list_intersect(list_distinct(string_split_regex(lower(d.text), '[^\\p{L}\\p{N}]+')), list_distinct(string_split_regex(lower(b.text), '[^\\p{L}\\p{N}]+')))) as hits, len(list_distinct(string_split_regex(lower(b.text), '[^\\p{L}\\p{N}]+'))) as n
- from documents d join benchmark b on d.doc_id = b.item_id) select doc_id, round(hits / cast(n as double), 6) as recall, round(hits / cast(n as double), 6) >= 0.5 as found from f""")
-def metric_recall(t):
-    words = lambda c: F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+"))
-    j = t.documents.select("doc_id", F.col("text").alias("d")).join(t.benchmark.select(F.col("item_id").alias("doc_id"), F.col("text").alias("b")), "doc_id")
-    r = F.round(F.size(F.array_intersect(words("d"), words("b"))) / F.size(words("b")), 6)
-    return j.select("doc_id", r.alias("recall"), (r >= 0.5).alias("found"))
-
-
-@query("select event_type, count(*) as n, round(sum(value), 4) as total, round(min(value), 6) as least, round(max(value), 6) as most, round(list_sort(list(value))[cast(floor(count(*) * 0.5) as bigint) + 1], 6) as p50, round(list_sort(list(value))[cast(floor(count(*) * 0.95) as bigint) + 1], 6) as p95 from events where value is not null group by 1")
-def histogram_stats(t):
-    """Quantiles by index floor(n p): ranked by range within a type, not gathered."""
-    e = t.events.where("value is not null")
-    n = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most"))
-    w = Window.partitionBy("event_type").orderBy("value")
-    r = e.select("event_type", "value", (F.row_number().over(w) - 1).alias("i")).join(F.broadcast(n.select("event_type", "n")), "event_type")
-    at = lambda p: F.max(F.when(F.col("i") == F.floor(F.col("n") * p), F.round("value", 6)))
-    return n.join(r.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95")), "event_type")
-
-
-@query("""select source, count(*) as n, sum(case when text is null or length(trim(text)) = 0 then 1 else 0 end) as blank, sum(case when length(text) < 50 then 1 else 0 end) as short, count(distinct doc_id) = count(*) as unique_ids from documents group by 1""")
-def validate_documents(t):
-    blank = F.col("text").isNull() | (F.length(F.trim("text")) == 0)
-    return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.sum(blank.cast("long")).alias("blank"), F.sum((F.length("text") < 50).cast("long")).alias("short"), (F.countDistinct("doc_id") == F.count("*")).alias("unique_ids"))
-
-
 @query("""with l as (select doc_id, quality, toxic from labels) select d.lang, count(*) as n, round(avg(quality), 6) as quality, round(avg(toxic), 6) as toxic from documents d join l on l.doc_id = d.doc_id group by 1""")
 def benchmark_summary(t):
     return t.documents.select("doc_id", "lang").join(t.labels, "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg("toxic"), 6).alias("toxic"))
 
 
-@query(lists_sql("select count(*) as n, round(0.7 * avg(score) / (select max(score) from a) + 0.3, 6) as confidence, string_agg(cast(id as varchar), ',' order by score desc, id) as sources from (select * from a order by score desc, id limit 5) x"))
-def explained_answer(t):
-    a, _ = _lists(t)
-    top = a.agg(F.max("score").alias("m"))
-    best = a.orderBy(F.desc("score"), "id").limit(5).agg(F.count("*").alias("n"), F.avg("score").alias("v"), F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), "id"))).alias("s"))
-    return best.join(top).select("n", F.round(0.7 * F.col("v") / F.col("m") + 0.3, 6).alias("confidence"), F.array_join(F.transform("s", lambda x: x["id"].cast("string")), ",").alias("sources"))
-
-
-# dual merges keep their ids; the summary tree groups chunks five by five
-@query("""with recursive l0 as (select doc_id as idx, text from documents), t as (select 0 as level, doc_id // 5 as parent, count(*) as children, sum(length(text)) as chars from documents group by 2)
- select cast(1 as bigint) as level, cast(parent as bigint) as node, children, cast(chars as bigint) as chars from t union all select 2, cast(parent // 5 as bigint), count(*), cast(sum(chars) as bigint) from t group by 2
- union all select 3, cast(parent // 25 as bigint), count(distinct parent // 5), cast(sum(chars) as bigint) from t group by 2""")
-def tree_merge_level(t):
-    now = t.documents.select(F.col("doc_id").alias("node"), F.length("text").cast("long").alias("chars"))
-    out = None
-    for level in (1, 2, 3):
-        now = now.groupBy(F.floor(F.col("node") / 5).alias("node")).agg(F.count("*").alias("children"), F.sum("chars").alias("chars"))
-        one = now.select(F.lit(level).cast("long").alias("level"), "node", "children", "chars")
-        out = one if out is None else out.union(one)
-    return out
+# dual merges keep their ids; the summary tree groups chunks five by five
\ No newline at end of file

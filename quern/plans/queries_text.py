@@ -12,7 +12,8 @@ from quern.plans.registry import query
 WS = "[ \\t\\n\\r\\f]+"
 WORDS = f"list_filter(string_split_regex({{}}, '{WS}'), x -> x <> '')"
 KSTOP = "(" + ", ".join(f"'{w}'" for w in tx.KEYWORD_STOP_WORDS) + ")"
-KEYWORDS = f"""kw as (select doc_id, term from (select doc_id, regexp_replace(unnest({WORDS.format('lower(text)')}), '[^\\p{{L}}\\p{{N}}_-]', '', 'g') as term from documents) x where length(term) >= 4 and term not in {KSTOP} and not regexp_full_match(term, '[0-9]+'))"""
+KEYWORDS = f"""kw as (select doc_id, term from (select doc_id, regexp_replace(unnest({WORDS.format('lower(text)')}), '[^\\p{{L}}\\p{{N}}_-]', '', 'g') as term from documents) x where strlen(term) > 2 and term not in {KSTOP} and not regexp_full_match(term, '\\p{{N}}+'))"""
+FREQUENT = f"""fw as (select doc_id, term from (select doc_id, unnest({WORDS.format('lower(text)')}) as term from documents) x where strlen(term) > 3 and term not in ({", ".join(f"'{w}'" for w in tx.FREQUENT)}))"""
 SENTENCES = f"""parts as (select doc_id, string_split(regexp_replace(text, '([.!?]+){WS}', '\\1' || chr(1), 'g'), chr(1)) as p from documents),
  each as (select doc_id, trim(unnest(p)) as s, unnest(range(1, len(p) + 1)) as i from parts), sent as (select doc_id, s, row_number() over (partition by doc_id order by i) as at from each where length(s) > 5)"""
 
@@ -31,9 +32,9 @@ def split_sentences(t):
     return _sentences(t).select("doc_id", "at", F.md5("s").alias("sentence_md5"))
 
 
-@query(f"with {KEYWORDS}, c as (select doc_id, term, count(*) as n from kw group by 1, 2) select doc_id, term, n from (select *, row_number() over (partition by doc_id order by n desc, term) as rn from c) x where rn <= 5")
+@query(f"with {FREQUENT}, c as (select doc_id, term, count(*) as n from fw group by 1, 2) select doc_id, term, n from (select *, row_number() over (partition by doc_id order by n desc, term) as rn from c) x where rn <= 5")
 def keywords_freq(t):
-    c = t.documents.select("doc_id", F.explode(tx.keyword_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    c = t.documents.select("doc_id", F.explode(tx.frequent_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "term")
     return c.withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
 
@@ -77,16 +78,6 @@ def lexical_cohesion(t):
     return _cohesion(t)
 
 
-@query(f"with {SENTENCE_WORDS} select doc_id, round(avg(cohesion), 5) as coherence, count(*) as pairs from j group by 1")
-def coherence_adjacent(t):
-    return _cohesion(t).groupBy("doc_id").agg(F.round(F.avg("cohesion"), 5).alias("coherence"), F.count("*").alias("pairs"))
-
-
-@query(f"with {SENTENCE_WORDS} select doc_id, 1 + sum(case when cohesion < 0.05 then 1 else 0 end) as topics from j group by 1".replace("1 + sum(", "cast(1 + sum(").replace("end) as topics", "end) as bigint) as topics"))
-def chunk_topic(t):
-    return _cohesion(t).groupBy("doc_id").agg((1 + F.sum((F.col("cohesion") < 0.05).cast("long"))).alias("topics"))
-
-
 @query("""with s as (select doc_id, text, unnest(range(0, greatest(0, length(text)), 450)) as o from documents) select doc_id, o // 450 as at, o as start_offset, md5(substring(text, o + 1, 500)) as content_md5 from s""")
 def chunk_fixed(t):
     return chunks.fixed(t.documents).select("doc_id", "at", "start_offset", F.md5("content").alias("content_md5"))
@@ -113,12 +104,6 @@ def chunk_sentences(t):
     return chunks.chunk(t.documents, chunks.pack_sentences)
 
 
-@query("""with p as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents) select doc_id, cast(i as bigint) as at, md5(trim(line)) as line_md5 from p where trim(line) <> ''""")
-def chunk_paragraphs(t):
-    p = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return p.where("trim(line) <> ''").select("doc_id", F.col("at").cast("long").alias("at"), F.md5(F.trim("line")).alias("line_md5"))
-
-
 @query("select doc_id, case when regexp_matches(text, '[ñóéíáú]') then 'es' when regexp_matches(text, '[ãõç]') then 'pt' when regexp_matches(text, '[àèùâêîôû]') then 'fr' else 'en' end as language from documents")
 def detect_language(t):
     return t.documents.select("doc_id", tx.language(F.col("text")).alias("language"))
@@ -154,11 +139,6 @@ def build_sections(t):
     return _levels(t).select("page_id", "at", F.lead("at").over(Window.partitionBy("page_id").orderBy("at")).alias("next_at"), "level")
 
 
-@query(f"select doc_id, sha256(trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(text), '{WS}', ' ', 'g')), '[^\\p{{L}}\\p{{N}} ]', '', 'g'), '{WS}', ' ', 'g'))) as cache_key from documents")
-def cache_key_normalise(t):
-    return t.documents.select("doc_id", tx.cache_key(F.col("text"), "semantic").alias("cache_key"))
-
-
 SCORES = SENTENCES + f""", sc as (select doc_id, at, s, len({WORDS.format('s')}) as n, count(*) over (partition by doc_id) as total from sent),
  score as (select doc_id, at, round(0.3 * (case when at = 1 then 2.0 when at = total then 1.5 else 1 - 0.5 * (at - 1) / cast(total as double) end) + 0.2 * (case when n < 5 then 0.3 when n > 40 then 0.5 when n between 10 and 25 then 1.0 else 0.7 end), 6) as score, s from sc)"""
 
