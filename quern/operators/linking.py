@@ -55,7 +55,8 @@ def similar_names(names: DataFrame, keys: list[str], least: float) -> DataFrame:
     share a word or lie within two edits."""
     words = names.select(*keys, "name", F.explode(F.array_distinct(tx.words(F.col("name")))).alias("word"))
     shared = words.join(words.select(*keys, F.col("name").alias("other"), "word"), [*keys, "word"]).where("name < other").select(*keys, F.col("name").alias("a"), F.col("other").alias("b"))
-    pairs = shared.union(near_names(names, keys, 0.0).select(*keys, "a", "b")).distinct()
+    near = near_names(names, keys, 0.0).where(F.levenshtein("a", "b") <= 2).select(*keys, "a", "b")
+    pairs = shared.union(near).distinct()
     jw = F.pandas_udf(jaro_winkler_pairs, "double")
     best = F.greatest(edit_similarity(F.col("a"), F.col("b")), jw("a", "b"), tx.jaccard(tx.words(F.col("a")), tx.words(F.col("b")), 1.0))
     return pairs.withColumn("score", best).where(F.col("score") >= least)

@@ -127,7 +127,7 @@ def centroids(vectors: DataFrame, vector: str, key: str, cells: int, sample: int
     import numpy as np
 
     rows = vectors.select(vector).where(F.col(vector).isNotNull()).orderBy(F.xxhash64(key)).limit(sample).collect()
-    x = np.array([r[0] for r in rows], np.float32).reshape(len(rows), -1)
+    x = np.array([r[0] for r in rows], np.float32).reshape(len(rows), len(rows[0][0]) if rows else 1)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     c = x[:: max(1, len(x) // max(1, cells))][:cells].copy()
     for _ in range(rounds if len(c) else 0):

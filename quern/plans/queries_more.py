@@ -79,13 +79,6 @@ def concept_stats(t):
 
 
 
-@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents) select doc_id, count(*) as lines, cast(sum(case when regexp_matches(line, '^#{1,6} ') then 1 else 0 end) as bigint) as headings, cast(sum(case when regexp_matches(line, '^[ ]*([-*+]|[0-9]+[.])[ ]') then 1 else 0 end) as bigint) as list_items, cast(sum(case when regexp_matches(line, '^(    |```)') then 1 else 0 end) as bigint) as code_lines, cast(sum(case when trim(line) = '' then 1 else 0 end) as bigint) as blank from l group by 1""")
-def detect_boundaries(t):
-    line = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    count = lambda c: F.sum(c.cast("long"))
-    return line.groupBy("doc_id").agg(F.count("*").alias("lines"), count(F.col("line").rlike("^#{1,6} ")).alias("headings"), count(F.col("line").rlike("^[ ]*([-*+]|[0-9]+[.])[ ]")).alias("list_items"), count(F.col("line").rlike("^(    |```)")).alias("code_lines"), count(F.trim("line") == "").alias("blank"))
-
-
 # Suffix rules of the tagger, in order.
 TAGS = [("NUM", "^[0-9]+$"), ("ADV", "ly$"), ("VERB", "(ing|ed)$"), ("NOUN", "(tion|ment|ness|heit|ción)$"), ("ADJ", "(ble|ous|ful)$")]
 
@@ -114,9 +107,3 @@ def ner_resolve_overlaps(t):
 
     return t.documents.select("doc_id", "text").mapInPandas(run, "doc_id long, start long, end long, kind string, confidence double")
 
-
-@query("select source, count(*) as n, round(avg((case when lang is not null then 1 else 0 end + case when n_chars > 150 then 1 else 0 end + case when contains(text, chr(10)) then 1 else 0 end) / cast(3 as double)), 6) as completeness from documents group by 1")
-def enrichment_stats(t):
-    c = (F.col("lang").isNotNull().cast("int") + (F.col("n_chars") > 150).cast("int") + F.contains("text", F.lit("\n")).cast("int")) / 3.0
-    return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg(c), 6).alias("completeness"))
-

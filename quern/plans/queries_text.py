@@ -124,21 +124,6 @@ def _levels(t):
     return t.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<h([1-6])"), F.lit(1))).alias("at", "l")).select("page_id", F.col("at").cast("long").alias("at"), F.col("l").cast("int").alias("level"))
 
 
-@query(f"with {HEADINGS} select a.page_id, a.at, max(b.at) as parent_at from h a left join h b on b.page_id = a.page_id and b.at < a.at and b.level < a.level group by 1, 2")
-def build_hierarchy(t):
-    """The nearest earlier heading of each smaller level, then the latest of them: six running maxima, no join."""
-    h = _levels(t)
-    before = Window.partitionBy("page_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    for k in range(1, 6):
-        h = h.withColumn(f"l{k}", F.max(F.when(F.col("level") == k, F.col("at"))).over(before))
-    return h.select("page_id", "at", F.greatest(*[F.when(F.col("level") > k, F.col(f"l{k}")) for k in range(1, 6)]).alias("parent_at"))
-
-
-@query(f"with {HEADINGS} select page_id, at, lead(at) over (partition by page_id order by at) as next_at, level from h")
-def build_sections(t):
-    return _levels(t).select("page_id", "at", F.lead("at").over(Window.partitionBy("page_id").orderBy("at")).alias("next_at"), "level")
-
-
 SCORES = SENTENCES + f""", sc as (select doc_id, at, s, len({WORDS.format('s')}) as n, count(*) over (partition by doc_id) as total from sent),
  score as (select doc_id, at, round(0.3 * (case when at = 1 then 2.0 when at = total then 1.5 else 1 - 0.5 * (at - 1) / cast(total as double) end) + 0.2 * (case when n < 5 then 0.3 when n > 40 then 0.5 when n between 10 and 25 then 1.0 else 0.7 end), 6) as score, s from sc)"""
 

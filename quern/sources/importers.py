@@ -128,3 +128,14 @@ def corpus_folder(spark: SparkSession, path: str) -> DataFrame:
     """(path, kind, bytes, content_hash, content) of a folder of text files."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return f.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("kind"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("content"))
+
+
+def write_files(df: DataFrame, folder: str) -> None:
+    """Writes rows (name, text) as files of a folder, one after another from the driver: for a few thousand files."""
+    spark = df.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for row in df.select("name", F.encode("text", "UTF-8").alias("data")).toLocalIterator():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{row['name']}")
+        out = path.getFileSystem(conf).create(path, True)
+        out.write(bytearray(row["data"]))
+        out.close()

@@ -41,7 +41,16 @@ class EntityStore:
     """
 
     def __init__(self, spark: SparkSession, path: str, how: str = "merge"):
-        self.spark, self.path, self.how, self.version = spark, path, how, -1
+        self.spark, self.path, self.how = spark, path, how
+        self.version = max(self.versions(), default=-1)  # a stream that starts again goes on from it
+
+    def versions(self) -> list[int]:
+        """The whole versions in the folder."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        root = hadoop.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n[1:]) for n in names if n[1:].isdigit() and fs.exists(hadoop.Path(f"{self.path}/{n}/_SUCCESS")))
 
     def read(self) -> DataFrame:
         if self.version < 0:
@@ -52,11 +61,19 @@ class EntityStore:
         """Merges rows (id, name, entity_type, confidence, deleted); of several for an id the most confident counts."""
         new = batch.groupBy("id").agg(F.max(F.struct("confidence", "name", "entity_type", "deleted")).alias("r")).select("id", "r.name", "r.entity_type", "r.confidence", "r.deleted")
         gone = new.where("deleted").select("id")
+        if batch_id <= self.version:  # run again: from the version before it
+            self.version = max((v for v in self.versions() if v < batch_id), default=-1)
         merged = temporal.resolve_conflicts(self.read(), new.where("not deleted").drop("deleted"), self.how).join(gone, "id", "left_anti")
         merged.write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
         self.version = batch_id
 
     def rollback(self, version: int) -> None:
+        """Goes back to a version; later ones are removed."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        for v in self.versions():
+            if v > version:
+                path = hadoop.Path(f"{self.path}/v{v}")
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         self.version = version
 
     def start(self, updates: DataFrame, checkpoint: str, trigger: Callable | None = None):

@@ -59,7 +59,7 @@ def diamond(spark):
 
 
 def test_diamond(spark, diamond):
-    got = {r.node: (r.distance, ">".join(r.path)) for r in graph.shortest_paths(diamond, "A").collect()}
+    got = {r.node: (r.distance, ">".join(r.path)) for r in graph.shortest_paths(diamond, spark.createDataFrame([("A",)], "id string")).collect()}
     assert got["D"] == (2.0, "A>B>D") and got["A"] == (0.0, "A")
     assert components.connected_components(diamond, "source", "target").select("component").distinct().count() == 1
     paths = graph.simple_paths(diamond, spark.createDataFrame([("A",)], "id string"), 3)
@@ -76,9 +76,9 @@ def test_triangles_and_clustering(spark):
 def test_pagerank_keeps_its_mass(spark):
     g = edges(spark, [("A", "B", 1.0), ("B", "C", 2.0), ("A", "C", 1.0)])
     nodes = spark.createDataFrame([("A",), ("B",), ("C",), ("D",)], "id string")
-    ranks = {r.node: r["rank"] for r in graph.pagerank(nodes, g, rounds=50).collect()}
+    ranks = {r.node: r["rank"] for r in graph.pagerank(nodes, g, tolerance=1e-9).collect()}
     assert abs(sum(ranks.values()) - 1) < 1e-6 and ranks["C"] > ranks["B"] > ranks["A"]
-    seeded = {r.node: r["rank"] for r in graph.pagerank(nodes, g, spark.createDataFrame([("A", 2.0)], "id string, p double"), rounds=50).collect()}
+    seeded = {r.node: r["rank"] for r in graph.pagerank(nodes, g, spark.createDataFrame([("A", 2.0)], "id string, p double"), tolerance=1e-9).collect()}
     assert seeded["D"] == 0.0 and abs(sum(seeded.values()) - 1) < 1e-6
 
 
@@ -148,7 +148,7 @@ def test_text_functions(spark):
     assert value(spark, tx.edit_similarity(F.lit("kitten"), F.lit("sitting"), 2)) == 0.0
     assert value(spark, tx.name_similarity(F.lit("Plato"), F.lit("plato of athens"))) == 0.9
     assert value(spark, tx.sentences(F.lit("One is here. Two! Three is here?"))) == ["One is here.", "Three is here?"]
-    assert value(spark, tx.index_tokens(F.lit("The né Ab xyz, xyz!"))) == ["né", "xyz", "xyz"]
+    assert value(spark, tx.index_tokens(F.lit("The né Ab x-yz, xyz!"))) == ["né", "xyz", "xyz"]
 
 
 def test_vectors(spark):
@@ -203,6 +203,13 @@ def test_stream_of_windows_and_upserts(spark, tmp_path):
     assert {r.id: r.name for r in store.read().collect()} == {"a": "A", "b": "B2"}
     store.apply(spark.createDataFrame([("a", "", "T", 0.9, True)], schema), 5)
     assert [r.id for r in store.read().collect()] == ["b"]
+    again = graph_stream.EntityStore(spark, str(tmp_path / "store"))  # a restart
+    assert again.version == 5 and [r.id for r in again.read().collect()] == ["b"]
+    again.apply(spark.createDataFrame([("c", "C", "T", 0.9, False)], schema), 6)
+    again.apply(spark.createDataFrame([("c", "C", "T", 0.9, False)], schema), 6)  # the batch is run again
+    assert sorted(r.id for r in again.read().collect()) == ["b", "c"]
+    again.rollback(0)
+    assert sorted(r.id for r in graph_stream.EntityStore(spark, str(tmp_path / "store")).read().collect()) == ["a", "b"]
 
 
 def test_jaro_winkler_and_subsequence():
