@@ -56,10 +56,14 @@ def extract_locations(t):
     return en.dictionary(t.pages.select("page_id", F.col("html").alias("text")), en.LOCATIONS, 0.5, any_case=False)
 
 
-ORGANISATIONS = f"""e as (select doc_id, text, unnest({_list(en.ORGANISATION_ENDS)}) as mark from documents), o1 as (select doc_id, trim(list_extract(string_split(substring(text, 1, strpos(text, mark) - 1), ' '), -1) || mark) as name from e where contains(text, mark)),
- b as (select doc_id, mark, substring(text, strpos(text, mark)) as rest from (select doc_id, text, unnest({_list(en.ORGANISATION_BEGINS)}) as mark from documents) z where contains(text, mark)),
- o2 as (select doc_id, mark, trim(case when contains(rest, '.') then string_split(rest, '.')[1] else substring(rest, 1, 50) end) as name from b),
- org as (select doc_id, name from o1 where {_any('name', en.ORGANISATION_MARKS)} union select doc_id, name from o2 where length(name) > length(mark))"""
+def organisations_sql(table: str, text: str, keys: str) -> str:
+    return f"""e as (select {keys}, {text} as text, unnest({_list(en.ORGANISATION_ENDS)}) as mark from {table}), o1 as (select {keys}, trim(list_extract(string_split(substring(text, 1, strpos(text, mark) - 1), ' '), -1) || mark) as name from e where contains(text, mark)),
+ b as (select {keys}, mark, substring(text, strpos(text, mark)) as rest from (select {keys}, {text} as text, unnest({_list(en.ORGANISATION_BEGINS)}) as mark from {table}) z where contains(text, mark)),
+ o2 as (select {keys}, mark, trim(case when contains(rest, '.') then string_split(rest, '.')[1] else substring(rest, 1, 50) end) as name from b),
+ org as (select {keys}, name from o1 where {_any('name', en.ORGANISATION_MARKS)} union select {keys}, name from o2 where length(name) > length(mark))"""
+
+
+ORGANISATIONS = organisations_sql("documents", "text", "doc_id")
 
 
 @query(f"with {ORGANISATIONS} select doc_id, name from org")
@@ -89,7 +93,8 @@ def entity_mentions(t):
     return m.select("doc_id", "at", en.entity_id(F.lit("CONCEPT"), F.col("name")).alias("id"), "name", "start", "end")
 
 
-EXTRACTED = f"""{WORDS}, every as (select doc_id, at, name, 'CONCEPT' as kind, case when {_any('name', en.CONCEPTS)} then cast(0.75 as double) when {CAPITAL} and strlen(w) > 4 and lower(name) not in {_in(en.COMMON)} then cast(0.6 as double) end as c from cw
+EXTRACTED = f"""{WORDS}, {organisations_sql('chunk', 'content', 'doc_id, at')}, every as (select doc_id, at, name, 'CONCEPT' as kind, case when {_any('name', en.CONCEPTS)} then cast(0.75 as double) when {CAPITAL} and strlen(w) > 4 and lower(name) not in {_in(en.COMMON)} then cast(0.6 as double) end as c from cw
+ union all select doc_id, at, name, kind, {CONFIDENCE} from (select *, 'ORGANIZATION' as kind from org) x
  union all select * from (select doc_id, at, unnest({_list(en.EVENTS)}) as name, 'EVENT', cast(0.7 as double) from chunk) x where exists (select 1 from chunk k where k.doc_id = x.doc_id and k.at = x.at and contains(lower(k.content), x.name))
  union all select * from (select doc_id, at, unnest({_list(en.OBJECTS)}) as name, 'OBJECT', cast(0.65 as double) from chunk) x where exists (select 1 from chunk k where k.doc_id = x.doc_id and k.at = x.at and contains(lower(k.content), x.name))
  union all select * from (select doc_id, at, unnest({_list(en.LOCATIONS)}) as name, 'LOCATION', cast(0.9 as double) from chunk) x where exists (select 1 from chunk k where k.doc_id = x.doc_id and k.at = x.at and contains(k.content, x.name))),
@@ -98,7 +103,7 @@ EXTRACTED = f"""{WORDS}, every as (select doc_id, at, name, 'CONCEPT' as kind, c
 
 @query(f"with {EXTRACTED} select name, kind as entity_type, count(*) as rows, max(confidence) as confidence from x group by 1, 2")
 def dedupe_entities(t):
-    """All extracted entities of all chunks by name and type. The chunks hold no organisation; see extract_organizations."""
+    """All extracted entities of all chunks by name and type."""
     return en.dedupe(en.extract(_chunks(t)))
 
 
