@@ -261,10 +261,13 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, hot: DataFr
                 if some.num_rows:
                     yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.view(np.int64) for s in shingler.sets(some.column(1))], pa.list_(pa.int64()))], names=["node", "set"])
 
-    sets = stage(wanted.mapInArrow(run, "node long, set array<long>"), "sets").distinct()
+    sets = stage(wanted.mapInArrow(run, "node long, set array<long>").distinct(), "sets")
     with_b = replicate_join(pairs, sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b", "a", hot)
     joined = replicate_join(with_b, sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a", "b", hot)
-    return joined.withColumn("i", F.size(F.array_intersect("x", "y"))).where(f"100 * i >= {PERCENT} * (size(x) + size(y) - i)").select("a", "b").distinct()
+    linked = joined.withColumn("i", F.size(F.array_intersect("x", "y"))).where(f"100 * i >= {PERCENT} * (size(x) + size(y) - i)")
+    out = stage(linked.select("a", "b").distinct(), "links")
+    discard(sets)
+    return out
 
 
 class Prepared:
@@ -288,7 +291,8 @@ class Prepared:
         hot = hot_keys(pairs, ["a", "b"])
         near = replicate_join(replicate_join(pairs, maps("a"), "a", "b", hot), maps("b"), "b", "a", hot)
         near = stage(near.where(near_parity("ap", "bp", "an", "bn")).select("a", "b").distinct(), "near-pairs")
-        out = stage(verified(self.docs, near, self.key, self.text, hot), "links")
+        out = verified(self.docs, near, self.key, self.text, hot)
+        discard(near)
         sweep(self.spark)
         return out
 
