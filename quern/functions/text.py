@@ -144,3 +144,17 @@ def language_en(text: Column) -> Column:
     hits = sum((F.regexp_count(text, F.lit(w)) for w in ("the", "and", "or", "but", "in", "on", "at", "to")), F.lit(0))
     n = word_count(text)
     return F.when(F.octet_length(text) < 10, None).when((n > 0) & (hits / F.greatest(n, F.lit(1)) > 0.05), "en").otherwise("unknown")
+
+
+# Letters with a phonetic code, and their codes.
+CODED, CODES = "BFPVCGJKQSXZDTLMNR", "111122222222334556"
+
+
+def phonetic_code(name: Column) -> Column:
+    """The first letter and the codes that follow, equal neighbours once, whatever uncoded letters stand between; four characters."""
+    u = F.regexp_replace(F.upper(name), "[0-9]", "")
+    digits = lambda c: F.regexp_replace(F.translate(c, CODED, CODES), "[^1-6]", "")
+    codes = F.regexp_replace(digits(u), r"([1-6])\1+", "$1")
+    rest = F.when(digits(F.substring(u, 1, 1)) != "", F.substring(codes, 2, 100)).otherwise(codes)
+    first = F.when(F.substring(u, 1, 1).rlike(r"\p{L}"), F.substring(u, 1, 1)).otherwise("")
+    return F.when(F.length(name) == 0, "").otherwise(F.rpad(F.substring(F.concat(first, rest), 1, 4), 4, "0"))

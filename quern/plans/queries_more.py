@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
-from quern.functions.similarity import jaro_winkler_pairs, resolve_overlaps, rouge_l
+from quern.functions.similarity import jaro_winkler_pairs, resolve_overlaps
 from quern.plans.queries_text import KEYWORDS, MENTIONS, WORDS, _mentions
 from quern.plans.registry import query
-from quern.sources import fixtures as fx
 
 BLOCKS = "pairs as (select a.p_partkey as a, b.p_partkey as b, a.p_name as x, b.p_name as y from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_partkey < b.p_partkey)"
 
@@ -25,9 +23,9 @@ _W = lambda c: WORDS.format(f"lower({c})")
 _J = f"(case when len(list_distinct(list_concat({_W('x')}, {_W('y')}))) = 0 then 0 else len(list_intersect(list_distinct({_W('x')}), list_distinct({_W('y')}))) / cast(len(list_distinct(list_concat({_W('x')}, {_W('y')}))) as double) end)"
 
 
-@query(f"with {BLOCKS} select a, b, round({_J}, 6) as jaccard from pairs")
+@query(f"with {BLOCKS} select a, b, round(case when x = '' and y = '' then 1 else {_J} end, 6) as jaccard from pairs")
 def jaccard_tokens(t):
-    return _pairs(t).select("a", "b", F.round(tx.jaccard(tx.words(F.lower("x")), tx.words(F.lower("y"))), 6).alias("jaccard"))
+    return _pairs(t).select("a", "b", F.round(tx.jaccard(tx.words(F.lower("x")), tx.words(F.lower("y")), 1.0), 6).alias("jaccard"))
 
 
 @query(f"with {BLOCKS} select a, b, round(case when levenshtein(x, y) > 2 then 0 else 1 - levenshtein(x, y) / cast(greatest(length(x), length(y)) as double) end, 6) as similarity from pairs")
@@ -57,9 +55,20 @@ def jaro_winkler(t):
     return _pairs(t).select("a", "b", F.round(scorer("x", "y"), 6).alias("similarity"))
 
 
-@query()
+def _code_sql(c: str) -> str:
+    digits = lambda x: f"regexp_replace(translate({x}, '{tx.CODED}', '{tx.CODES}'), '[^1-6]', '', 'g')"
+    u = f"regexp_replace(upper({c}), '[0-9]', '', 'g')"
+    once = digits(u)
+    for d in "123456":
+        once = f"regexp_replace({once}, '{d}+', '{d}', 'g')"
+    rest = f"case when {digits(f'substr({u}, 1, 1)')} <> '' then substr({once}, 2) else {once} end"
+    return f"rpad(substr(case when regexp_matches({u}, '^\\p{{L}}') then substr({u}, 1, 1) else '' end || {rest}, 1, 4), 4, '0')"
+
+
+@query(f"with {BLOCKS} select a, b, {_code_sql('x')} as code, case when {_code_sql('x')} = {_code_sql('y')} then cast(0.9 as double) else 0 end as similarity from pairs")
 def soundex_phonetic(t):
-    return t.customer.select("c_custkey", F.soundex("c_name").alias("code"))
+    x, y = tx.phonetic_code(F.col("x")), tx.phonetic_code(F.col("y"))
+    return _pairs(t).select("a", "b", x.alias("code"), F.when(x == y, 0.9).otherwise(0.0).alias("similarity"))
 
 
 @query(f"with {MENTIONS}, top as (select name from mention group by 1 order by count(*) desc, name limit 1) select m.name, count(*) as shared from mention m where m.doc_id in (select doc_id from mention where name in (select name from top)) and m.name not in (select name from top) group by 1 order by 2 desc, 1 limit 50")

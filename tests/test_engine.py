@@ -145,6 +145,7 @@ def test_text_functions(spark):
     assert value(spark, tx.heading_level(F.lit("## Part"))) == 2 and value(spark, tx.heading_level(F.lit("1.2.3 Deep"))) == 3
     assert value(spark, tx.heading_level(F.lit("ALL CAPITALS"))) == 1 and value(spark, tx.heading_level(F.lit("plain"))) is None
     assert value(spark, tx.roman(F.lit("MCMXCIV"))) == 1994 and value(spark, tx.roman(F.lit("hello"))) is None
+    assert [value(spark, tx.phonetic_code(F.lit(n))) for n in ("mentoi", "Pfister", "", "Aab", "Robert")] == ["M300", "P236", "", "A100", "R163"]
     assert value(spark, tx.edit_similarity(F.lit("kitten"), F.lit("sitting"), 2)) == 0.0
     assert value(spark, tx.name_similarity(F.lit("Plato"), F.lit("plato of athens"))) == 0.9
     assert value(spark, tx.sentences(F.lit("One is here. Two! Three is here?"))) == ["One is here.", "Three is here?"]
