@@ -37,14 +37,14 @@ def digest(canon: bytes) -> str:
     return xxhash.xxh3_128_hexdigest(canon)
 
 
-#: Least and most bits of the table of digests that occur twice: 8 for each of them, 128 MB at most.
+#: Least and most bits of the table of digests that occur twice: 64 for each of them, 128 MB at most.
 TWICE_BITS = (20, 30)
 
 
 def twice(digests: DataFrame) -> tuple[int, list[tuple[int, bytes]]]:
     """A bit table of the digests (column fingerprint) that occur more than once: one without its bit occurs once."""
     groups = stage(digests.groupBy("fingerprint").count().where("count > 1").select(F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("long").alias("head")), "repeated")
-    bits = min(TWICE_BITS[1], max(TWICE_BITS[0], (8 * groups.count()).bit_length()))
+    bits = min(TWICE_BITS[1], max(TWICE_BITS[0], (64 * groups.count()).bit_length()))
     place = F.shiftright("head", 32 - bits)
     table = groups.select(F.floor(place / 32768).alias("block"), (place % 32768).alias("bit")).distinct()
     return bits, [(r[0], bytes(r[1])) for r in table.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()]

@@ -32,7 +32,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.llm.arrow import slices, small_batches
 from quern.operators.components import connected_components
@@ -44,7 +43,7 @@ WORDS, PERCENT, SKETCH, MATCHES = 5, 80, 23, 8
 VERIFY, TOGETHER = 20.0, 8192
 #: Bits of a set's parity map: two sets differ in as many shingles at least as their maps do in bits.
 PARITY = 512
-#: Least and most bits of the table of documents that must be verified: 8 for each of them, 128 MB at most.
+#: Least and most bits of the table of documents that must be verified: 64 for each of them, 128 MB at most.
 NEEDED_BITS = (20, 30)
 
 _RNG = np.random.default_rng(20240229)
@@ -246,7 +245,7 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, hot: DataFr
     spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     least, most = NEEDED_BITS
-    bits = min(most, max(least, (8 * ids.agg(F.approx_count_distinct("node")).collect()[0][0]).bit_length()))
+    bits = min(most, max(least, (64 * ids.agg(F.approx_count_distinct("node")).collect()[0][0]).bit_length()))
     place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
     table = ids.select(F.floor(place("node") / 32768).alias("block"), (place("node") % 32768).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
     blocks = spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in table.collect()})

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.arrow import add_columns
+from quern.runtime import discard, stage
 
 #: Hash buckets of features; bounds on the labelled rows that are fitted and on the bytes of their texts; passes over them.
 BITS, SAMPLE, SAMPLE_BYTES, PASSES = 20, 12_000, 128 << 20, 800
@@ -110,27 +111,23 @@ class Ordinal:
         return 1.0 if self.seen is None else float((self.seen[places >> 3] >> (places & 7) & 1).mean())
 
 
-def bits_of(places: list[np.ndarray]) -> np.ndarray:
-    table = np.zeros(1 << WORD_BITS, bool)
-    for p in places:
-        table[p] = True
-    return np.packbits(table, bitorder="little")
-
-
 def telling(features: list[np.ndarray], grades: np.ndarray, least: float = TELLING) -> np.ndarray:
     """Which buckets speak for a low grade: the likelihood ratio of "below k" given the feature, for the best k.
 
     Features that speak for a high grade are words common enough to stand in any long text; summed over a
-    long text they would outweigh any fault in it.
+    long text they would outweigh any fault in it. Counted in blocks of rows, so that memory is small.
     """
-    index = np.concatenate([*features, np.zeros(0, np.int32)])
-    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    have = np.bincount(index, minlength=1 << BITS).astype(float)
+    ks = range(1, int(grades.max(initial=0)) + 1)
+    have, parts = np.zeros(1 << BITS, np.int32), {k: np.zeros(1 << BITS, np.int32) for k in ks}
+    for i in range(0, len(features), 512):
+        some, own = features[i : i + 512], grades[i : i + 512]
+        have += np.bincount(np.concatenate(some), minlength=1 << BITS).astype(np.int32)
+        for k in ks:
+            if low := [f for f, g in zip(some, own) if g < k]:
+                parts[k] += np.bincount(np.concatenate(low), minlength=1 << BITS).astype(np.int32)
     best = np.zeros(1 << BITS)
-    for k in range(1, int(grades.max(initial=0)) + 1):
-        low = grades < k
-        part = np.bincount(index[low[rows]], minlength=1 << BITS)
-        share, own = low.mean().clip(1e-6, 1 - 1e-6), np.divide(part, have, out=np.zeros_like(have), where=have > 0)
+    for k, part in parts.items():
+        share, own = (grades < k).mean().clip(1e-6, 1 - 1e-6), np.divide(part, have, out=np.zeros(1 << BITS), where=have > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(part > 0, part * np.log(own / share), 0) + np.where(part < have, (have - part) * np.log((1 - own) / (1 - share)), 0)
         best = np.maximum(best, np.where(own > share, 2 * ratio, 0))
@@ -194,9 +191,9 @@ def fit(features: list[np.ndarray], grades: np.ndarray, levels: int | None = Non
     return Ordinal(every, cuts_of(theta))
 
 
-def sampled(docs: DataFrame, grades: DataFrame, key: str, text: str, rows: int = SAMPLE, size: int = SAMPLE_BYTES) -> tuple[list, list, np.ndarray]:
-    """Features, words' places and grades of at most `rows` rated documents, those of the least hashes, as far as
-    their texts have at most `size` bytes together (one document at least)."""
+def sampled(docs: DataFrame, grades: DataFrame, key: str, text: str, rows: int = SAMPLE, size: int = SAMPLE_BYTES) -> tuple[list, np.ndarray, np.ndarray | None]:
+    """Features and grades of at most `rows` rated documents, those of the least hashes, as far as their texts have
+    at most `size` bytes together (one document at least); and the bits of their words."""
     rated = grades.where("grade is not null").select(F.col(key).alias("k"), "grade").distinct().orderBy(F.xxhash64("k", F.lit(11)), "k", "grade").limit(rows)
     own = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     sizes = own.select("k", "h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).join(F.broadcast(rated), "k").distinct()
@@ -207,17 +204,28 @@ def sampled(docs: DataFrame, grades: DataFrame, key: str, text: str, rows: int =
             break
         chosen.append((r["k"], r["h"], r["grade"]))
     if not chosen:
-        return [], [], np.zeros(0, np.int64)
+        return [], np.zeros(0, np.int64), None
     wanted = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("k", own.schema["k"].dataType), T.StructField("h", T.LongType()), T.StructField("grade", T.IntegerType())]))
     joined = own.join(F.broadcast(wanted.select("k", "h").distinct()), ["k", "h"]).groupBy("k", "h").agg(F.first("text").alias("text"))
 
     def start():
         f = Features()
-        return lambda texts: [pa.array(x, pa.binary()) for x in zip(*[(a.tobytes(), b.tobytes()) for a, b in map(f.read, texts)])]
 
-    got = {(r["k"], r["h"]): r for r in add_columns(joined, "text", [("features", T.BinaryType()), ("places", T.BinaryType())], start, keep=["k", "h"]).collect()}
-    every = [(got[k, h], g) for k, h, g in chosen]
-    return [np.frombuffer(r["features"], np.int32) for r, _ in every], [np.frombuffer(r["places"], np.int32) for r, _ in every], np.array([g for _, g in every], np.int64)
+        def make(texts: list) -> list:
+            every = list(map(f.read, texts))
+            return [pa.array([a.tobytes() for a, _ in every], pa.binary()), pa.array([p for _, p in every], pa.list_(pa.int32()))]
+
+        return make
+
+    made = stage(add_columns(joined, "text", [("features", T.BinaryType()), ("places", T.ArrayType(T.IntegerType()))], start, keep=["k", "h"]), "sample")
+    place = made.select(F.explode("places").alias("p")).select(F.floor(F.col("p") / 32768).alias("block"), (F.col("p") % 32768).cast("long").alias("bit"))
+    seen = np.zeros(1 << (WORD_BITS - 3), np.uint8)
+    for r in place.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        seen[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    got = {(r["k"], r["h"]): np.frombuffer(bytes(r["features"]), np.int32) for r in made.select("k", "h", "features").toLocalIterator()}
+    every = sorted(chosen, key=lambda r: (r[0], r[2], r[1]))
+    discard(made)
+    return [got[k, h] for k, h, _ in every], np.array([g for _, _, g in every], np.int64), seen
 
 
 def grades_of(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -231,9 +239,9 @@ LEVELS = 2
 
 
 def train(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE, levels: int = LEVELS) -> Ordinal:
-    features, places, y = sampled(docs, grades, key, text, rows)
+    features, y, seen = sampled(docs, grades, key, text, rows)
     model = fit(features, y, levels)
-    model.seen = bits_of(places) if len(y) else None
+    model.seen = seen
     return model
 
 

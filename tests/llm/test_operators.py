@@ -511,7 +511,7 @@ def test_evidence_of_unknown_texts(spark):
     assert got[904].kept and got[3].kept and not any(got[i].kept for i in (900, 901, 902, 903))
     low = ordinal.train(docs, ordinal.grades_of(labels.withColumn("quality", F.lit(0))))
     assert not any(r.kept for r in ordinal.classify(docs, low).collect())
-    assert len(ordinal.sampled(docs, ordinal.grades_of(labels), "doc_id", "text", size=1)[2]) == 1
+    assert len(ordinal.sampled(docs, ordinal.grades_of(labels), "doc_id", "text", size=1)[1]) == 1
 
 
 def test_classify_keeps_columns(spark, empty):
