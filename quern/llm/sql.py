@@ -80,4 +80,15 @@ OP10 = f"""with texts as (select licence, {_canonical('text')} as c from ({_KNOW
  d as (select doc_id, sha256({_canonical('text')}) as canonical_digest from documents)
  select doc_id, canonical_digest, licence from d left join known on h = canonical_digest"""
 
-ORACLES: dict[str, str] = {"op1_warc": OP1, "op3_preferences": OP3, "op7_near_duplicates": OP7, "op8_decontamination": OP8, "op10_licences": OP10}
+OP11 = f"""with p as (select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(string_split_regex(coalesce({LOWER}, ''), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from documents),
+ g as (select lang, k, unnest(list_transform(range(1, greatest(1, len(w) - k + 2)), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from p, (select unnest(range(1, 6)) as k) x),
+ f as (select lang, k, phrase, count(*) as f from g group by all having count(*) >= 100), n as (select lang, sum(len(w)) as n from p group by 1),
+ longer as (select lang, phrase, max(f) as over from (select lang, f, unnest([array_to_string(string_split(phrase, ' ')[2:], ' '), array_to_string(string_split(phrase, ' ')[:k - 1], ' ')]) as phrase from f where k > 2) x group by 1, 2),
+ c as (select f.lang, f.phrase, k, f as a from f left join longer o on o.lang = f.lang and o.phrase = f.phrase where k > 1 and (over is null or 100 * over < 100 * f)),
+ cut as (select *, array_to_string(string_split(phrase, ' ')[:j], ' ') as head, array_to_string(string_split(phrase, ' ')[j + 1:], ' ') as rest from (select *, unnest(range(1, k)) as j from c) x),
+ s as (select cut.lang, cut.phrase, a, x.f as l, y.f as r, cast(n as bigint) as n, j, cast((1000::hugeint * a * n) // (x.f::hugeint * y.f) as bigint) as score
+  from cut join n on n.lang = cut.lang join f x on x.lang = cut.lang and x.phrase = head join f y on y.lang = cut.lang and y.phrase = rest),
+ b as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1)
+ select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from b qualify rank <= 2000"""
+
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op3_preferences": OP3, "op7_near_duplicates": OP7, "op8_decontamination": OP8, "op10_licences": OP10, "op11_collocations": OP11}
