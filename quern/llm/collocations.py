@@ -1,8 +1,8 @@
 """Phrase collocations: suffix automata of shards, counts of phrases reduced over all of them, the best of each language.
 
 A text is cut into pieces at `. , ; : ! ?` and line ends, a piece into words at blanks. A phrase that occurs `least` times is made
-of neighbours that do, so one pass counts words and hashed pairs of neighbours, and the next feeds the automata only
-with runs of frequent pairs. Each shard (a bounded number of words) has a generalised suffix automaton whose endpos counts
+of words, pairs and triples that do, so one pass counts the hashes of all of these, and the next feeds the automata only
+with runs all of whose pairs and triples are frequent. Each shard (a bounded number of words) has a generalised suffix automaton whose endpos counts
 give the occurrences of every substring; those of at most LONGEST words are listed state by state: a state's
 phrases are as long as its suffix link's longest plus one, up to its own. Counts are summed over all shards by phrase.
 The same links tell what a longer phrase subsumes: itself less its first word (or less its last).
@@ -10,7 +10,7 @@ The same links tell what a longer phrase subsumes: itself less its first word (o
 Defined cases: a null text is empty; a null lang is `und`; repeated rows count each; an empty table, or one in which
 nothing is frequent, gives an empty table; other columns are not read; a very long text is taken in parts of PART
 bytes, cut between pieces (a single piece is never cut); a long run goes in overlapping blocks whose overlap is
-taken off again; the pairs' bit table has false hits, which cost runs and no result. Ties stand in the order of the phrases.
+taken off again; the bit table of hashes has false hits, which cost runs and no result. Ties stand in the order of the phrases.
 """
 
 from __future__ import annotations
@@ -31,10 +31,8 @@ from quern.runtime import hot_keys, replicate_join, stage
 LONGEST, SHARD, BLOCK, PART = 5, 100_000, 32_768, 4 << 20
 #: Distinct words that a shard's task remembers from one automaton to the next.
 NAMES = 400_000
-#: Bits of the table of frequent pairs: for each pair, and at most (128 MB).
-BITS_A_PAIR, TABLE_BITS = 32, 30
-#: Bits of a pair's hash.
-PAIR_BITS = 48
+#: Bits of the table of frequent words, pairs and triples: for each, and at most (128 MB); bits of a hash.
+BITS_A_GRAM, TABLE_BITS, HASH_BITS = 32, 30, 48
 #: Rows of a language that are ranked in one task, beside the best of as many such parts as MERGE.
 RANKED, MERGE = 20_000, 16
 
@@ -78,20 +76,28 @@ class Words:
         self.texts = coded.dictionary.cast(pa.binary()).take(pa.array(both // n))
         self.langs = spoken.dictionary.take(pa.array(both % n))
 
-    def neighbours(self) -> np.ndarray:
-        """Places of words that have a next one in their piece."""
-        return np.flatnonzero(self.piece[1:] == self.piece[:-1])
+    def follows(self, n: int) -> np.ndarray:
+        """Whether the words at each place and the n - 1 after it lie in one piece."""
+        return self.piece[n - 1 :] == self.piece[: len(self.piece) - n + 1] if len(self.piece) >= n else np.zeros(0, bool)
 
     def hashes(self) -> np.ndarray:
+        """A hash of each distinct (lang, word)."""
+        if not len(self.texts):
+            return np.zeros(0, np.uint64)
         spoken = self.langs.dictionary_encode()
         by_lang = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in spoken.dictionary.to_pylist()], np.uint64)
         own = np.fromiter(map(xxhash.xxh3_64_intdigest, self.texts.to_pylist()), np.uint64, len(self.texts))
-        return _mix(own + by_lang[spoken.indices.to_numpy(zero_copy_only=False)] * np.uint64(3)) if len(own) else own
+        return _mix(own + by_lang[spoken.indices.to_numpy(zero_copy_only=False)] * np.uint64(3))
 
-    def pairs(self, first: np.ndarray) -> np.ndarray:
-        """The hash of the pair that begins at each of some places."""
+    def grams(self, most: int = 3) -> list[np.ndarray]:
+        """Hashes of HASH_BITS bits: of the distinct words, and for n from 2 of the n words from each place on (whether or not in one piece)."""
         h = self.hashes()
-        return (_mix(h[self.ids[first]] * np.uint64(5) + h[self.ids[first + 1]]) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        each = [h]
+        last = h[self.ids]
+        for n in range(2, most + 1):
+            last = _mix(last[: max(0, len(self.ids) - n + 1)] * np.uint64(5) + h[self.ids[n - 1 :]]) if len(h) else last
+            each.append(last)
+        return [(x >> np.uint64(64 - HASH_BITS)).astype(np.int64) for x in each]
 
 
 def parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -111,35 +117,26 @@ def parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
             start = end
 
 
-def counted(docs: DataFrame, least: int, lang: str, text: str) -> DataFrame:
-    """Staged (lang, word, pair, n): all words of each lang (word and pair null), its frequent words, and hashes of frequent pairs."""
+def frequent_hashes(docs: DataFrame, least: int, lang: str, text: str) -> DataFrame:
+    """Staged (gram): hashes of the words, pairs and triples of each lang that occur `least` times, and those that share one with such."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for langs, texts in parts(batch):
                 w = Words(langs, texts)
-                of_word = np.bincount(w.ids, minlength=len(w.texts)).astype(np.int64)
-                codes = w.neighbours()
-                pairs, of_pair = np.unique(w.pairs(codes), return_counts=True)
-                spoken = w.langs.dictionary_encode()
-                all_words = np.bincount(spoken.indices.to_numpy(zero_copy_only=False), of_word, len(spoken.dictionary)).astype(np.int64)
-                none, n = pa.nulls, len(pairs)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([spoken.dictionary, w.langs, none(n, pa.string())]), pa.concat_arrays([none(len(all_words), pa.string()), w.texts.cast(pa.string()), none(n, pa.string())]),
-                        pa.concat_arrays([none(len(all_words) + len(w.texts), pa.int64()), pa.array(pairs)]), pa.array(np.concatenate([all_words, of_word, of_pair])),
-                    ],
-                    names=["lang", "word", "pair", "n"],
-                )
+                words, *longer = w.grams()
+                own = [(words, np.bincount(w.ids, minlength=len(words)))]
+                own += [np.unique(x[w.follows(n)], return_counts=True) for n, x in enumerate(longer, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in own])), pa.array(np.concatenate([n for _, n in own]).astype(np.int64))], names=["gram", "n"])
 
-    made = small_batches(docs).select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(run, "lang string, word string, pair long, n long")
-    return stage(made.groupBy("lang", "word", "pair").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("word").isNull() & F.col("pair").isNull())), "frequent")
+    made = small_batches(docs).select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(run, "gram long, n long")
+    return stage(made.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("gram"), "frequent")
 
 
 def bit_table(hashes: DataFrame, column: str, keys: int) -> np.ndarray:
-    """Bits of some hashes: BITS_A_PAIR for each, 2^TABLE_BITS at most."""
-    bits = min(TABLE_BITS, max(15, (keys * BITS_A_PAIR - 1).bit_length()))
-    place = hashes.select(F.shiftright(column, PAIR_BITS - bits).alias("p")).select(F.floor(F.col("p") / 32768).alias("block"), (F.col("p") % 32768).alias("bit"))
+    """Bits of some hashes: BITS_A_GRAM for each, 2^TABLE_BITS at most."""
+    bits = min(TABLE_BITS, max(15, (keys * BITS_A_GRAM - 1).bit_length()))
+    place = hashes.select(F.shiftright(column, HASH_BITS - bits).alias("p")).select(F.floor(F.col("p") / 32768).alias("block"), (F.col("p") % 32768).alias("bit"))
     table = np.zeros(1 << (bits - 3), np.uint8)
     for r in place.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
         table[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
@@ -147,7 +144,7 @@ def bit_table(hashes: DataFrame, column: str, keys: int) -> np.ndarray:
 
 
 def has(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    p = hashes >> (PAIR_BITS + 1 - (len(table) * 8).bit_length())
+    p = hashes >> (HASH_BITS + 1 - (len(table) * 8).bit_length())
     return (table[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
 
 
@@ -231,10 +228,12 @@ class Shard:
             self.names.append((key[0], key[1].decode()))
         return found
 
-    def add(self, w: Words, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Runs of words of which each pair is in the table, equal ones put together."""
-        first = w.neighbours()
-        first = first[has(table, w.pairs(first))] if len(first) else first
+    def add(self, w: Words, grams: list[np.ndarray], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Runs of words of which each pair and triple is in the table, equal ones put together.
+
+        A pair lies in one run alone; runs share a word where the triple around it isn't frequent.
+        """
+        first = np.flatnonzero(w.follows(2) & has(table, grams[1]))
         if not len(first):
             return
         if len(self.names) > NAMES:
@@ -243,13 +242,17 @@ class Shard:
         used = np.unique(np.concatenate([w.ids[first], w.ids[first + 1]]))
         own = np.zeros(len(w.texts), np.int64)
         own[used] = [self.number(key) for key in zip(w.langs.take(pa.array(used)).to_pylist(), w.texts.take(pa.array(used)).to_pylist())]
-        fresh = np.concatenate([[True], np.diff(first) > 1])
-        starts, ends = first[fresh], first[np.append(fresh[1:], True)] + 2
-        flat, runs = own[w.ids].tobytes(), Counter()
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            runs[flat[8 * s : 8 * e]] += 1
-        for raw, n in runs.items():
-            for part, weight in blocks(np.frombuffer(raw, np.int64).tolist(), n, BLOCK, self.longest):
+        goes_on = np.diff(first) == 1
+        goes_on[goes_on] = has(table, grams[2][first[:-1][goes_on]])
+        starts, ends = first[np.concatenate([[True], ~goes_on])], first[np.append(~goes_on, True)] + 2
+        numbers, short = own[w.ids], ends - starts == 2
+        pairs, counts = np.unique(numbers[starts[short]] * len(self.names) + numbers[starts[short] + 1], return_counts=True)
+        runs = [([p // len(self.names), p % len(self.names)], n) for p, n in zip(pairs.tolist(), counts.tolist())]
+        flat = numbers.tobytes()
+        longer = Counter([flat[8 * s : 8 * e] for s, e in zip(starts[~short].tolist(), ends[~short].tolist())])
+        runs += [(np.frombuffer(raw, np.int64).tolist(), n) for raw, n in longer.items()]
+        for run, n in runs:
+            for part, weight in blocks(run, n, BLOCK, self.longest):
                 self.automaton.add(part, weight)
             if len(self.automaton.words) >= self.size:
                 yield from self.flush()
@@ -271,35 +274,47 @@ class Shard:
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64())], names=["lang", "phrase", "k", "n"])
 
 
-def frequent_phrases(docs: DataFrame, pairs: DataFrame, least: int, lang: str, text: str, longest: int = LONGEST, size: int = SHARD) -> DataFrame:
-    """Staged (lang, phrase, k, a): all phrases of 2 to `longest` words that occur `least` times."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_table(pairs, "pair", pairs.count()))  # 128 MB at most
+def counted(docs: DataFrame, hashes: DataFrame, least: int, lang: str, text: str, longest: int = LONGEST, size: int = SHARD) -> DataFrame:
+    """Staged (lang, phrase, k, a): all phrases of 1 to `longest` words that occur `least` times, and all words of each lang (phrase null, k 0)."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(hashes, "gram", hashes.count()))  # 128 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, table = Shard(longest, size), shared.value
         for batch in batches:
             for langs, texts in parts(batch):
-                yield from shard.add(Words(langs, texts), table)
+                w = Words(langs, texts)
+                grams = w.grams()
+                often = np.flatnonzero(has(table, grams[0]))
+                of_word, spoken = np.bincount(w.ids, minlength=len(w.texts)), w.langs.dictionary_encode()
+                n = len(spoken.dictionary)
+                every = np.bincount(spoken.indices.to_numpy(zero_copy_only=False), of_word, n).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([spoken.dictionary, w.langs.take(pa.array(often))]), pa.concat_arrays([pa.nulls(n, pa.string()), w.texts.take(pa.array(often)).cast(pa.string())]),
+                        pa.array(np.concatenate([np.zeros(n, np.int32), np.ones(len(often), np.int32)])), pa.array(np.concatenate([every, of_word[often].astype(np.int64)])),
+                    ],
+                    names=["lang", "phrase", "k", "n"],
+                )
+                yield from shard.add(w, grams, table)
         yield from shard.flush()
 
     made = small_batches(docs).select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(run, "lang string, phrase string, k int, n long")
-    return stage(made.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "phrases")
+    return stage(made.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("a")).where((F.col("a") >= least) | (F.col("k") == 0)), "phrases")
 
 
-def scored(wanted: DataFrame, phrases: DataFrame, words: DataFrame, totals: DataFrame) -> DataFrame:
+def scored(wanted: DataFrame, found: DataFrame) -> DataFrame:
     """Adds n and, of the cut with the least score, l, r and score to the wanted phrases; of equal scores the earliest cut.
 
-    phrases: all frequent ones; words: lang, phrase, a of single words; totals: lang, n. A common word stands in very many
-    cuts, so the look-ups deal the rows of such keys out.
+    found: of counted(). A common word stands in very many cuts, so the look-ups deal the rows of such keys out.
     """
-    grams = words.select("lang", "phrase", "a").unionByName(phrases.select("lang", "phrase", "a")).select(F.struct("lang", "phrase").alias("gram"), F.col("a").alias("f"))
+    grams = found.where("k > 0").select(F.struct("lang", "phrase").alias("gram"), F.col("a").alias("f"))
     cuts = wanted.select("*", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("j"))
     cuts = stage(cuts.select("lang", "phrase", "k", "a", "j", F.struct("lang", F.expr("substring_index(phrase, ' ', j)").alias("phrase")).alias("head"), F.struct("lang", F.expr("substring_index(phrase, ' ', j - k)").alias("phrase")).alias("rest")), "cuts")
     hot = hot_keys(cuts, ["head", "rest"])
     for key, count in (("head", "l"), ("rest", "r")):
         cuts = replicate_join(cuts, grams.select(F.col("gram").alias(key), F.col("f").alias(count)), key, "phrase", hot)
     by_lang = hot_keys(cuts.select("lang"), ["lang"])
-    cuts = replicate_join(cuts, totals, "lang", "phrase", by_lang)
+    cuts = replicate_join(cuts, found.where("k = 0").select("lang", F.col("a").alias("n")), "lang", "phrase", by_lang)
     score = F.expr("(cast(1000 as decimal(4,0)) * cast(a as decimal(18,0)) * cast(n as decimal(18,0))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))")
     best = cuts.withColumn("score", score).groupBy("lang", "phrase", "k", "a", "n").agg(F.min(F.struct("score", "j", "l", "r")).alias("b"))
     return best.select("lang", "phrase", "k", "a", "n", "b.l", "b.r", "b.score")
@@ -332,10 +347,7 @@ def mine(docs: DataFrame, least: int = 100, share: int = 100, most: int = 2000,
 
     a: occurrences; l, r: of the parts of the cut with the least score; n: of all words; score: floor(1000 a n / (l r)).
     """
-    found = counted(docs, least, lang, text)
-    words = found.where("word is not null").select("lang", F.col("word").alias("phrase"), F.col("n").alias("a"))
-    totals = found.where("word is null and pair is null").select("lang", "n")
-    phrases = frequent_phrases(docs, found.where("pair is not null").select("pair"), least, lang, text, longest)
-    kept = stage(scored(unsubsumed(phrases, share), phrases, words, totals), "scored")
+    found = counted(docs, frequent_hashes(docs, least, lang, text), least, lang, text, longest)
+    kept = stage(scored(unsubsumed(found.where("k > 1"), share), found), "scored")
     best = best_of(kept, "lang", [F.desc("score"), F.desc("a"), F.col("phrase")], "phrase", most)
     return best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

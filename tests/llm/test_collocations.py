@@ -61,7 +61,7 @@ def test_against_counts(spark):
 
 
 def test_small_shards_and_blocks(spark, monkeypatch):
-    for name, value in (("BLOCK", 7), ("PART", 64), ("RANKED", 10), ("MERGE", 2), ("BITS_A_PAIR", 1)):
+    for name, value in (("BLOCK", 7), ("PART", 64), ("RANKED", 10), ("MERGE", 2), ("BITS_A_GRAM", 1)):
         monkeypatch.setattr(collocations, name, value)
     rows = corpus()[:120] + corpus()[250:]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
