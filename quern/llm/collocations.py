@@ -28,7 +28,7 @@ from quern.llm.arrow import slices, small_batches
 from quern.runtime import hot_keys, replicate_join, stage
 
 #: Words of a phrase at most; words of a shard's automaton; words of a block of a long run; bytes taken up at a time.
-LONGEST, SHARD, BLOCK, PART = 5, 100_000, 32_768, 4 << 20
+LONGEST, SHARD, BLOCK, PART = 5, 100_000, 32_768, 2 << 20
 #: Distinct words that a shard's task remembers from one automaton to the next.
 NAMES = 400_000
 #: Bits of the table of frequent words, pairs and triples: for each, and at most (128 MB); bits of a hash.
@@ -216,11 +216,15 @@ def blocks(run: list[int], weight: int, block: int, longest: int) -> Iterator[tu
 
 
 class Shard:
-    """Gathers runs into an automaton and lists its phrases when it is full."""
+    """Gathers words' counts and distinct runs; lists the phrases of an automaton of the runs when they have `size` words."""
 
     def __init__(self, longest: int, size: int):
         self.longest, self.size = longest, size
-        self.automaton, self.numbers, self.names = Automaton(), {}, []
+        self._fresh()
+
+    def _fresh(self) -> None:
+        self.numbers, self.names, self.counts, self.spoken = {}, [], np.zeros(1 << 12, np.int64), Counter()
+        self.runs, self.held = Counter(), 0
 
     def number(self, key: tuple[str, bytes]) -> int:
         if (found := self.numbers.get(key)) is None:
@@ -228,50 +232,68 @@ class Shard:
             self.names.append((key[0], key[1].decode()))
         return found
 
-    def add(self, w: Words, grams: list[np.ndarray], table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Runs of words of which each pair and triple is in the table, equal ones put together.
+    def add(self, w: Words, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Counts words that are in the table, and runs of words of which each pair and triple is too.
 
         A pair lies in one run alone; runs share a word where the triple around it isn't frequent.
         """
-        first = np.flatnonzero(w.follows(2) & has(table, grams[1]))
-        if not len(first):
-            return
+        words, pairs, triples = w.grams()
+        of_word, told = np.bincount(w.ids, minlength=len(words)), has(table, words)
+        spoken = w.langs.dictionary_encode()
+        self.spoken.update(dict(zip(spoken.dictionary.to_pylist(), np.bincount(spoken.indices.to_numpy(zero_copy_only=False), of_word, len(spoken.dictionary)).astype(np.int64).tolist())))
         if len(self.names) > NAMES:
             yield from self.flush()
-            self.numbers, self.names = {}, []
-        used = np.unique(np.concatenate([w.ids[first], w.ids[first + 1]]))
-        own = np.zeros(len(w.texts), np.int64)
-        own[used] = [self.number(key) for key in zip(w.langs.take(pa.array(used)).to_pylist(), w.texts.take(pa.array(used)).to_pylist())]
+            yield from self.words()
+        often = np.flatnonzero(told)
+        own = np.zeros(len(words), np.int64)
+        own[often] = [self.number(key) for key in zip(w.langs.take(pa.array(often)).to_pylist(), w.texts.take(pa.array(often)).to_pylist())]
+        if len(self.counts) < len(self.names):
+            self.counts = np.concatenate([self.counts, np.zeros(len(self.names), np.int64)])
+        self.counts[own[often]] += of_word[often]
+        first = np.flatnonzero(w.follows(2) & has(table, pairs))
+        first = first[told[w.ids[first]] & told[w.ids[first + 1]]]
+        if not len(first):
+            return
         goes_on = np.diff(first) == 1
-        goes_on[goes_on] = has(table, grams[2][first[:-1][goes_on]])
+        goes_on[goes_on] = has(table, triples[first[:-1][goes_on]])
         starts, ends = first[np.concatenate([[True], ~goes_on])], first[np.append(~goes_on, True)] + 2
         numbers, short = own[w.ids], ends - starts == 2
-        pairs, counts = np.unique(numbers[starts[short]] * len(self.names) + numbers[starts[short] + 1], return_counts=True)
-        runs = [([p // len(self.names), p % len(self.names)], n) for p, n in zip(pairs.tolist(), counts.tolist())]
-        flat = numbers.tobytes()
-        longer = Counter([flat[8 * s : 8 * e] for s, e in zip(starts[~short].tolist(), ends[~short].tolist())])
-        runs += [(np.frombuffer(raw, np.int64).tolist(), n) for raw, n in longer.items()]
-        for run, n in runs:
-            for part, weight in blocks(run, n, BLOCK, self.longest):
-                self.automaton.add(part, weight)
-            if len(self.automaton.words) >= self.size:
+        both, counts = np.unique(numbers[starts[short]] * len(self.names) + numbers[starts[short] + 1], return_counts=True)
+        flat, both = numbers.tobytes(), np.stack([both // len(self.names), both % len(self.names)], axis=1).tobytes()
+        own_runs = Counter([flat[8 * s : 8 * e] for s, e in zip(starts[~short].tolist(), ends[~short].tolist())])
+        own_runs.update({both[16 * i : 16 * i + 16]: n for i, n in enumerate(counts.tolist())})
+        for run, n in own_runs.items():
+            if run not in self.runs:
+                self.held += len(run) // 8
+            self.runs[run] += n
+            if self.held >= self.size:
                 yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        names, words = self.names, self.automaton.words
-        rows: tuple[list, ...] = ([], [], [], [])
-        for end, length, n in self.automaton.phrases(self.longest):
-            some = words[end - length + 1 : end + 1]
-            for column, value in zip(rows, (names[some[0]][0], " ".join([names[x][1] for x in some]), length, n)):
-                column.append(value)
-            if len(rows[0]) >= 50_000:
-                yield self._batch(rows)
-                rows = ([], [], [], [])
-        yield self._batch(rows)
-        self.automaton = Automaton()
-
-    def _batch(self, rows: tuple[list, ...]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64())], names=["lang", "phrase", "k", "n"])
+        """The phrases of the runs so far."""
+        names, automaton, rows = self.names, Automaton(), []
+        for run, n in self.runs.items():
+            for part, weight in blocks(np.frombuffer(run, np.int64).tolist(), n, BLOCK, self.longest):
+                automaton.add(part, weight)
+        for end, length, n in automaton.phrases(self.longest):
+            some = automaton.words[end - length + 1 : end + 1]
+            rows.append((names[some[0]][0], " ".join([names[x][1] for x in some]), length, n))
+            if len(rows) >= 50_000:
+                yield self.batch(rows)
+                rows = []
+        yield self.batch(rows)
+        self.runs, self.held = Counter(), 0
+
+    def words(self) -> Iterator[pa.RecordBatch]:
+        """Words that were counted, and all words of each lang."""
+        rows = [(lang, None, 0, n) for lang, n in self.spoken.items()]
+        yield self.batch(rows + [(*key, 1, n) for key, n in zip(self.names, self.counts.tolist())])
+        self._fresh()
+
+    @staticmethod
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "phrase", "k", "n"])
 
 
 def counted(docs: DataFrame, hashes: DataFrame, least: int, lang: str, text: str, longest: int = LONGEST, size: int = SHARD) -> DataFrame:
@@ -282,21 +304,9 @@ def counted(docs: DataFrame, hashes: DataFrame, least: int, lang: str, text: str
         shard, table = Shard(longest, size), shared.value
         for batch in batches:
             for langs, texts in parts(batch):
-                w = Words(langs, texts)
-                grams = w.grams()
-                often = np.flatnonzero(has(table, grams[0]))
-                of_word, spoken = np.bincount(w.ids, minlength=len(w.texts)), w.langs.dictionary_encode()
-                n = len(spoken.dictionary)
-                every = np.bincount(spoken.indices.to_numpy(zero_copy_only=False), of_word, n).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([spoken.dictionary, w.langs.take(pa.array(often))]), pa.concat_arrays([pa.nulls(n, pa.string()), w.texts.take(pa.array(often)).cast(pa.string())]),
-                        pa.array(np.concatenate([np.zeros(n, np.int32), np.ones(len(often), np.int32)])), pa.array(np.concatenate([every, of_word[often].astype(np.int64)])),
-                    ],
-                    names=["lang", "phrase", "k", "n"],
-                )
-                yield from shard.add(w, grams, table)
+                yield from shard.add(Words(langs, texts), table)
         yield from shard.flush()
+        yield from shard.words()
 
     made = small_batches(docs).select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(run, "lang string, phrase string, k int, n long")
     return stage(made.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("a")).where((F.col("a") >= least) | (F.col("k") == 0)), "phrases")
