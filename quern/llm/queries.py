@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, chat, collocations, decontaminate, fingerprint, kdtree, licence, near_duplicates, ordinal, packing, warc, whitening
+from quern.llm import bpe, chat, collocations, decontaminate, fingerprint, kdtree, licence, near_duplicates, ordinal, packing, toxicity, warc, whitening
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -64,12 +64,16 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_quality, op3_preferences, op4_fingerprints, op5_kdtree, op6_packing, op7_near_duplicates, op8_decontamination, op9_bpe, op10_licences, op11_collocations, op13_whitening)}
+    return {f.__name__: f for f in (op1_warc, op2_quality, op3_preferences, op4_fingerprints, op5_kdtree, op6_packing, op7_near_duplicates, op8_decontamination, op9_bpe, op10_licences, op11_collocations, op12_toxicity, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
