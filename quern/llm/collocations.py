@@ -28,7 +28,7 @@ from quern.llm.arrow import slices, small_batches
 from quern.runtime import hot_keys, replicate_join, stage
 
 #: Words of a phrase at most; words of a shard's automaton; words of a block of a long run; bytes taken up at a time.
-LONGEST, SHARD, BLOCK, PART = 5, 100_000, 32_768, 2 << 20
+LONGEST, SHARD, BLOCK, PART = 5, 250_000, 32_768, 2 << 20
 #: Distinct words that a shard's task remembers from one automaton to the next.
 NAMES = 400_000
 #: Bits of the table of frequent words, pairs and triples: for each, and at most (128 MB); bits of a hash.
