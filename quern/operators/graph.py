@@ -190,10 +190,10 @@ def community_summaries(entities: DataFrame, labels: DataFrame, top: int = 5) ->
     """(community, members, mean_confidence, types, summary): what a community holds, the surest names of each type first."""
     e = labels.join(entities, labels["node"] == entities["id"])
     w = Window.partitionBy("community", "entity_type").orderBy(F.desc("confidence"), "id")
-    own = e.groupBy("community", "entity_type").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"))
+    own = e.groupBy("community", "entity_type").agg(F.count("*").alias("n"), F.sum(F.col("confidence").cast("decimal(18,6)")).alias("c"))  # exact, whatever the order
     best = e.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top).groupBy("community", "entity_type").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "name"))), lambda x: x["name"]), ", ").alias("names"))
     line = F.concat(F.col("entity_type"), F.lit(": "), F.col("names"))
-    g = own.join(best, ["community", "entity_type"]).groupBy("community").agg(F.sum("n").alias("members"), F.round(F.sum("c") / F.sum("n"), 6).alias("mean_confidence"), F.sort_array(F.collect_list("entity_type")).alias("types"), F.sort_array(F.collect_list(line)).alias("lines"))
+    g = own.join(best, ["community", "entity_type"]).groupBy("community").agg(F.sum("n").alias("members"), F.round(F.sum("c").cast("double") / F.sum("n").cast("double"), 6).alias("mean_confidence"), F.sort_array(F.collect_list("entity_type")).alias("types"), F.sort_array(F.collect_list(line)).alias("lines"))
     return g.select("community", "members", "mean_confidence", F.array_join("types", ",").alias("types"), F.concat(F.lit("Contains "), F.col("members").cast("string"), F.lit(" entities. "), F.array_join("lines", "; ")).alias("summary"))
 
 

@@ -255,8 +255,8 @@ def community_members(t):
 
 def _summary_sql(level: int) -> str:
     return f"""{G}, {fx.LABELS}, m as (select l.community, e.* from labels l join entities e on e.id = l.node where level = {level}), b as (select *, row_number() over (partition by community, entity_type order by confidence desc, id) as rn from m),
- k as (select community, entity_type, count(*) as n, sum(confidence) as c, entity_type || ': ' || string_agg(name, ', ' order by rn) filter (rn <= 5) as line from b group by 1, 2),
- sm as (select community, cast(sum(n) as bigint) as members, round(sum(c) / sum(n), 6) as mean_confidence, string_agg(entity_type, ',' order by entity_type) as types, 'Contains ' || cast(cast(sum(n) as bigint) as varchar) || ' entities. ' || string_agg(line, '; ' order by line) as summary from k group by 1)"""
+ k as (select community, entity_type, count(*) as n, sum(cast(confidence as decimal(18, 6))) as c, entity_type || ': ' || string_agg(name, ', ' order by rn) filter (rn <= 5) as line from b group by 1, 2),
+ sm as (select community, cast(sum(n) as bigint) as members, round(cast(sum(c) as double) / cast(sum(n) as double), 6) as mean_confidence, string_agg(entity_type, ',' order by entity_type) as types, 'Contains ' || cast(cast(sum(n) as bigint) as varchar) || ' entities. ' || string_agg(line, '; ' order by line) as summary from k group by 1)"""
 
 
 @query(f"{_summary_sql(0)} select * from sm")
