@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ FREQUENT = STOP_WORDS[:50]
 CONTENT_STOP_WORDS = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by"]
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), where value is worked out once however often `of` names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))
 
@@ -33,10 +40,10 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
-def sentences(text: Column) -> Column:
-    """Sentences with their end marks, trimmed, of more than five characters."""
+def sentences(text: Column, over: int = 5) -> Column:
+    """Sentences with their end marks, trimmed, of more than `over` characters."""
     parts = F.split(F.regexp_replace(text, r"([.!?]+)[ \t\n\r\f]+", "$1\u0001"), "\u0001")
-    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) > 5)
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) > over)
 
 
 def index_tokens(text: Column, stop: list[str] = STOP_WORDS) -> Column:
