@@ -86,9 +86,8 @@ def dictionary(df: DataFrame, names: list[str], confidence: float, text: str = "
     return df.select(*keys, F.explode(found).alias("name")).withColumn("confidence", F.lit(confidence))
 
 
-def organisations(df: DataFrame, text: str = "text") -> DataFrame:
-    """(keys..., name): the word up to the first of each ending, if it has a mark; from a beginning to the sentence's end."""
-    keys, t = [c for c in df.columns if c != text], F.col(text)
+def organisation_names(t: Column) -> Column:
+    """Array of names: the word up to the first of each ending, if it has a mark; from a beginning to the sentence's end."""
     found = []
     for end in ORGANISATION_ENDS:
         at = F.instr(t, end)
@@ -100,7 +99,12 @@ def organisations(df: DataFrame, text: str = "text") -> DataFrame:
         rest = F.substring(t, F.instr(t, begin), F.length(t))
         name = F.trim(F.when(F.contains(rest, F.lit(".")), F.substring_index(rest, ".", 1)).otherwise(F.substring(rest, 1, 50)))
         begun.append(F.when((F.instr(t, begin) > 0) & (F.length(name) > len(begin)), name))
-    return df.select(*keys, F.explode(F.array_distinct(F.concat(marked, F.filter(F.array(*begun), lambda n: n.isNotNull())))).alias("name"))
+    return F.array_distinct(F.concat(marked, F.filter(F.array(*begun), lambda n: n.isNotNull())))
+
+
+def organisations(df: DataFrame, text: str = "text") -> DataFrame:
+    """(keys..., name) of organisation_names()."""
+    return df.select(*[c for c in df.columns if c != text], F.explode(organisation_names(F.col(text))).alias("name"))
 
 
 def confidence(name: Column, kind: Column) -> Column:
@@ -128,19 +132,6 @@ def mentions(names: DataFrame, text: str = "text", name: str = "name") -> DataFr
     return at.where("k < last").select(*keys, name, "start", (F.col("start") + F.length(name)).alias("end"))
 
 
-def extract(df: DataFrame, least: float = 0.5, text: str = "text") -> DataFrame:
-    """(keys..., name, entity_type, confidence): all extractors but persons, each name and type once, at its best."""
-    keys = [c for c in df.columns if c != text]
-    org = organisations(df, text)
-    parts = [
-        concepts(df, text).withColumn("entity_type", F.lit("CONCEPT")), dictionary(df, EVENTS, 0.7, text).withColumn("entity_type", F.lit("EVENT")), dictionary(df, OBJECTS, 0.65, text).withColumn("entity_type", F.lit("OBJECT")),
-        org.withColumn("entity_type", F.lit("ORGANIZATION")).withColumn("confidence", confidence(F.col("name"), F.lit("ORGANIZATION"))),
-        dictionary(df, LOCATIONS, 0.5, text, False).withColumn("entity_type", F.lit("LOCATION")).withColumn("confidence", confidence(F.col("name"), F.lit("LOCATION"))),
-    ]
-    every = reduce(lambda a, b: a.unionByName(b), [p.select(*keys, "name", "entity_type", "confidence") for p in parts])
-    return every.groupBy(*keys, "name", "entity_type").agg(F.max("confidence").alias("confidence")).where(F.col("confidence") >= least)
-
-
 def pattern_filter(entities: DataFrame, allowed: list[str], excluded: list[str], name: str = "name") -> DataFrame:
     """Entities whose name matches any allowed pattern (if there are any) and no excluded one."""
     test = lambda ps: any_of([F.col(name).rlike(p) for p in ps])

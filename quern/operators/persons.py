@@ -65,17 +65,53 @@ def applied(state: Column, rule: str, lengths, skip: int = 0) -> Column:
     return tx.let(state, lambda st: tx.let(st["w"], lambda w: after(st["found"], w)))
 
 
-def persons(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """(keys..., place, name, rule, confidence): place is that of the first word taken, a title's where there is one."""
-    keys = [c for c in df.columns if c != text]
+def found_in(words: Column) -> Column:
+    """Array of (place, words, name, rule): what the rules take of tokens(), in their order."""
     pair = lambda a, b: F.lower(F.concat_ws(" ", a["name"], b["name"]))
     none = F.array().cast("array<struct<place:int,words:int,name:string,rule:string>>")
-    state = F.struct(tokens(F.col(text)).alias("w"), none.alias("found"))
+    state = F.struct(words.alias("w"), none.alias("found"))
     state = applied(state, "known", lambda a, b, c: F.when(a.isNotNull() & b.isNotNull() & pair(a, b).isin(KNOWN), 2))
     state = applied(state, "title", lambda a, b, c: F.when(a["t"] & b["p"], F.when(c["p"], 3).otherwise(2)), skip=1)
     state = applied(state, "two", lambda a, b, c: F.when(a["p"] & b["p"] & ~a["s"] & ~b["s"], 2))
     state = applied(state, "one", lambda a, b, c: F.when(a["p"] & ~a["s"], 1))
-    each = df.where(F.col(text).isNotNull()).select(F.struct(*[F.col(c) for c in keys]).alias("keys"), F.explode(state["found"]).alias("x"))
-    sure = F.coalesce(*[F.when(F.col("x.rule") == r, c) for r, c in SURE.items()])
-    named_rows = each.select(*[F.col(f"keys.{c}").alias(c) for c in keys], "x.place", F.when(F.col("x.rule") == "known", F.initcap("x.name")).otherwise(F.col("x.name")).alias("name"), "x.rule", sure.alias("confidence"))
-    return named_rows.where(F.col("confidence") >= least)
+    return state["found"]
+
+
+def name_of(x: Column) -> Column:
+    return F.when(x["rule"] == "known", F.initcap(x["name"])).otherwise(x["name"])
+
+
+def sure(x: Column) -> Column:
+    return F.coalesce(*[F.when(x["rule"] == r, c) for r, c in SURE.items()])
+
+
+def persons(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
+    """(keys..., place, name, rule, confidence): place is that of the first word taken, a title's where there is one."""
+    keys, x = [c for c in df.columns if c != text], F.col("x")
+    each = df.where(F.col(text).isNotNull()).select(F.struct(*[F.col(c) for c in keys]).alias("keys"), F.explode(found_in(tokens(F.col(text)))).alias("x"))
+    made = each.select(*[F.col(f"keys.{c}").alias(c) for c in keys], "x.place", name_of(x).alias("name"), "x.rule", sure(x).alias("confidence"))
+    return made.where(F.col("confidence") >= least)
+
+
+def extract(df: DataFrame, least: float = 0.5, text: str = "text") -> DataFrame:
+    """(keys..., name, entity_type, confidence): persons, concepts, events, objects, organisations and places of each text,
+    each name and type once, at its best. A text is read and cut into words once, on its own row; nothing is shuffled."""
+    keys, t = [c for c in df.columns if c != text], F.col(text)
+    row = lambda name, kind, c: F.struct(name.alias("name"), F.lit(kind).alias("entity_type"), c.alias("confidence"))
+    listed = lambda names, kind, c, whole: F.transform(F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(whole, n)), lambda n: row(n, kind, c(n)))
+
+    def concept(word: Column) -> Column:
+        marked = en.any_of([F.contains(word["name"], F.lit(c)) for c in en.CONCEPTS])
+        plain = en.capital(word["word"]) & (F.octet_length(word["word"]) > 4) & ~F.lower(word["name"]).isin(en.COMMON)
+        return row(word["name"], "CONCEPT", F.when(marked, 0.75).when(plain, 0.6))
+
+    words = F.transform(tx.words(t), lambda w: F.struct(w.alias("word"), en.bare(w).alias("name")))
+    every = F.concat(
+        F.transform(found_in(tokens(t)), lambda x: row(name_of(x), "PERSON", sure(x))), F.transform(words, concept), listed(en.EVENTS, "EVENT", lambda n: F.lit(0.7), F.lower(t)),
+        listed(en.OBJECTS, "OBJECT", lambda n: F.lit(0.65), F.lower(t)), F.transform(en.organisation_names(t), lambda n: row(n, "ORGANIZATION", en.confidence(n, F.lit("ORGANIZATION")))),
+        listed(en.LOCATIONS, "LOCATION", lambda n: en.confidence(n, F.lit("LOCATION")), t),
+    )
+    wanted = F.array_distinct(F.filter(every, lambda x: x["confidence"] >= least))
+    best = tx.let(wanted, lambda a: F.filter(a, lambda x: ~F.exists(a, lambda y: (y["name"] == x["name"]) & (y["entity_type"] == x["entity_type"]) & (y["confidence"] > x["confidence"]))))
+    each = df.where(t.isNotNull()).select(F.struct(*[F.col(c) for c in keys]).alias("keys"), F.explode(best).alias("x"))
+    return each.select(*[F.col(f"keys.{c}").alias(c) for c in keys], "x.name", "x.entity_type", "x.confidence")

@@ -80,65 +80,95 @@ def vector_search(vectors: DataFrame, query: list[float], key: str = "vec_id", v
     return scored if k is None else scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def batch_search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, block: int = 256) -> DataFrame:
-    """The k nearest others of each query: blocks of queries, each against all vectors by one matrix product.
+def usable(vectors: DataFrame, key: str, vector: str, width: int | None = None) -> tuple[DataFrame, int]:
+    """Rows with an id and a vector of the most common width (or the given one) without nulls, and that width; others take no part."""
+    own = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    if width is None:
+        width = own.agg(F.mode(F.size(vector), deterministic=True)).collect()[0][0] or 0
+    return own.where(F.size(vector) == width).select(key, vector), width
 
-    Each partition keeps its own best k of each query, so what is shuffled is partitions x queries x k rows.
-    Queries go to the workers in blocks of fixed size; their number may grow, a block may not.
+
+def batch_search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, block: int = 1024, part: int = 8192) -> DataFrame:
+    """(query_id, key, score, rank): the k nearest others of each query. Parts of the vectors meet blocks of the queries, each pair
+    in a task of its own by one matrix product, and keep k of each query; the plan is the same whatever the number of queries.
+
+    Rows without an id or a vector, with a null in it or of another width than most take no part; a zero vector is like none (0).
     """
     import numpy as np
     import pandas as pd
 
-    out = None
-    rows = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).orderBy("q").toLocalIterator()
-    while True:
-        held = [r for _, r in zip(range(block), rows)]
-        if not held:
-            break
-        ids = np.array([r["q"] for r in held])
-        m = np.array([r["v"] for r in held], np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, m))
-
-        def run(batches, shared=shared):
-            ids, m = shared.value
-            for batch in batches:
-                own = np.array(batch[vector].tolist(), np.float64)
-                if not len(own):
-                    continue
-                own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
-                sims = np.round(own @ m.T, 6)
-                keys = batch[key].to_numpy()
-                for j, q in enumerate(ids):
-                    order = np.lexsort((keys, -sims[:, j]))
-                    order = order[keys[order] != q][:k]
-                    yield pd.DataFrame({"query_id": q, key: keys[order], "score": sims[order, j]})
-
-        part = vectors.select(key, vector).mapInPandas(run, f"query_id long, {key} long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.select(F.col(key).alias("query_id"), key, F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    index, width = usable(vectors, key, vector)
+    asked, _ = usable(queries, key, vector, width)
+    parts, blocks = max(1, -(-index.count() // part)), max(1, -(-asked.count() // block))
+    place = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = index.withColumn("p", place(parts)).withColumn("b", every(blocks))
+    right = asked.withColumn("b", place(blocks)).withColumn("p", every(parts))
+
+    def unit(x: pd.Series) -> np.ndarray:
+        m = np.array(x.tolist(), np.float64).reshape(len(x), -1)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def best(own: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": some[key][:0], key: own[key][:0], "score": np.zeros(0)})]
+        if len(own) and len(some):
+            keys, sims = own[key].to_numpy(), np.round(unit(some[vector]) @ unit(own[vector]).T, 6)
+            for q, row in zip(some[key], sims):
+                order = np.lexsort((keys, -row))
+                order = order[keys[order] != q][:k]
+                out.append(pd.DataFrame({"query_id": q, key: keys[order], "score": row[order]}))
+        return pd.concat(out[1:] or out)
+
+    kind = vectors.schema[key].dataType.simpleString()
+    found = left.groupBy("p", "b").cogroup(right.groupBy("p", "b")).applyInPandas(best, f"query_id {kind}, {key} {kind}, score double")
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+
+
+def sample_of(vectors: DataFrame, vector: str, key: str, most: int):
+    """At most `most` vectors, those of the least hashes, to unit length."""
+    import numpy as np
+
+    rows = vectors.select(vector).orderBy(F.xxhash64(key), key).limit(most).collect()
+    x = np.array([r[0] for r in rows], np.float32).reshape(len(rows), len(rows[0][0]) if rows else 1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def centroids(vectors: DataFrame, vector: str, key: str, cells: int, sample: int = 65_536, rounds: int = 8):
-    """Unit centroids of the cells of an index, by k-means over at most `sample` vectors, those of the least hashes."""
+def centroids(x, cells: int, rounds: int = 8):
+    """Unit centroids of cells, by k-means over some unit vectors."""
     import numpy as np
 
-    rows = vectors.select(vector).where(F.col(vector).isNotNull()).orderBy(F.xxhash64(key)).limit(sample).collect()
-    x = np.array([r[0] for r in rows], np.float32).reshape(len(rows), len(rows[0][0]) if rows else 1)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     c = x[:: max(1, len(x) // max(1, cells))][:cells].copy()
     for _ in range(rounds if len(c) else 0):
         own = (x @ c.T).argmax(axis=1)
-        for i in range(len(c)):
-            if (own == i).any():
-                c[i] = x[own == i].mean(axis=0)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        held = np.bincount(own, minlength=len(c)) > 0
+        c[held] = sums[held]
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     return c
 
 
+def probes_for(x, c, k: int, recall: float, queries: int = 512) -> int:
+    """In how many nearest cells a query must look to meet this share of its k nearest: measured by brute force on a sample.
+
+    A sample is thinner than the index, so its neighbours are farther and the answer errs to the safe side.
+    """
+    import numpy as np
+
+    q = x[:: max(1, len(x) // queries)][:queries]
+    if len(x) <= k or not len(c):
+        return max(1, len(c))
+    sims = q @ x.T
+    sims[np.arange(len(q)), np.arange(len(q)) * max(1, len(x) // queries)] = -2
+    near = np.argpartition(-sims, k, axis=1)[:, :k]
+    order = np.argsort(-(q @ c.T), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(c))[None].repeat(len(q), axis=0), axis=1)
+    at = np.sort(np.take_along_axis(place, (x @ c.T).argmax(axis=1)[near], axis=1).ravel())
+    return int(at[min(len(at) - 1, int(np.ceil(len(at) * recall)))]) + 1
+
+
 def in_cells(vectors: DataFrame, c, key: str, vector: str, cells: int) -> DataFrame:
     """(key, vector, cell): each vector with its nearest cells, one row for each."""
     import numpy as np
@@ -156,12 +186,19 @@ def in_cells(vectors: DataFrame, c, key: str, vector: str, cells: int) -> DataFr
     return vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, f"{key} {vectors.schema[key].dataType.simpleString()}, {vector} array<float>, cell int")
 
 
-def vector_ann(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, cells: int = 16, probes: int = 6) -> DataFrame:
+def vector_ann(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, cells: int | None = None, probes: int | None = None, recall: float = 0.95, sample: int = 32_768) -> DataFrame:
     """(query_id, key, score, rank): the nearest others of each query, approximately: every vector is indexed in the
-    cell of its nearest centroid, a query looks in its `probes` nearest cells and compares exactly there."""
-    c = centroids(vectors, vector, key, cells)
-    index = in_cells(vectors, c, key, vector, 1)
-    asked = in_cells(queries, c, key, vector, probes).withColumnsRenamed({key: "query_id", vector: "_q"})
+    cell of its nearest centroid, a query looks in its `probes` nearest cells and compares exactly there.
+
+    By default there are about as many cells as the root of the vectors (16 to 1,024), and probes are as many as the sample needs for
+    the recall. Which rows take part is as in batch_search.
+    """
+    index, width = usable(vectors, key, vector)
+    asked, _ = usable(queries, key, vector, width)
+    x = sample_of(index, vector, key, sample)
+    c = centroids(x, cells or min(1024, max(16, int(index.count() ** 0.5))))
+    index = in_cells(index, c, key, vector, 1)
+    asked = in_cells(asked, c, key, vector, probes or probes_for(x, c, k, recall)).withColumnsRenamed({key: "query_id", vector: "_q"})
     near = asked.join(index, "cell").where(F.col("query_id") != F.col(key)).select("query_id", key, F.round(vx.cosine(F.col(vector), F.col("_q")), 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

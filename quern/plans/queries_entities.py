@@ -93,30 +93,6 @@ def entity_mentions(t):
     return m.select("doc_id", "at", en.entity_id(F.lit("CONCEPT"), F.col("name")).alias("id"), "name", "start", "end")
 
 
-EXTRACTED = f"""{WORDS}, {organisations_sql('chunk', 'content', 'doc_id, at')}, every as (select doc_id, at, name, 'CONCEPT' as kind, case when {_any('name', en.CONCEPTS)} then cast(0.75 as double) when {CAPITAL} and strlen(w) > 4 and lower(name) not in {_in(en.COMMON)} then cast(0.6 as double) end as c from cw
- union all select doc_id, at, name, kind, {CONFIDENCE} from (select *, 'ORGANIZATION' as kind from org) x
- union all select * from (select doc_id, at, unnest({_list(en.EVENTS)}) as name, 'EVENT', cast(0.7 as double) from chunk) x where exists (select 1 from chunk k where k.doc_id = x.doc_id and k.at = x.at and contains(lower(k.content), x.name))
- union all select * from (select doc_id, at, unnest({_list(en.OBJECTS)}) as name, 'OBJECT', cast(0.65 as double) from chunk) x where exists (select 1 from chunk k where k.doc_id = x.doc_id and k.at = x.at and contains(lower(k.content), x.name))
- union all select * from (select doc_id, at, unnest({_list(en.LOCATIONS)}) as name, 'LOCATION', cast(0.9 as double) from chunk) x where exists (select 1 from chunk k where k.doc_id = x.doc_id and k.at = x.at and contains(k.content, x.name))),
- x as (select doc_id, at, name, kind, max(c) as confidence from every where c >= 0.5 group by 1, 2, 3, 4)"""
-
-
-@query(f"with {EXTRACTED} select name, kind as entity_type, count(*) as rows, max(confidence) as confidence from x group by 1, 2")
-def dedupe_entities(t):
-    """All extracted entities of all chunks by name and type."""
-    return en.dedupe(en.extract(_chunks(t)))
-
-
-@query(f"with {EXTRACTED} select kind || '_' || lower(name) as id, min(name) as name, count(*) as rows, max(confidence) as confidence from x group by 1")
-def dedupe_entities_ci(t):
-    return en.dedupe(en.extract(_chunks(t)), any_case=True)
-
-
-@query(f"with {EXTRACTED} select kind as entity_type, count(*) as mentions, count(distinct name) as names, round(avg(confidence), 6) as mean_confidence from x group by 1")
-def ner_dataset_stats(t):
-    return en.extract(_chunks(t)).groupBy("entity_type").agg(F.count("*").alias("mentions"), F.countDistinct("name").alias("names"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
-
-
 @query(f"with {NAMES} select doc_id, at, name from found where (regexp_matches(name, '^[A-M]') or regexp_matches(name, 'on$')) and not regexp_matches(name, '^An') and not regexp_matches(name, 'th')")
 def pattern_filter(t):
     return en.pattern_filter(en.generic(_chunks(t)), ["^[A-M]", "on$"], ["^An", "th"]).select("doc_id", "at", "name")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import chunks, entities as en, persons as ps, segments
-from quern.plans.queries_entities import CAPITAL, CHUNKS, NAME, WS, _chunks, _in
+from quern.plans.queries_entities import CAPITAL, CHUNKS, CONFIDENCE, NAME, WORDS as CHUNK_WORDS, WS, _any, _chunks, _in, _list, organisations_sql
 from quern.plans.queries_text import SENTENCES, WORDS
 from quern.plans.registry import query
 
@@ -57,7 +57,7 @@ def chunk_boundary_aware(t):
     return chunks.chunk(t.documents, segments.coherent())
 
 
-PERSONS = f"""with recursive {CHUNKS}, ct as (select doc_id, at, w, {NAME} as name, row_number() over (partition by doc_id, at order by i) - 1 as i from (select doc_id, at, unnest(ws) as w, unnest(range(len(ws))) as i from (select doc_id, at, list_filter(string_split_regex(content, '{WS}'), x -> x <> '') as ws from chunk) y) z),
+PERSON_RULES = f"""ct as (select doc_id, at, w, {NAME} as name, row_number() over (partition by doc_id, at order by i) - 1 as i from (select doc_id, at, unnest(ws) as w, unnest(range(len(ws))) as i from (select doc_id, at, list_filter(string_split_regex(content, '{WS}'), x -> x <> '') as ws from chunk) y) z),
  tk as materialized (select doc_id, at, i, name, lower(name) as low, {CAPITAL} and strlen(name) >= 2 and not (strlen(name) <= 2 and lower(name) in {_in(en.SHORT)}) and regexp_matches(name, '^\\p{{Lu}}[\\p{{L}}'']*$') and (strlen(name) >= 3 or {' or '.join(f"ends_with(lower(name), '{e}')" for e in en.NAME_ENDS)} or {' or '.join("starts_with(lower(name), '" + b.replace("'", "''") + "')" for b in en.NAME_BEGINS)}) as p,
   lower(name) in {_in(ps.NO_PERSON)} as s, lower(name) in {_in(en.TITLES)} as t from ct),
  ky as (select a.doc_id, a.at, a.i from tk a join tk b on b.doc_id = a.doc_id and b.at = a.at and b.i = a.i + 1 where a.low || ' ' || b.low in {_in(ps.KNOWN)}),
@@ -76,6 +76,31 @@ PERSONS = f"""with recursive {CHUNKS}, ct as (select doc_id, at, w, {NAME} as na
   union all select doc_id, at, i, name, 'one' from pr where q = m and q % 2 = 1)"""
 
 
-@query(f"{PERSONS} select doc_id, at, cast(place as integer) as place, name, rule, case rule when 'known' then cast(0.95 as double) when 'title' then cast(0.9 as double) when 'two' then cast(0.8 as double) else cast(0.6 as double) end as confidence from names")
+@query(f"with recursive {CHUNKS}, {PERSON_RULES} select doc_id, at, cast(place as integer) as place, name, rule, case rule when 'known' then cast(0.95 as double) when 'title' then cast(0.9 as double) when 'two' then cast(0.8 as double) else cast(0.6 as double) end as confidence from names")
 def extract_persons(t):
     return ps.persons(_chunks(t))
+
+
+EXTRACTED = f"""{CHUNK_WORDS}, {PERSON_RULES}, {organisations_sql('chunk', 'content', 'doc_id, at')}, every as (select doc_id, at, name, 'CONCEPT' as kind, case when {_any('name', en.CONCEPTS)} then cast(0.75 as double) when {CAPITAL} and strlen(w) > 4 and lower(name) not in {_in(en.COMMON)} then cast(0.6 as double) end as c from cw
+ union all select doc_id, at, name, 'PERSON', case rule when 'known' then cast(0.95 as double) when 'title' then cast(0.9 as double) when 'two' then cast(0.8 as double) else cast(0.6 as double) end from names
+ union all select doc_id, at, name, kind, {CONFIDENCE} from (select *, 'ORGANIZATION' as kind from org) x
+ union all select * from (select doc_id, at, unnest({_list(en.EVENTS)}) as name, 'EVENT', cast(0.7 as double) from chunk) x where exists (select 1 from chunk k where k.doc_id = x.doc_id and k.at = x.at and contains(lower(k.content), x.name))
+ union all select * from (select doc_id, at, unnest({_list(en.OBJECTS)}) as name, 'OBJECT', cast(0.65 as double) from chunk) x where exists (select 1 from chunk k where k.doc_id = x.doc_id and k.at = x.at and contains(lower(k.content), x.name))
+ union all select * from (select doc_id, at, unnest({_list(en.LOCATIONS)}) as name, 'LOCATION', cast(0.9 as double) from chunk) x where exists (select 1 from chunk k where k.doc_id = x.doc_id and k.at = x.at and contains(k.content, x.name))),
+ x as (select doc_id, at, name, kind, max(c) as confidence from every where c >= 0.5 group by 1, 2, 3, 4)"""
+
+
+@query(f"with recursive {EXTRACTED} select name, kind as entity_type, count(*) as rows, max(confidence) as confidence from x group by 1, 2")
+def dedupe_entities(t):
+    """All extracted entities of all chunks by name and type."""
+    return en.dedupe(ps.extract(_chunks(t)))
+
+
+@query(f"with recursive {EXTRACTED} select kind || '_' || lower(name) as id, min(name) as name, count(*) as rows, max(confidence) as confidence from x group by 1")
+def dedupe_entities_ci(t):
+    return en.dedupe(ps.extract(_chunks(t)), any_case=True)
+
+
+@query(f"with recursive {EXTRACTED} select kind as entity_type, count(*) as mentions, count(distinct name) as names, round(cast(sum(cast(confidence as decimal(18, 6))) as double) / count(*), 6) as mean_confidence from x group by 1")
+def ner_dataset_stats(t):
+    return ps.extract(_chunks(t)).groupBy("entity_type").agg(F.count("*").alias("mentions"), F.countDistinct("name").alias("names"), F.round(F.sum(F.col("confidence").cast("decimal(18,6)")).cast("double") / F.count("*"), 6).alias("mean_confidence"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quern.functions import similarity
 from quern.functions import text as tx
-from quern.operators import concepts, corpus, graph, layout, linking, metrics, retrieval, temporal, tree
+from quern.operators import concepts, corpus, graph, layout, linking, metrics, persons, retrieval, temporal, tree
 from quern.operators import entities as en
+from quern.plans import catalog
 from quern.runtime import hot_keys, replicate_join, shared_dir, stage
 from quern.sources import stores
 
@@ -99,7 +100,7 @@ def test_extractors(spark):
     assert names(en.organisations(df)) == ["Corp", "University of Athens"]
     assert names(en.dictionary(df, en.EVENTS, 0.7)) == ["war"] and names(en.dictionary(df, en.LOCATIONS, 0.5, any_case=False)) == ["Paris"]
     assert "Theory" in names(en.concepts(df)) and "Anna" in names(en.generic(df)) and "The" not in names(en.generic(df, least=2))
-    found = {(r.name, r.entity_type): r.confidence for r in en.extract(df).collect()}
+    found = {(r.name, r.entity_type): r.confidence for r in persons.extract(df).collect()}
     assert found["Theory", "CONCEPT"] == 0.75 and found["Paris", "LOCATION"] == pytest.approx(0.9) and found["University of Athens", "ORGANIZATION"] == pytest.approx(0.8)
     m = en.mentions(rows(spark, [(1, "anna (anna) annanna", "anna"), (2, "x", "anna"), (3, "a.b.a.b", "a.b")], "doc_id long, text string, name string"))
     assert sorted((r.doc_id, r.start, r.end) for r in m.collect()) == [(1, 0, 4), (1, 6, 10), (1, 12, 16), (3, 0, 3), (3, 4, 7)]
@@ -164,13 +165,25 @@ def test_label_communities_are_better_than_single_nodes(spark):
     assert m(labels) > 0.4 > m(single)
 
 
-def test_vector_ann_recall(spark):
-    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    asked = v.where("vec_id % 20 = 0")
-    exact = {(r.query_id, r.vec_id) for r in retrieval.batch_search(v, asked, k=10).collect()}
-    near = {(r.query_id, r.vec_id) for r in retrieval.vector_ann(v, asked, k=10, cells=8, probes=6).collect()}
+@pytest.mark.parametrize("scale", ["0.001", "0.01", "0.1"])
+def test_vector_ann_recall(spark, scale):
+    """With the registered query's own parameters."""
+    v = spark.read.parquet(f"/root/testdata/sf{scale}/embeddings.parquet")
+    exact = {(r.query_id, r.vec_id) for r in retrieval.batch_search(v, v.where("vec_id % 20 = 0"), k=10).collect()}
+    near = {(r.query_id, r.vec_id) for r in catalog.queries()["vector_ann"](spark, f"/root/testdata/sf{scale}").collect()}
     assert len(exact & near) / len(exact) >= 0.9
-    assert retrieval.vector_ann(v.limit(0), asked.limit(0)).count() == 0
+
+
+def test_vectors_that_take_no_part(spark):
+    schema = "vec_id long, embedding array<float>, score string"
+    good = [(i, [float(i % 7 + 1), float(i % 5), 1.0], "clash") for i in range(40)] + [(3, [9.0, 1.0, 1.0], "twice"), (90, [0.0, 0.0, 0.0], "zero")]
+    odd = [(50, None, ""), (51, [1.0, None, 2.0], ""), (52, [1.0], ""), (53, [], ""), (None, [1.0, 1.0, 1.0], "")]
+    told = lambda df: sorted((r.query_id, r.vec_id, r.score, r["rank"]) for r in df.collect())
+    clean, every = rows(spark, good, schema), rows(spark, good + odd, schema)
+    assert told(retrieval.batch_search(every, every, k=3)) == told(retrieval.batch_search(clean, clean, k=3, block=7, part=9))
+    assert {q for q, *_ in told(retrieval.vector_ann(every, every, k=3))} <= {g[0] for g in good}
+    for search in (retrieval.batch_search, retrieval.vector_ann):
+        assert search(every.limit(0), every).count() == 0 and search(every, every.limit(0)).count() == 0
 
 
 def test_stores(spark):
