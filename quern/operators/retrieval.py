@@ -80,24 +80,25 @@ def vector_search(vectors: DataFrame, query: list[float], key: str = "vec_id", v
     return scored if k is None else scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def usable(vectors: DataFrame, key: str, vector: str, width: int | None = None) -> tuple[DataFrame, int]:
+def usable(vectors: DataFrame, key: str, vector: str, width: int | None = None, keep: list[str] = []) -> tuple[DataFrame, int]:
     """Rows with an id and a vector of the most common width (or the given one) without nulls, and that width; others take no part."""
     own = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
     if width is None:
         width = own.agg(F.mode(F.size(vector), deterministic=True)).collect()[0][0] or 0
-    return own.where(F.size(vector) == width).select(key, vector), width
+    return own.where(F.size(vector) == width).select(key, vector, *keep), width
 
 
-def batch_search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, block: int = 1024, part: int = 8192) -> DataFrame:
+def batch_search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, block: int = 1024, part: int = 8192, bonus: str | None = None) -> DataFrame:
     """(query_id, key, score, rank): the k nearest others of each query. Parts of the vectors meet blocks of the queries, each pair
     in a task of its own by one matrix product, and keep k of each query; the plan is the same whatever the number of queries.
 
-    Rows without an id or a vector, with a null in it or of another width than most take no part; a zero vector is like none (0).
+    bonus: a column of numbers that are added to a vector's likeness. Rows without an id or a vector, with a null in it or of another width than most take no part; a zero vector is like none (0).
     """
     import numpy as np
     import pandas as pd
 
-    index, width = usable(vectors, key, vector)
+    more = F.lit(0.0) if bonus is None else F.coalesce(F.col(bonus), F.lit(0.0))
+    index, width = usable(vectors.withColumn("_bonus", more), key, vector, keep=["_bonus"])
     asked, _ = usable(queries, key, vector, width)
     parts, blocks = max(1, -(-index.count() // part)), max(1, -(-asked.count() // block))
     place = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
@@ -112,7 +113,7 @@ def batch_search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", ve
     def best(own: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": some[key][:0], key: own[key][:0], "score": np.zeros(0)})]
         if len(own) and len(some):
-            keys, sims = own[key].to_numpy(), np.round(unit(some[vector]) @ unit(own[vector]).T, 6)
+            keys, sims = own[key].to_numpy(), np.round(unit(some[vector]) @ unit(own[vector]).T + own["_bonus"].to_numpy(), 6)
             for q, row in zip(some[key], sims):
                 order = np.lexsort((keys, -row))
                 order = order[keys[order] != q][:k]
