@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.operators import chunks
+from quern.operators import summaries
 from quern.plans.registry import query
 
 WS = "[ \\t\\n\\r\\f]+"
@@ -124,23 +125,26 @@ def _levels(t):
     return t.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<h([1-6])"), F.lit(1))).alias("at", "l")).select("page_id", F.col("at").cast("long").alias("at"), F.col("l").cast("int").alias("level"))
 
 
-SCORES = SENTENCES + f""", sc as (select doc_id, at, s, len({WORDS.format('s')}) as n, count(*) over (partition by doc_id) as total from sent),
- score as (select doc_id, at, round(0.3 * (case when at = 1 then 2.0 when at = total then 1.5 else 1 - 0.5 * (at - 1) / cast(total as double) end) + 0.2 * (case when n < 5 then 0.3 when n > 40 then 0.5 when n between 10 and 25 then 1.0 else 0.7 end), 6) as score, s from sc)"""
-
-
-def _sentence_scores(t):
-    s = _sentences(t).withColumn("n", tx.word_count(F.col("s"))).withColumn("total", F.count("*").over(Window.partitionBy("doc_id")))
-    place = F.when(F.col("at") == 1, 2.0).when(F.col("at") == F.col("total"), 1.5).otherwise(1 - 0.5 * (F.col("at") - 1) / F.col("total"))
-    size = F.when(F.col("n") < 5, 0.3).when(F.col("n") > 40, 0.5).when(F.col("n").between(10, 25), 1.0).otherwise(0.7)
-    return s.select("doc_id", "at", "s", F.round(0.3 * place + 0.2 * size, 6).alias("score"))
+_stop = "(" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")"
+SCORES = f"""sp as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])', '\\1' || chr(1), 'g'), chr(1)), x -> regexp_replace(x, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')), x -> strlen(x) > 5) as e from documents),
+ ss as materialized (select doc_id, len(e) as total, unnest(e) as s, unnest(range(1, len(e) + 1)) as at from sp), sv as (select *, {WORDS.format('s')} as w from ss),
+ cw as (select doc_id, at, regexp_replace(lower(unnest(w)), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') as word from sv), ow as (select doc_id, at, count(*) over (partition by doc_id, word) as often from cw where word <> '' and word not in {_stop}), oa as (select doc_id, at, sum(often) / cast(count(*) as double) as often from ow group by 1, 2),
+ score as (select doc_id, at, total, s, strlen(s) as bytes, round(0.3 * (case when at = 1 then 2.0 when at = total then 1.5 else 1 - 0.5 * (at - 1) / cast(total as double) end) + 0.2 * (case when len(w) < 5 then 0.3 when len(w) > 40 then 0.5 when len(w) between 10 and 25 then 1.0 else 0.7 end)
+  + 0.3 * least(coalesce(often, 0) / 3, 1) + 0.1 * len(list_filter(w, x -> regexp_matches(x, '^\\p{{Lu}}') and strlen(x) > 2 and lower(x) not in {_stop})) / cast(greatest(len(w), 1) as double) + 0.1 * least(0.3 * len(list_filter(w, x -> regexp_matches(x, '\\p{{N}}'))), 1), 6) as score from sv left join oa using (doc_id, at))"""
 
 
 @query(f"with {SCORES}, top as (select *, row_number() over (partition by doc_id order by score desc, at) as rn from score) select doc_id, md5(string_agg(s, ' ' order by at)) as summary_md5 from top where rn <= 3 group by 1")
 def summarize_top_n(t):
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "at")
-    top = _sentence_scores(t).withColumn("rn", F.row_number().over(w)).where("rn <= 3")
-    picked = top.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "s"))).alias("x"))
-    return picked.select("doc_id", F.md5(F.array_join(F.transform("x", lambda y: y["s"]), " ")).alias("summary_md5"))
+    return summaries.best_sentences(t.documents, 3).select("doc_id", F.md5("summary").alias("summary_md5"))
+
+
+@query(f"""with recursive {SCORES}, arr as materialized (select doc_id, list({{'at': at, 's': s, 'n': bytes}} order by score desc, at) as q from score group by 1),
+ f(doc_id, i, held, taken) as (select doc_id, 0, cast(0 as bigint), cast([] as bigint[]) from arr union all select f.doc_id, i + 1, case when held + q[i + 1].n < 500 then held + q[i + 1].n + 1 else held end, case when held + q[i + 1].n < 500 then list_append(taken, q[i + 1].at) else taken end from f join arr on arr.doc_id = f.doc_id where i < len(q) and held < 450),
+ last as (select doc_id, arg_max(taken, i) as taken from f group by 1), p as (select doc_id, q, case when len(taken) = 0 then [q[1].at] else taken end as taken from last join arr using (doc_id)), j as (select doc_id, array_to_string(list_transform(list_sort(list_filter(q, x -> list_contains(taken, x.at))), x -> x.s), ' ') as summary, q from p)
+ select doc_id, md5(case when len(q) = 1 and q[1].n > 500 then regexp_replace(substring(q[1].s, 1, 497), '[ \\t\\n\\r\\f]+[^ \\t\\n\\r\\f]*$', '') || '...' else summary end) as summary_md5 from j""")
+def summarize_extractive(t):
+    """The best sentences of each document within 500 bytes."""
+    return summaries.summarize(t.documents).select("doc_id", F.md5("summary").alias("summary_md5"))
 
 
 # entities of texts: capitalised words -----------------------------------------------------------------
