@@ -125,11 +125,12 @@ def entity_id(kind: Column, name: Column) -> Column:
 def mentions(names: DataFrame, text: str = "text", name: str = "name") -> DataFrame:
     """(keys..., name, start, end): non-overlapping occurrences of each row's name in its text, in characters."""
     keys = [c for c in names.columns if c not in (text, name)]
-    parts = F.split(F.col(text), F.concat(F.lit("\\Q"), F.col(name), F.lit("\\E")), -1)
-    each = names.where(F.length(name) > 0).select(*keys, name, F.posexplode(F.transform(parts, F.length)).alias("k", "n"))
-    w = Window.partitionBy(*keys, name).orderBy("k")
-    at = each.withColumn("start", F.sum("n").over(w) + F.col("k") * F.length(name)).withColumn("last", F.max("k").over(Window.partitionBy(*keys, name)))
-    return at.where("k < last").select(*keys, name, "start", (F.col("start") + F.length(name)).alias("end"))
+    own = names.select(F.struct(*[F.col(c) for c in keys]).alias("keys"), F.col(name).alias("own"), F.col(text).alias("whole")).where((F.length("own") > 0) & F.contains("whole", F.col("own")))
+    quoted = F.concat(F.lit("\\Q"), F.replace("own", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    each = own.select("keys", "own", F.posexplode(F.transform(F.split("whole", quoted, -1), F.length)).alias("k", "n"))
+    w = Window.partitionBy("keys", "own").orderBy("k")
+    at = each.withColumn("start", F.sum("n").over(w) + F.col("k") * F.length("own")).withColumn("last", F.max("k").over(Window.partitionBy("keys", "own")))
+    return at.where("k < last").select(*[F.col(f"keys.{c}").alias(c) for c in keys], F.col("own").alias(name), "start", (F.col("start") + F.length("own")).alias("end"))
 
 
 def pattern_filter(entities: DataFrame, allowed: list[str], excluded: list[str], name: str = "name") -> DataFrame:

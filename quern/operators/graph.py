@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import vector as vx
+from quern.operators.push import shares, weighted
 from quern.runtime import stage
 
 
@@ -132,16 +133,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
 
     seeds (id, p) are normalised to sum 1; without them every node is one. Rounds end once no rank moves by
     the tolerance. A round shuffles one row for each edge and node, and writes the ranks; one look at them
-    tells both the dangling mass and how far they moved.
+    tells both the dangling mass and how far they moved. Edges with a null end or a weight that isn't above 0 are none.
     """
     base = nodes.select(F.col("id").alias("node"))
     if seeds is None:
         start = base.withColumn("r", F.lit(1.0 / max(1, base.count())))
     else:
         total = seeds.agg(F.sum("p")).collect()[0][0] or 1.0
-        start = base.join(seeds.select(F.col("id").alias("node"), (F.col("p") / F.lit(total)).alias("r")), "node", "left").na.fill({"r": 0.0})
-    sums = edges.groupBy("source", "target").agg(F.sum(weight).alias("w"))
-    out = stage(sums.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("source"))).select("source", "target", "share"), "shares")
+        start = base.join(seeds.groupBy(F.col("id").alias("node")).agg((F.sum("p") / F.lit(total)).alias("r")), "node", "left").na.fill({"r": 0.0})
+    out = stage(shares(stage(weighted(edges, weight).groupBy("source", "target").agg(F.sum("w").alias("w")), "weights")).select("source", "target", "share"), "shares")
     start = start.join(out.select(F.col("source").alias("node")).distinct().withColumn("out", F.lit(True)), "node", "left")
     now = stage(start.select("node", "r", F.col("out").isNull().alias("dangling"), F.col("r").alias("rank"), F.lit(1.0).alias("moved")), "ranks")
     for i in range(rounds + 1):

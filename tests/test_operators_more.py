@@ -104,6 +104,8 @@ def test_extractors(spark):
     assert found["Theory", "CONCEPT"] == 0.75 and found["Paris", "LOCATION"] == pytest.approx(0.9) and found["University of Athens", "ORGANIZATION"] == pytest.approx(0.8)
     m = en.mentions(rows(spark, [(1, "anna (anna) annanna", "anna"), (2, "x", "anna"), (3, "a.b.a.b", "a.b")], "doc_id long, text string, name string"))
     assert sorted((r.doc_id, r.start, r.end) for r in m.collect()) == [(1, 0, 4), (1, 6, 10), (1, 12, 16), (3, 0, 3), (3, 4, 7)]
+    odd = en.mentions(rows(spark, [(1, "a\\Eb a\\Eb", "a\\Eb"), (2, None, "x"), (3, "x", None), (4, "x", "")], "k long, n string, start string").toDF("k", "text", "name"))
+    assert sorted((r.k, r.start, r.end) for r in odd.collect()) == [(1, 0, 4), (1, 5, 9)]
     word = lambda w: spark.range(1).select(en.person_word(F.lit(w)).alias("v")).head().v
     assert word("Anna") and word("O'Connor") and word("De") and not word("It") and not word("anna") and not word("A1")
     kind = lambda f, n: spark.range(1).select(f(F.lit(n)).alias("v")).head().v
@@ -186,6 +188,16 @@ def test_vectors_that_take_no_part(spark):
         assert search(every.limit(0), every).count() == 0 and search(every, every.limit(0)).count() == 0
 
 
+def test_pagerank_without_weights(spark):
+    """A node whose weights sum to nothing is dangling; null ends are no edges, seeds of one node add up."""
+    g = edges(spark, [("A", "B", 0.0), ("A", "C", 0.0), ("B", "C", 1.0), (None, "A", 1.0), ("C", None, 1.0)])
+    nodes = rows(spark, [(x,) for x in "ABC"], "id string")
+    ranks = {r["node"]: r["rank"] for r in graph.pagerank(nodes, g).collect()}
+    assert set(ranks) == set("ABC") and sum(ranks.values()) == pytest.approx(1, abs=1e-5) and ranks["C"] > ranks["A"] == pytest.approx(ranks["B"], abs=1e-5)
+    seeded = graph.pagerank(nodes, g, rows(spark, [("A", 1.0), ("A", 1.0), ("B", 2.0)], "id string, p double")).collect()
+    assert len(seeded) == 3 and sum(r["rank"] for r in seeded) == pytest.approx(1, abs=1e-5)
+
+
 def test_stores(spark):
     v = lambda *ids: rows(spark, [(i, [float(i), 1.0]) for i in ids], "id long, embedding array<float>")
     one = stores.VectorStore(spark).add(v(1, 2)).add(rows(spark, [(2, [9.0, 9.0])], "id long, embedding array<float>")).commit()
