@@ -363,4 +363,5 @@ def answer_confidence(base, answer, names: list[str]):
 def multimodal(vector: DataFrame, rank: DataFrame, vector_weight: float = 0.3, rank_weight: float = 0.4) -> DataFrame:
     """(id, score): .3 x vector score + .4 x PageRank; what either lacks counts 0."""
     both = vector.select("id", F.col("score").alias("v")).join(rank.select("id", F.col("score").alias("p")), "id", "full")
-    return both.select("id", F.round(vector_weight * F.coalesce("v", F.lit(0.0)) + rank_weight * F.coalesce("p", F.lit(0.0)), 6).alias("score"))
+    part = lambda c, w: F.coalesce(F.col(c), F.lit(0.0)).cast("decimal(18,6)") * F.lit(w).cast("decimal(4,2)")  # noqa: E731  exact, so that halves round alike
+    return both.select("id", F.round(part("v", vector_weight) + part("p", rank_weight), 6).cast("double").alias("score"))

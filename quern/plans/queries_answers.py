@@ -34,7 +34,7 @@ def hybrid_finalise(t):
     return rt.finalise(rt.fuse([name(a, "chunk:"), name(b, "entity:")], [1, 1], "combsum", k=None))
 
 
-@query(lists_sql("select coalesce(a.id, b.id) as id, round(0.3 * coalesce(a.score, 0) + 0.4 * coalesce(b.score, 0), 6) as score from a full join b on a.id = b.id"))
+@query(lists_sql("select coalesce(a.id, b.id) as id, cast(round(cast(0.3 as decimal(4, 2)) * cast(coalesce(a.score, 0) as decimal(18, 6)) + cast(0.4 as decimal(4, 2)) * cast(coalesce(b.score, 0) as decimal(18, 6)), 6) as double) as score from a full join b on a.id = b.id"))
 def multimodal_score(t):
     return rt.multimodal(*_lists(t))
 

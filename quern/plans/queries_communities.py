@@ -81,12 +81,12 @@ def _features(t):
 
 def _sage_sql(near: str) -> str:
     layer = lambda i: f"w{i} as (select node, exp(sum(x)) as w from f{i} group by 1), n{i} as (select e.source as node, d, {near} as x from e join f{i} f on f.node = e.target join w{i} w on w.node = f.node group by 1, 2), f{i + 1} as materialized (select f.node, f.d, (f.x + coalesce(n.x, 0)) / 2 as x from f{i} f left join n{i} n on n.node = f.node and n.d = f.d)"
-    return f"{G}, {FEATURES}, {layer(0)}, {layer(1)} select node, cast(d - 1 as integer) as place, round(x, 6) as value from f2"
+    return f"{G}, {FEATURES}, {layer(0)}, {layer(1)} select node, cast(d - 1 as integer) as place, round(x, 6) + cast(0 as double) as value from f2"  # no negative zeros
 
 
 def _sage(t, kind: str):
     made = graph_features.graphsage(*_features(t), kind=kind, fan_out=(None, None))
-    return made.select("node", F.posexplode("vector").alias("place", "value")).select("node", "place", F.round("value", 6).alias("value"))
+    return made.select("node", F.posexplode("vector").alias("place", "value")).select("node", "place", (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
 @query(_sage_sql("avg(f.x)"))

@@ -29,7 +29,7 @@ def duck():
 
 
 def _same(v):
-    return round(v, 5) + 0.0 if isinstance(v, float) else v
+    return round(v, 6) + 0.0 if isinstance(v, float) else v
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
