@@ -19,8 +19,8 @@ the others then keep their hash order, which is as much a common order, so resul
 
 Defined cases: a null or empty text, or one without words, has an empty set and is alone; fewer than five
 words are one shingle; a null id is alone with a null component; rows with equal sets are one class;
-repeated ids with other texts each follow their own text; an empty table gives an empty table; other
-columns are not read; a very long text is one set, held whole in one worker at a time.
+ids are taken to be unique: rows that share an id with other texts keep their own n_shingles, but their
+texts' links may meet in one component; an empty table gives an empty table; other columns are not read; a very long text is one set, held whole in one worker at a time.
 """
 
 from __future__ import annotations
