@@ -32,7 +32,10 @@ def tokens(text: Column) -> Column:
     """Of each word: its bare name, and whether it could be of a person (p), no person's (s) or a title (t)."""
 
     def told(word: Column) -> Column:
-        name = en.bare(word)
+        name = F.when(word.rlike("[^a-z]"), en.bare(word)).otherwise(word)  # most words are bare already
+        return tx.let(name, lambda name: told_of(word, name))
+
+    def told_of(word: Column, name: Column) -> Column:
         return F.struct(name.alias("name"), (en.capital(word) & en.person_word(name)).alias("p"), F.lower(name).isin(NO_PERSON).alias("s"), F.lower(name).isin(en.TITLES).alias("t"))
 
     return F.transform(tx.words(text), told)
@@ -48,7 +51,7 @@ def taken(lengths: Column) -> Column:
 
 def without(words: Column, spans: Column) -> Column:
     """The words, null where a match has taken them."""
-    return F.transform(words, lambda w, i: F.when(~F.exists(spans, lambda x: (i >= x["place"]) & (i < x["place"] + x["length"])), w))
+    return F.when(F.size(spans) == 0, words).otherwise(F.transform(words, lambda w, i: F.when(~F.exists(spans, lambda x: (i >= x["place"]) & (i < x["place"] + x["length"])), w)))
 
 
 def applied(state: Column, rule: str, lengths, skip: int = 0) -> Column:
