@@ -1,5 +1,6 @@
 """Operators that SQL doesn't express, against brute force or by hand on small fixtures."""
 
+import itertools
 import random
 import re
 
@@ -11,7 +12,7 @@ from quern.functions import similarity
 from quern.functions import text as tx
 from quern.operators import concepts, corpus, graph, layout, linking, metrics, persons, retrieval, temporal, tree
 from quern.operators import entities as en
-from quern.plans import catalog
+from quern.plans import catalog, queries_more
 from quern.runtime import hot_keys, replicate_join, shared_dir, stage
 from quern.sources import stores
 
@@ -259,3 +260,20 @@ def test_trees_and_metrics(spark):
     assert (h.n, h.p50, h.p95, h.p99) == (5, 2.0, 9.0, 9.0)
     match = lambda a, b: spark.range(1).select(tx.edit_name_match(F.lit(a), F.lit(b)).alias("v")).head().v
     assert match("Tom Sawyer", "Tom") and match("Huck Finn", "Mick Finn") and match("Becky", "Bekky Thatcher") is False and match("Aunt Polly", "Aunt Poly")
+
+
+@pytest.mark.parametrize("name", ["levenshtein_similarity", "jaccard_tokens", "jaro_winkler", "soundex_phonetic", "fuzzy_text_similarity", "name_similarity_logic", "string_similarity_contain"])
+def test_a_pair_of_names_is_scored_once(spark, tmp_path, monkeypatch, name):
+    names = ["red ring", "Red ring", "red", "", None, "blue bolt", "bolt"]
+    rows = [(i, names[i * i % 11 % 7], f"b{i % 2}", "t" if i % 13 else None) for i in range(200)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    seen = []
+    monkeypatch.setattr(queries_more, "_pairs", lambda p, x, *rest, own=queries_more._pairs: seen.append(x) or own(p, x, *rest))
+    monkeypatch.setattr(queries_more, "TASK", 1000)  # blocks are dealt out
+    made = catalog.queries()[name](spark, str(tmp_path))
+    told = lambda df: sorted(map(repr, df.collect()))
+    got = told(made)
+    assert seen == ["n"] and made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    monkeypatch.setattr(queries_more, "REPEATED", 1e9)
+    assert told(catalog.queries()[name](spark, str(tmp_path))) == got and seen == ["n", "p_name"]
+    assert len(got) == sum(a[2] == b[2] and a[3] == b[3] == "t" for a, b in itertools.combinations(rows, 2))
