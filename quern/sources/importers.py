@@ -130,12 +130,37 @@ def corpus_folder(spark: SparkSession, path: str) -> DataFrame:
     return f.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("kind"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("content"))
 
 
-def write_files(df: DataFrame, folder: str) -> None:
-    """Writes rows (name, text) as files of a folder, one after another from the driver: for a few thousand files."""
+def write_files(df: DataFrame, folder: str, each: int = 500) -> None:
+    """Writes rows (name, text) as files of a folder, about `each` by a task. A file is written beside the folder and then moved in, so
+    a task that is tried again leaves no half file. Names are unique and without slashes; the folder is there even without rows."""
+    aside = f"{folder.rstrip('/')}-unfinished"
+
+    def run(batches):
+        import uuid
+
+        import pyarrow.fs as pafs
+
+        def opened(path: str):  # Spark's names for a store count as Arrow's
+            scheme, found, rest = path.partition("://")
+            if found:
+                return pafs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else path)
+            return pafs.LocalFileSystem(), path.removeprefix("file:")
+
+        (fs, root), (_, other) = opened(folder), opened(aside)
+        for path in (root, other):
+            fs.create_dir(path, recursive=True)
+        for batch in batches:
+            for name, text in zip(batch["name"], batch["text"]):
+                made = f"{other}/{uuid.uuid4().hex}"
+                with fs.open_output_stream(made, compression=None) as out:
+                    out.write((text or "").encode())
+                fs.move(made, f"{root}/{name}")
+            yield batch[["name"]]
+
     spark = df.sparkSession
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for row in df.select("name", F.encode("text", "UTF-8").alias("data")).toLocalIterator():
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{row['name']}")
-        out = path.getFileSystem(conf).create(path, True)
-        out.write(bytearray(row["data"]))
-        out.close()
+    path = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    path(folder).getFileSystem(conf).mkdirs(path(folder))
+    dealt = df.select("name", "text").repartition(max(1, -(-df.count() // each)), "name")
+    dealt.mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
+    path(aside).getFileSystem(conf).delete(path(aside), True)

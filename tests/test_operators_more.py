@@ -14,7 +14,7 @@ from quern.operators import concepts, corpus, graph, layout, linking, metrics, p
 from quern.operators import entities as en
 from quern.plans import catalog, queries_more
 from quern.runtime import hot_keys, replicate_join, shared_dir, stage
-from quern.sources import stores
+from quern.sources import importers, stores
 
 
 def rows(spark, values, schema):
@@ -277,3 +277,12 @@ def test_a_pair_of_names_is_scored_once(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(queries_more, "REPEATED", 1e9)
     assert told(catalog.queries()[name](spark, str(tmp_path))) == got and seen == ["n", "p_name"]
     assert len(got) == sum(a[2] == b[2] and a[3] == b[3] == "t" for a, b in itertools.combinations(rows, 2))
+
+
+def test_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    texts = {f"{i}.html": "é" * i for i in range(30)} | {"none.txt": None}
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda *a, **k: pytest.fail("files go through the driver"))
+    importers.write_files(rows(spark, list(texts.items()), "name string, text string"), f"{tmp_path}/made", each=10)
+    assert {p.name: p.read_bytes() for p in (tmp_path / "made").iterdir()} == {n: (x or "").encode() for n, x in texts.items()} and {p.name for p in tmp_path.iterdir()} == {"made"}
+    importers.write_files(rows(spark, [], "name string, text string"), f"{tmp_path}/empty")
+    assert importers.corpus_folder(spark, f"{tmp_path}/empty").count() == 0
