@@ -39,3 +39,21 @@ def test_pagerank_without_cycles_needs_no_rounds(spark):
     made = graph.pagerank(spark.createDataFrame([(n,) for n in nodes], "id string"), spark.createDataFrame(edges, "source string, target string, confidence double"), spark.createDataFrame([("p0", 3.0), ("p4", 1.0)], "id string, p double"))
     assert abs(sum(r["rank"] for r in made.collect()) - 1) < 1e-9
     assert len(staged(spark)) - before < 25
+
+
+def test_sums_over_all_pairs_equal_those_of_all_paths(spark):
+    """A cycle with trees on it, a tree alone, two nodes alone; the core has only the cycle's nodes, not all pairs."""
+    rows = [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("d", "a", 1.0), ("a", "t1", 0.5), ("t1", "t2", 2.0), ("t1", "t3", 0.7), ("c", "u1", 0.3), ("x", "y", 1.0), ("y", "z", 2.0), ("y", "w", 0.5), ("w", "v", 1.0), ("p", "q", 4.0), ("t2", "t1", 3.0)]
+    edges = spark.createDataFrame(rows, "source string, target string, confidence double")
+    paths = graph.shortest_paths(edges, spark.createDataFrame([(n,) for n in sorted({n for r in rows for n in r[:2]})], "id string"))
+    told = lambda df: sorted(tuple(r) for r in df.collect())
+    assert told(graph.closeness_of_all(edges)) == told(graph.closeness(paths))
+    assert told(graph.betweenness_of_all(edges)) == told(graph.betweenness(paths))
+    assert graph.Stripped(edges).paths.count() == 4 * 4 + 2
+
+
+def test_triangles_make_no_pairs_of_a_small_node_s_neighbours(spark):
+    """Ten leaves that all see the same four hubs, and hubs of which two are neighbours: a path for each leaf, not six pairs."""
+    rows = [(f"leaf{i}", f"hub{j}") for i in range(10) for j in range(4)] + [("hub0", "hub1")]
+    made = graph.clustering(spark.createDataFrame(rows, "source string, target string"))
+    assert {r["node"]: r["coefficient"] for r in made.collect()} == {**{f"leaf{i}": 0.166667 for i in range(10)}, **{f"hub{j}": 0.181818 if j < 2 else 0.0 for j in range(4)}}
