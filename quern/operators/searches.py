@@ -47,6 +47,44 @@ def community_based(asks: DataFrame, entities: DataFrame, edges: DataFrame, k: i
     return best.select(F.col("query_id").alias("ask_id"), "id", "score").join(entities.select("id", "name"), "id").select("ask_id", "id", "name", "score", F.lit("community").alias("strategy"))
 
 
+def first_of(rows: DataFrame, keys: list[str], order: list, spread: str, most: int) -> DataFrame:
+    """The first `most` rows of each key; partial ones first, so that no task sorts a hub's rows."""
+    for by in ([*keys, F.pmod(F.xxhash64(spread), F.lit(64))], keys):
+        rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rn") <= most)
+    return rows
+
+
+def entity_best(asks: DataFrame, entities: DataFrame, edges: DataFrame, types: DataFrame, most: int) -> DataFrame:
+    """What entity_centric finds, of which no question's `most` best of each strategy are missing.
+
+    Under one name and relation type a greater confidence never scores less, so the first `most` targets by confidence and id are
+    taken once for a name, however many ask it. Rounding may make unlike confidences equal, and then ids decide: where
+    the last one taken scores no more than the next confidence would, that question goes through all targets.
+    """
+    low = F.lower("name").alias("low")
+    asked = stage(asks.where("name is not null").select("ask_id", low, "vector"), "asked")
+    names = stage(entities.where("name is not null").select(low, F.col("id").alias("source"), "name").join(asked.select("low").distinct(), "low", "left_semi"), "named")
+    own = first_of(names, ["low"], ["source"], "source", most).select("low", F.col("source").alias("id"), "name")
+    own = asked.select("ask_id", "low").join(own, "low").select("ask_id", "id", "name", F.lit(EXACT).alias("score"), F.lit("entity").alias("strategy"))
+    step = edges.select("source", "target", "relation_type", "confidence").join(names.select("source", "low"), "source")
+    reached = step.groupBy("low", "relation_type", "target").agg(F.max("confidence").alias("confidence")).join(entities.select(F.col("id").alias("target"), "name"), "target")
+    reached = stage(reached, "reached")
+    firsts = stage(first_of(reached, ["low", "relation_type"], [F.desc("confidence"), "target"], "target", most), "firsts")
+    lists = firsts.groupBy("low", "relation_type").agg(F.min("confidence").alias("last"), F.collect_list(F.struct("target", "name", "confidence")).alias("found"))
+    under = reached.join(lists.select("low", "relation_type", "last"), ["low", "relation_type"]).where("confidence < last").groupBy("low", "relation_type").agg(F.max("confidence").alias("next"))
+    lists = stage(lists.join(under, ["low", "relation_type"], "left"), "lists")
+    like = F.coalesce(vx.cosine(F.col("vector"), F.col("of_type")), F.lit(0.0))
+    met = asked.join(lists.join(F.broadcast(types.limit(10_000).withColumnRenamed("vector", "of_type")), "relation_type", "left"), "low")  # kinds of relations, not relations
+    met = met.select("ask_id", "low", "relation_type", "last", "next", "found", (1 + like).alias("like"))
+    score = lambda c: F.round(NEAR * c * F.col("like"), 6)
+    # a weight of fusion may round once more: scores nearer than .0001 count as equal
+    all_of = F.coalesce(score(F.col("last")) - score(F.col("next")) < 1e-4, F.lit(False))
+    each = met.where(~all_of).select("ask_id", "like", F.explode("found").alias("x")).select("ask_id", F.col("x.target").alias("id"), F.col("x.name").alias("name"), score(F.col("x.confidence")).alias("score"))
+    rest = met.where(all_of).select("ask_id", "low", "relation_type", "like").join(reached, ["low", "relation_type"]).select("ask_id", F.col("target").alias("id"), "name", score(F.col("confidence")).alias("score"))
+    near = each.unionByName(rest).groupBy("ask_id", "id").agg(F.max_by("name", "score").alias("name"), F.max("score").alias("score"))
+    return own.unionByName(near.select("ask_id", "id", "name", "score", F.lit("neighbour").alias("strategy")))
+
+
 def best_results(results: DataFrame, most: int) -> DataFrame:
     """(ask_id, found): each question's `most` best results (score, id, name), one for each id, the best first; partial tops come first."""
     one = results.groupBy("ask_id", "id").agg(F.max_by("name", "score").alias("name"), F.max("score").alias("score"))
@@ -71,13 +109,13 @@ def adaptive_fusion(results: DataFrame, k: int = 10, pool: int = 200) -> DataFra
     return chosen.select("ask_id", "place", "x.id", "x.score")
 
 
-def execute_adaptive(asks: DataFrame, entities: DataFrame, edges: DataFrame, types: DataFrame, kind: str = "entity", k: int = 10) -> DataFrame:
+def execute_adaptive(asks: DataFrame, entities: DataFrame, edges: DataFrame, types: DataFrame, kind: str = "entity", k: int = 10, pool: int = 200) -> DataFrame:
     """(ask_id, place, id, score): all searches, weighted by the kind of question, fused."""
     entity, near, community = SHARES[kind]
     weighted = lambda df, w: df.withColumn("score", F.round(F.col("score") * w, 6))
-    own = stage(entity_centric(asks, entities, edges, types), "entity-centric")
+    own = stage(entity_best(asks, entities, edges, types, pool), "entity-centric")
     parts = weighted(own.where("strategy = 'entity'"), entity).unionByName(weighted(own.where("strategy = 'neighbour'"), near))
-    return adaptive_fusion(parts.unionByName(weighted(community_based(asks, entities, edges), community)), k)
+    return adaptive_fusion(parts.unionByName(weighted(community_based(asks, entities, edges), community)), k, pool)
 
 
 def hierarchical(found: DataFrame, detail: str = "detailed") -> DataFrame:

@@ -57,3 +57,20 @@ def test_triangles_make_no_pairs_of_a_small_node_s_neighbours(spark):
     rows = [(f"leaf{i}", f"hub{j}") for i in range(10) for j in range(4)] + [("hub0", "hub1")]
     made = graph.clustering(spark.createDataFrame(rows, "source string, target string"))
     assert {r["node"]: r["coefficient"] for r in made.collect()} == {**{f"leaf{i}": 0.166667 for i in range(10)}, **{f"hub{j}": 0.181818 if j < 2 else 0.0 for j in range(4)}}
+
+
+def test_adaptive_search_reads_the_first_targets_of_a_name_only(spark):
+    """Many questions of one name: the best of each are those of the whole list, also where rounding leaves ids to decide."""
+    from quern.operators import searches
+
+    edges = spark.createDataFrame([(f"S{i}", f"T{(7 * i + j) % 60:02d}", "A" if j % 2 else "B", None if j == 5 else 0.5 + (j * 13 % 29) / 60) for i in range(2) for j in range(30)], "source string, target string, relation_type string, confidence double")
+    entities = spark.createDataFrame([(f"S{i}", "Same") for i in range(2)] + [(f"T{i:02d}", f"n{i % 9}") for i in range(60)], "id string, name string")
+    types = spark.createDataFrame([("A", [1.0, 0.0]), ("B", [0.0, 1.0])], "relation_type string, vector array<double>")
+    asks = spark.createDataFrame([("q1", "same", [1.0, 0.0]), ("q2", "SAME", [-1.0, 0.0]), ("q3", "Same", [0.3, 0.9]), ("q4", None, [1.0, 0.0])], "ask_id string, name string, vector array<double>")
+    best = searches.entity_best(asks, entities, edges, types, 6)
+    every = searches.entity_centric(asks, entities, edges, types)
+    told = lambda df: sorted(tuple(r) for r in searches.adaptive_fusion(df, 5, 6).collect())
+    assert told(best) == told(every)
+    near = {r["ask_id"]: r["n"] for r in best.where("strategy = 'neighbour'").groupBy("ask_id").count().withColumnRenamed("count", "n").collect()}
+    whole = {r["ask_id"]: r["n"] for r in every.where("strategy = 'neighbour'").groupBy("ask_id").count().withColumnRenamed("count", "n").collect()}
+    assert near["q3"] <= 12 < whole["q3"]
