@@ -113,9 +113,7 @@ def vector_ann(t):
 @query(f"select a.vec_id as a, b.vec_id as b, round({COS}, 6) as score from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where round({COS}, 6) > 0.1")
 def pairwise_similarities(t):
     """Pairs of one label's vectors with a cosine over .1: pairs are made within blocks, not of all vectors."""
-    e = t.embeddings.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), "label")
-    f = t.embeddings.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), "label")
-    return e.join(f, "label").where("a < b").select("a", "b", F.round(vx.cosine(F.col("x"), F.col("y")), 6).alias("score")).where("score > 0.1")
+    return rt.group_pairs(t.embeddings, "label", "vec_id", "embedding", 0.1)
 
 
 @query("select vec_id, len(embedding) as dims, vec_id >= 1000000 as added from (select vec_id, embedding from embeddings where vec_id % 9 <> 0 union all select vec_id + 1000000, embedding from embeddings where vec_id % 10 = 0) x")

@@ -74,3 +74,18 @@ def test_adaptive_search_reads_the_first_targets_of_a_name_only(spark):
     near = {r["ask_id"]: r["n"] for r in best.where("strategy = 'neighbour'").groupBy("ask_id").count().withColumnRenamed("count", "n").collect()}
     whole = {r["ask_id"]: r["n"] for r in every.where("strategy = 'neighbour'").groupBy("ask_id").count().withColumnRenamed("count", "n").collect()}
     assert near["q3"] <= 12 < whole["q3"]
+
+
+def test_pairs_and_cells_are_dealt_into_parts(spark):
+    """A label, and a cell, of more rows than a part: no pair and no neighbour is lost, and more tasks share them."""
+    from quern.functions import vector as vx
+    from quern.operators import retrieval as rt
+
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 120")
+    made = {(r["a"], r["b"]): r["score"] for r in rt.group_pairs(v, "label", "vec_id", "embedding", 0.1, part=5).collect()}
+    x, y = v.selectExpr("vec_id as a", "label", "embedding as x"), v.selectExpr("vec_id as b", "label", "embedding as y")
+    want = {(r["a"], r["b"]): r["s"] for r in x.join(y, "label").where("a < b").select("a", "b", vx.cosine(x["x"], y["y"]).alias("s")).where("round(s, 6) > 0.1").collect()}
+    assert made.keys() == want.keys() and all(abs(made[p] - want[p]) < 1e-6 for p in want)
+    near = lambda df: {(r["query_id"], r["rank"], r["vec_id"]) for r in df.collect()}
+    asked = v.where("vec_id % 20 = 0")
+    assert near(rt.vector_ann(v, asked, cells=1, probes=1, part=7)) == near(rt.batch_search(v, asked))
