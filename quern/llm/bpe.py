@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from quern.llm.arrow import add_columns
+from quern.llm.arrow import add_columns, kept
 
 #: A rank file may be broadcast up to this size; larger ones are refused.
 MAX_RANK_FILE = 64 << 20
@@ -194,16 +194,10 @@ class _Known(dict):
             self.clear()
 
 
-_CODERS: dict[tuple[int, str], Coder] = {}
-
-
 def coder(shared, pattern: str) -> Coder:
-    """This worker's coder for broadcast ranks; it lives as long as the worker."""
+    """This worker's coder for broadcast ranks; it lives until another operator's task begins."""
     key = (shared._id if hasattr(shared, "_id") else id(shared), pattern)
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Coder(shared.value, pattern)
-    return _CODERS[key]
+    return kept(key, lambda: Coder(shared.value, pattern))
 
 
 def share_ranks(spark: SparkSession, path: str):

@@ -39,8 +39,8 @@ TELLING = 20.0
 WORD_BITS, EVIDENCE = 24, 0.1
 #: Lengths of the beginnings of words that are features too, for words that share a stem.
 STEMS = (4, 5)
-#: The tail probability from which a document is kept.
-KEEP = 0.8
+#: The tail probability from which a document is kept; words whose features a task remembers.
+KEEP, WORDS = 0.8, 50_000
 PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
@@ -68,7 +68,7 @@ class Features:
 
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The text's features, and the places of its distinct words."""
-        if len(self.known) > 200_000:
+        if len(self.known) > WORDS:
             self.known.clear()
         every = (text or "").split()
         words, out, places, known = set(every), set(), [], self.known
@@ -206,7 +206,7 @@ def sampled(docs: DataFrame, grades: DataFrame, key: str, text: str, rows: int =
     if not chosen:
         return [], np.zeros(0, np.int64), None
     wanted = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("k", own.schema["k"].dataType), T.StructField("h", T.LongType()), T.StructField("grade", T.IntegerType())]))
-    joined = own.join(F.broadcast(wanted.select("k", "h").distinct()), ["k", "h"]).groupBy("k", "h").agg(F.first("text").alias("text"))
+    joined = own.join(F.broadcast(wanted.select("k", "h").distinct()), ["k", "h"])
 
     def start():
         f = Features()
@@ -217,7 +217,8 @@ def sampled(docs: DataFrame, grades: DataFrame, key: str, text: str, rows: int =
 
         return make
 
-    made = stage(add_columns(joined, "text", [("features", T.BinaryType()), ("places", T.ArrayType(T.IntegerType()))], start, keep=["k", "h"]), "sample")
+    each = add_columns(joined, "text", [("features", T.BinaryType()), ("places", T.ArrayType(T.IntegerType()))], start, keep=["k", "h"])
+    made = stage(each.dropDuplicates(["k", "h"]), "sample")  # texts are read where they lie; only what is made of them is shuffled
     place = made.select(F.explode("places").alias("p")).select(F.floor(F.col("p") / 32768).alias("block"), (F.col("p") % 32768).cast("long").alias("bit"))
     seen = np.zeros(1 << (WORD_BITS - 3), np.uint8)
     for r in place.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
