@@ -3,41 +3,68 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
-from quern.runtime import stage
+
+
+def keywords(words: Column, keep: int) -> Column:
+    """The `keep` most frequent of some words, of equals the least, in order; words of a row meet in that row, so nothing is shuffled."""
+    begins = lambda w: F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, i - 2)))
+    counted = lambda w: tx.let(begins(w), lambda b: F.transform(b, lambda i, j: F.struct((i - F.coalesce(F.get(b, j + 1), F.size(w) + 1)).alias("n"), F.get(w, i - 1).alias("word"))))
+    top = tx.let(F.sort_array(words), lambda w: F.when(F.size(w) > 0, F.sort_array(F.transform(F.slice(F.sort_array(counted(w)), 1, keep), lambda x: x["word"]))))
+    return F.coalesce(top, F.array().cast("array<string>"))
 
 
 def leaves(chunks: DataFrame, keep: int = 5) -> DataFrame:
     """Level 0 of rows (doc_id, at, start_offset, content): with the chunk's most frequent words as keywords."""
-    words = chunks.select("doc_id", "at", F.explode(tx.frequent_tokens(F.col("content"))).alias("word")).groupBy("doc_id", "at", "word").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("doc_id", "at").orderBy(F.desc("n"), "word")
-    top = words.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep).groupBy("doc_id", "at").agg(F.sort_array(F.collect_set("word")).alias("keywords"))
-    out = chunks.join(top, ["doc_id", "at"], "left")
     end = F.col("start_offset") + F.length("content")
-    return out.select("doc_id", F.lit(0).alias("level"), "at", F.lit(0).cast("long").alias("children"), "content", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), F.col("start_offset").alias("start"), end.alias("end"))
+    top = keywords(tx.frequent_tokens(F.col("content")), keep)
+    return chunks.select("doc_id", F.lit(0).alias("level"), "at", F.lit(0).cast("long").alias("children"), "content", top.alias("keywords"), F.col("start_offset").alias("start"), end.alias("end"))
+
+
+def height(last: Column, merge: int) -> Column:
+    """The level of the root of a document whose last chunk is `last`: each level has a merge-th of the places of the one below."""
+    powers = F.array(*[F.lit(merge**i) for i in range(1 + math.floor(63 / math.log2(merge) - 1e-9))])
+    return F.size(F.filter(powers, lambda p: p <= last))
 
 
 def build(chunks: DataFrame, merge: int = 5, keep: int = 10) -> DataFrame:
     """(doc_id, level, at, children, content, keywords, start, end): nodes of all levels; a document's last level is its root.
 
     A node joins its children's contents by a blank line and holds their first `keep` keywords in order; its
-    parent is node at / merge of the next level. Each level is one aggregate by document and group.
+    parent is node at / merge of the next level. A document's chunks are shuffled once and meet in a row no larger than about
+    its root; the nodes above are parts of that row.
     """
-    now = stage(leaves(chunks), "leaves")
-    most = now.agg(F.max("at")).collect()[0][0]
-    levels = [now]
-    for level in range(1, 1 + math.ceil(math.log(max(1, (most or 0) + 1), merge) - 1e-9)):
-        last = F.max("at").over(Window.partitionBy("doc_id"))
-        g = now.withColumn("last", last).where("last > 0").groupBy("doc_id", F.floor(F.col("at") / merge).alias("at"))
-        made = g.agg(F.count("*").alias("children"), F.sort_array(F.collect_list(F.struct(F.col("at").alias("o"), "content"))).alias("c"), F.flatten(F.collect_list("keywords")).alias("k"), F.min("start").alias("start"), F.max("end").alias("end"))
-        now = stage(made.select("doc_id", F.lit(level).alias("level"), "at", "children", F.array_join(F.transform("c", lambda x: x["content"]), "\n\n").alias("content"), F.slice(F.sort_array(F.array_distinct("k")), 1, keep).alias("keywords"), "start", "end"), "level")
-        levels.append(now)
-    return reduce(DataFrame.unionByName, levels)
+    low = leaves(chunks)
+    row = F.struct("at", "content", "keywords", "start", "end")
+    held = low.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("c"))
+    even = F.forall(F.transform("c", lambda x, i: x["at"] == i), lambda x: x)  # places 0, 1, 2, ..., each once
+    held = held.select("doc_id", "c", even.alias("even"), F.element_at("c", -1)["at"].alias("last"))
+    width = lambda level: F.pow(F.lit(float(merge)), level).cast("long")
+    places = F.flatten(F.transform(F.sequence(F.lit(1), height(F.col("last"), merge)), lambda v: F.transform(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / width(v))), lambda a: F.struct(v.alias("level"), a.alias("at")))))
+    nodes = held.where("last > 0").select("doc_id", "c", "even", F.explode(places).alias("p")).withColumn("w", width(F.col("p.level")))
+    begin = F.col("p.at") * F.col("w")
+    part = F.when(F.col("even"), F.slice("c", (begin + 1).cast("int"), F.col("w").cast("int"))).otherwise(F.filter("c", lambda x: (x["at"] >= begin) & (x["at"] < begin + F.col("w"))))
+    below = F.size(F.array_distinct(F.transform("part", lambda x: F.floor(x["at"] * merge / F.col("w")))))
+    nodes = nodes.select("doc_id", "p", "w", part.alias("part")).where(F.size("part") > 0)
+    made = nodes.select(
+        "doc_id", F.col("p.level").alias("level"), F.col("p.at").alias("at"), F.when(F.col("p.level") == 1, F.size("part")).otherwise(below).cast("long").alias("children"),
+        F.array_join(F.transform("part", lambda x: x["content"]), "\n\n").alias("content"), F.slice(F.sort_array(F.array_distinct(F.flatten(F.transform("part", lambda x: x["keywords"])))), 1, keep).alias("keywords"),
+        F.array_min(F.transform("part", lambda x: x["start"])).alias("start"), F.array_max(F.transform("part", lambda x: x["end"])).alias("end"),
+    )
+    return low.unionByName(made)
+
+
+def shape(chunks: DataFrame, merge: int = 5) -> DataFrame:
+    """(doc_id, level, at): the nodes that build() makes, without what they hold."""
+    low = chunks.select("doc_id", "at")
+    last = low.groupBy("doc_id").agg(F.max("at").alias("last"))
+    up = low.join(last, "doc_id").where("last > 0").select("doc_id", "at", F.explode(F.sequence(F.lit(1), height(F.col("last"), merge))).alias("level"))
+    up = up.select("doc_id", "level", F.floor(F.col("at") / F.pow(F.lit(float(merge)), F.col("level"))).alias("at")).distinct()
+    return low.select("doc_id", F.lit(0).alias("level"), "at").unionByName(up)
 
 
 def search(nodes: DataFrame, words: list[str], k: int = 10, least: float = 0.1) -> DataFrame:

@@ -181,13 +181,13 @@ def tree_query(t):
 
 @query(f"with {TREE} select l.doc_id, l.at, u.level, u.at as ancestor from n0 l join nodes u on u.doc_id = l.doc_id and u.level > 0 and u.at = l.at // cast(power(5, u.level) as bigint)")
 def tree_ancestors(t):
-    return tree.ancestors(_tree(t))
+    return tree.ancestors(tree.shape(chunks.fixed(t.documents)))
 
 
 @query(f"with {TREE} select level, count(*) as nodes, cast(sum(children) as bigint) as children, round(avg(length(content)), 6) as mean_size, count(*) filter (level = last) as roots from (select *, max(level) over (partition by doc_id) as last from nodes) x group by 1")
 def tree_stats(t):
-    n = _tree(t).withColumn("last", F.max("level").over(Window.partitionBy("doc_id")))
-    return n.groupBy("level").agg(F.count("*").alias("nodes"), F.sum("children").alias("children"), F.round(F.avg(F.length("content")), 6).alias("mean_size"), F.sum((F.col("level") == F.col("last")).cast("long")).alias("roots"))
+    n = _tree(t).select("doc_id", "level", "children", F.length("content").alias("n_chars")).withColumn("last", F.max("level").over(Window.partitionBy("doc_id")))
+    return n.groupBy("level").agg(F.count("*").alias("nodes"), F.sum("children").alias("children"), F.round(F.avg("n_chars"), 6).alias("mean_size"), F.sum((F.col("level") == F.col("last")).cast("long")).alias("roots"))
 
 
 # metrics ---------------------------------------------------------------------------------------------------------
