@@ -12,9 +12,7 @@ from quern.functions import text as tx
 
 def keywords(words: Column, keep: int) -> Column:
     """The `keep` most frequent of some words, of equals the least, in order; words of a row meet in that row, so nothing is shuffled."""
-    begins = lambda w: F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, i - 2)))
-    counted = lambda w: tx.let(begins(w), lambda b: F.transform(b, lambda i, j: F.struct((i - F.coalesce(F.get(b, j + 1), F.size(w) + 1)).alias("n"), F.get(w, i - 1).alias("word"))))
-    top = tx.let(F.sort_array(words), lambda w: F.when(F.size(w) > 0, F.sort_array(F.transform(F.slice(F.sort_array(counted(w)), 1, keep), lambda x: x["word"]))))
+    top = F.sort_array(F.transform(F.slice(F.sort_array(tx.counted(words)), 1, keep), lambda x: x["word"]))
     return F.coalesce(top, F.array().cast("array<string>"))
 
 

@@ -9,6 +9,7 @@ from quern.functions import text as tx
 from quern.operators import chunks
 from quern.operators import summaries
 from quern.plans.registry import query
+from quern.runtime import stage
 
 WS = "[ \\t\\n\\r\\f]+"
 WORDS = f"list_filter(string_split_regex({{}}, '{WS}'), x -> x <> '')"
@@ -40,17 +41,33 @@ def keywords_freq(t):
     return c.withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
 
 
+#: Terms whose numbers of documents are broadcast are fewer than this.
+COMMON = 16_384
+
+
 @query(f"""with {KEYWORDS}, c as (select doc_id, term, count(*) as n from kw group by 1, 2), d as (select term, count(*) as df from c group by 1), l as (select doc_id, sum(n) as total from c group by 1),
  s as (select c.doc_id, c.term, round(c.n / cast(l.total as double) * greatest(0, ln((select count(*) from documents) / cast(d.df as double))), 6) as score from c join d using (term) join l using (doc_id))
  select doc_id, term, score from (select *, row_number() over (partition by doc_id order by score desc, term) as rn from s) x where rn <= 5""")
 def keywords_tfidf(t):
-    c = t.documents.select("doc_id", F.explode(tx.keyword_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    """Terms are counted in a document's row; only a term's share of its text meets the term's number of documents."""
     n = t.documents.count()
-    d = c.groupBy("term").agg(F.count("*").alias("df"))
-    total = F.sum("n").over(Window.partitionBy("doc_id"))
-    s = c.withColumn("total", total).join(d, "term").select("doc_id", "term", F.round(F.col("n") / F.col("total") * F.greatest(F.lit(0.0), F.log(F.lit(float(n)) / F.col("df"))), 6).alias("score"))
+    own = t.documents.select("doc_id", tx.counted(tx.keyword_tokens(F.col("text"))).alias("terms")).where("terms is not null")
+    one = own.groupBy("doc_id").agg(F.flatten(F.collect_list("terms")).alias("terms"), F.count("*").alias("rows_of"))
+    one = one.withColumn("total", F.aggregate("terms", F.lit(0).cast("long"), lambda a, x: a - x["n"]))
+    words = F.transform("terms", lambda x: x["word"])
+    summed = F.transform(F.array_distinct(words), lambda w: F.struct(F.aggregate(F.filter("terms", lambda x: x["word"] == w), F.lit(0), lambda a, x: a + x["n"]).alias("n"), w.alias("word")))
+    one = stage(one.select("doc_id", "total", F.when(F.col("rows_of") == 1, F.col("terms")).otherwise(summed).alias("terms")), "terms")  # an id may stand in several rows
+    c = one.select("doc_id", "total", F.explode("terms").alias("x")).select("doc_id", F.col("x.word").alias("term"), (F.lit(0) - F.col("x.n") / F.col("total")).alias("share"))
+    d = stage(c.groupBy("term").agg(F.count("*").alias("df")), "document-counts")
+    limit = (d.agg(F.sum("df")).collect()[0][0] or 0) // COMMON
+    common = F.broadcast(d.where(F.col("df") > limit))  # fewer than COMMON terms whatever the input
+    score = F.round(F.col("share") * F.greatest(F.lit(0.0), F.log(F.lit(float(n)) / F.col("df"))), 6).alias("score")
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "term")
-    return s.withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
+    best = lambda s: s.withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
+    # a document's common terms lie together, so only its best five are shuffled; the others meet their counts by a shuffle
+    met = c.join(common, "term").select("doc_id", "term", score)
+    rest = c.join(common, "term", "left_anti").join(d.where(F.col("df") <= limit), "term").select("doc_id", "term", score)
+    return best(best(met).unionByName(rest))
 
 
 @query(f"with {KEYWORDS} select term, count(distinct doc_id) as df from kw group by 1")
