@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.arrow import slices, small_batches
+from quern.llm.arrow import slices, small_batches, tidy
 from quern.runtime import stage
 
 #: Words of a window; bytes of text in a segment; bytes of item text that are broadcast at once.
@@ -92,7 +92,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         if held:
             yield as_row(held)
 
-    rows = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, INDEX)
+    rows = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), INDEX)
     return stage(rows.withColumn("segment", F.monotonically_increasing_id()), "postings")  # stored, so equal segments keep their own numbers
 
 
@@ -266,7 +266,7 @@ def search(index: DataFrame, items: list[tuple], width: int = WIDTH, reach: int
                     pa.array(starts, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32())), pa.array([sorted(x, key=lambda i: (i is None, i or "")) for x in names], pa.list_(pa.string())),
                 ], names=["segment", "ordinal", "doc_id", "n_words", "starts", "lengths", "items"])
 
-    return index.mapInArrow(run, MATCH)
+    return index.mapInArrow(tidy(run), MATCH)
 
 
 def covered(starts, lengths) -> int:
@@ -304,7 +304,7 @@ def report(docs: DataFrame, items: DataFrame, width: int = WIDTH, key: str = "do
                 pa.array([hashlib.sha256(x.encode()).hexdigest() for x in known], pa.string()), pa.array([h > 0 for h in hit], pa.bool_()),
             ], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return found.select("doc_id", "n_words", "starts", "lengths", "items").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found.select("doc_id", "n_words", "starts", "lengths", "items").mapInArrow(tidy(run), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def proximity(docs: DataFrame, items: DataFrame, width: int = WIDTH, reach: int = 20, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

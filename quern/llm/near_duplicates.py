@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.arrow import slices, small_batches
+from quern.llm.arrow import slices, small_batches, tidy
 from quern.operators.components import connected_components
 from quern.runtime import attach_groups, discard, hot_keys, replicate_join, stage, sweep
 
@@ -111,7 +111,7 @@ def _over(docs: DataFrame, key: str, text: str, schema: str, start) -> DataFrame
                 yield from each(part)
         yield from last()
 
-    return small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def frequencies(docs: DataFrame, key: str, text: str) -> bytes:
@@ -152,7 +152,7 @@ def frequencies(docs: DataFrame, key: str, text: str) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["block", "counts"])
 
     parts = _over(docs, key, text, "block int, counts binary", start)
-    summed = parts.repartition((1 << SKETCH) // block, "block").mapInArrow(add, "block int, counts binary")
+    summed = parts.repartition((1 << SKETCH) // block, "block").mapInArrow(tidy(add), "block int, counts binary")
     table = np.zeros(1 << SKETCH, np.int64)
     for r in summed.toLocalIterator():
         table[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["counts"], np.int64)
@@ -260,7 +260,7 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, hot: DataFr
                 if some.num_rows:
                     yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.view(np.int64) for s in shingler.sets(some.column(1))], pa.list_(pa.int64()))], names=["node", "set"])
 
-    sets = stage(wanted.mapInArrow(run, "node long, set array<long>").distinct(), "sets")
+    sets = stage(wanted.mapInArrow(tidy(run), "node long, set array<long>").distinct(), "sets")
     with_b = replicate_join(pairs, sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b", "a", hot)
     joined = replicate_join(with_b, sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a", "b", hot)
     linked = joined.withColumn("i", F.size(F.array_intersect("x", "y"))).where(f"100 * i >= {PERCENT} * (size(x) + size(y) - i)")

@@ -26,3 +26,25 @@ def test_sample_holds_copies_once(spark):
     docs, grades = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 2), (2, 0), (3, 1)], "doc_id long, grade int")
     features, y, _ = ordinal.sampled(docs, grades, "doc_id", "text")
     assert y.tolist() == [2, 0, 0, 1] and [len(f) for f in features] == [len(ordinal.Features().of_text(t)) for t in ("one two two", *sorted(("three four", "five"), key=lambda t: docs.where(docs.text == t).selectExpr("xxhash64(text)").first()[0]), None)]
+
+
+def test_worker_gives_back_what_a_task_has_left_free(spark):
+    """Large and small pieces by turns: what is left free lies between what stays."""
+    import os
+
+    import pyarrow as pa
+
+    from quern.llm.arrow import tidy
+
+    def held() -> int:
+        with open(f"/proc/{os.getpid()}/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+    def run(batches):
+        pieces = [bytes(range(256)) * 8 for _ in range(100_000)]
+        stay.extend(pieces[::1000])
+        yield from batches
+
+    stay: list = []
+    before = held()
+    assert list(tidy(run)([pa.record_batch({"x": [1]})])) and held() - before < 100
