@@ -89,3 +89,25 @@ def test_pairs_and_cells_are_dealt_into_parts(spark):
     near = lambda df: {(r["query_id"], r["rank"], r["vec_id"]) for r in df.collect()}
     asked = v.where("vec_id % 20 = 0")
     assert near(rt.vector_ann(v, asked, cells=1, probes=1, part=7)) == near(rt.batch_search(v, asked))
+
+
+def test_pairs_of_different_labels_are_made(spark):
+    """The query's own pairs: of all vectors, also of unlike or missing labels, as brute force has them; without a group every length has its pairs."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import functions as F
+
+    from quern.functions import vector as vx
+    from quern.operators import retrieval as rt
+    from quern.plans.queries_answers import pairwise_similarities
+
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 60").withColumn("label", F.expr("if(vec_id % 7 = 0, null, label)"))
+    x, y = v.selectExpr("vec_id as a", "label as la", "embedding as x"), v.selectExpr("vec_id as b", "label as lb", "embedding as y")
+    want = x.crossJoin(y).where("a < b").select("a", "b", "la", "lb", F.round(vx.cosine(F.col("x"), F.col("y")), 6).alias("s")).where("s > 0.1").collect()
+    told = lambda df: {(r["a"], r["b"]): r["score"] for r in df.collect()}
+    brute = {(r["a"], r["b"]): r["s"] for r in want}
+    assert any(r["la"] is None or r["la"] != r["lb"] for r in want)
+    for made in (told(pairwise_similarities(SimpleNamespace(embeddings=v))), told(rt.group_pairs(v, None, "vec_id", "embedding", 0.1, part=7))):
+        assert made.keys() == brute.keys() and all(abs(made[p] - brute[p]) < 2e-6 for p in made)
+    mixed = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0]), (4, [2.0]), (5, None)], "vec_id long, embedding array<double>")
+    assert told(rt.group_pairs(mixed, None, "vec_id", "embedding", 0.1)).keys() == {(1, 2), (3, 4)}
