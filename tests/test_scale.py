@@ -111,3 +111,20 @@ def test_pairs_of_different_labels_are_made(spark):
         assert made.keys() == brute.keys() and all(abs(made[p] - brute[p]) < 2e-6 for p in made)
     mixed = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0]), (4, [2.0]), (5, None)], "vec_id long, embedding array<double>")
     assert told(rt.group_pairs(mixed, None, "vec_id", "embedding", 0.1)).keys() == {(1, 2), (3, 4)}
+
+
+def test_large_blocks_are_cut_into_chunks(spark, monkeypatch):
+    """No pair of a block is lost or made twice, names stay on their side, keys that repeat too; and a part is copied for each chunk, not for each task."""
+    from quern.plans import queries_more as qm
+
+    rows = [(i // 2 if i % 50 == 1 else i, f"n{i}", f"b{0 if i % 4 else i % 3}", "t") for i in range(400)] + [(7, None, "b0", "t"), (None, "x", "b0", "t"), (8, "y", None, "t")]
+    p = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string")
+    want = sorted((a[0], b[0], a[1] or "", b[1] or "") for a in rows for b in rows if None not in (a[0], b[0], a[2], b[2]) and a[2] == b[2] and a[0] < b[0])
+    monkeypatch.setattr(qm, "CHUNK", 40)
+    monkeypatch.setattr(qm, "TASK", 400)
+    made = qm._pairs(p, "p_name", 150_000.0, 335.0**2)
+    assert sorted((r["a"], r["b"], r["x"] or "", r["y"] or "") for r in made.collect()) == want
+    copies = []
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.repartition", lambda df, *_: copies.append(df.count()) or df)
+    qm._pairs(p, "p_name", 150_000.0, 335.0**2)
+    assert sum(copies) <= len(rows) * (335 / 40 + 3)
