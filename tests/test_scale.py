@@ -121,7 +121,7 @@ def test_large_blocks_are_cut_into_chunks(spark, monkeypatch):
     p = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string")
     want = sorted((a[0], b[0], a[1] or "", b[1] or "") for a in rows for b in rows if None not in (a[0], b[0], a[2], b[2]) and a[2] == b[2] and a[0] < b[0])
     monkeypatch.setattr(qm, "CHUNK", 40)
-    monkeypatch.setattr(qm, "TASK", 400)
+    monkeypatch.setattr(qm, "TASK", 1600)
     made = qm._pairs(p, "p_name", 150_000.0, 335.0**2)
     assert sorted((r["a"], r["b"], r["x"] or "", r["y"] or "") for r in made.collect()) == want
     copies = []
